@@ -9,6 +9,7 @@ from checks.cleaning import rounded
 from runlens.functions import nested, predicates
 from runlens.functions.numeric import ratio
 from runlens.operators import clean, compare, summary
+from runlens.session import keep
 
 QUERIES, SQL = {}, {}
 
@@ -48,7 +49,7 @@ def cohort_pairs(spark, sf, **flags):
     src = t.sources(spark, sf)
     units = compare.cohort(src, t.OLD, t.NEW, outcome_match=True, timeout=True, **flags)
     sides = [compare.in_cohort(compare.variant_slice(src.stats, v), units) for v in (t.OLD, t.NEW)]
-    return compare.pair(*sides)
+    return keep(compare.pair(*sides), "pairs")
 
 
 def wide_statistics(source, old, new, probs):
@@ -75,7 +76,7 @@ def wide_statistics(source, old, new, probs):
 def paired_summary(spark, sf):
     medians = t.results(spark, sf)
     pairs = compare.pair(compare.variant_slice(medians, t.OLD), compare.variant_slice(medians, t.NEW))
-    return rounded(summary.paired_summary(pairs, "old_value", "new_value"))
+    return rounded(summary.paired_summary(keep(pairs, "pairs"), "old_value", "new_value"))
 
 
 @query(
@@ -251,7 +252,7 @@ def results_summary(spark, sf):
     src = t.sources(spark, sf)
     units = compare.cohort(src, t.OLD, t.NEW, outcome_match=True, timeout=True)
     sides = [compare.in_cohort(compare.variant_slice(src.results, v), units) for v in (t.OLD, t.NEW)]
-    return rounded(summary.paired_summary(compare.pair(*sides), "old_value", "new_value"))
+    return rounded(summary.paired_summary(keep(compare.pair(*sides), "pairs"), "old_value", "new_value"))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from runlens.functions.predicates import Limits
 from runlens.operators.clean import median_runs, median_values
 from runlens.operators.compare import Sources
+from runlens.session import keep
 
 RESULTS_LIMITS = Limits(timeout=45.0, spread=3.0)
 STATS_LIMITS = Limits(timeout=60000.0, spread=3.0)
@@ -82,25 +83,20 @@ def stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return median_runs(stats_runs(spark, sf_dir), STATS_LIMITS, TIES)
 
 
-# Among runs of equal value the place in the order is free; both sides take the first by run, payload.
 STATS = f"""{STATS_RUNS},
 stats_ranked AS (
   SELECT *, row_number() OVER (PARTITION BY variant, unit ORDER BY value, run, payload) AS rn,
-    count(*) OVER (PARTITION BY variant, unit) AS cnt,
-    row_number() OVER (PARTITION BY variant, unit, value ORDER BY run, payload) AS tie
+    count(*) OVER (PARTITION BY variant, unit) AS cnt
   FROM stats_runs),
-stats_median AS (SELECT variant, unit, value FROM stats_ranked WHERE rn = (cnt + 1) / 2),
 stats AS (
-  SELECT r.* EXCLUDE (rn, cnt, tie) FROM stats_ranked r
-  JOIN stats_median m ON r.variant = m.variant AND r.unit = m.unit AND r.value = m.value
-  WHERE r.tie = 1 AND (r.variant, r.unit) IN (
+  SELECT * EXCLUDE (rn, cnt) FROM stats_ranked WHERE rn = (cnt + 1) / 2 AND (variant, unit) IN (
     SELECT variant, unit FROM stats_runs GROUP BY variant, unit {STATS_STABLE}))"""
 
 
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
     return Sources(
-        results=results(spark, sf_dir),
-        stats=stats(spark, sf_dir),
+        results=keep(results(spark, sf_dir), "results", by=["variant"]),
+        stats=keep(stats(spark, sf_dir), "stats", by=["variant"]),
         results_limits=RESULTS_LIMITS,
         stats_limits=STATS_LIMITS,
         baseline=BASE,

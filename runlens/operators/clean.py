@@ -1,8 +1,8 @@
 """Cleaning of repeated runs: stability, median value, median run, exclusion report.
 
-Runs have columns ``variant``, ``unit``, ``value`` and ``ok``. Equal measurements of a unit merge
-before any shuffle, and ordering inside a unit goes through ``ordered.scan``; so one unit may hold
-any share of all runs.
+Runs have columns ``variant``, ``unit``, ``value`` and ``ok``. Statistics combine before the shuffle,
+and ordering inside a unit goes through ``ordered.scan_groups``; so one unit may hold any share of
+all runs.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from runlens.functions.numeric import percent, round_half_even
 from runlens.functions.predicates import Limits, straddles, too_spread
-from runlens.operators.ordered import SEG, ranged, scan
+from runlens.operators.ordered import GROUP_LIMIT, scan_groups
 from runlens.operators.quantiles import at_positions
 
 GROUP = ["variant", "unit"]
@@ -25,16 +25,28 @@ def dataset_stats(runs: DataFrame) -> DataFrame:
     return runs.agg(F.count("*").alias("total_rows"), F.countDistinct("unit").alias("unique_units"))
 
 
-def with_run_ranks(runs: DataFrame, by: Sequence[str] = ("value",)) -> DataFrame:
+def _ranked_runs(runs: DataFrame, by: Sequence[str], whole: dict, limit: int) -> DataFrame:
+    """Runs with place ``rn`` by ``by`` inside (variant, unit), NULLs last, and whole-group values.
+
+    Full ties get some order of their own, so that they too spread over partitions.
+    """
+    nulls = {f"_n{i}": F.col(c).isNull() for i, c in enumerate(by)}
+    order = [x for pair in zip(nulls, by) for x in pair] + ["_tie"]
+    rows = runs.withColumns({**nulls, "_one": F.lit(1).cast("long"), "_tie": F.monotonically_increasing_id()})
+    out = scan_groups(
+        rows, GROUP, order, running={"rn": ("sum", "_one")}, whole={"cnt": ("sum", "_one"), **whole}, limit=limit
+    )
+    return out.drop(*nulls, "_one", "_tie")
+
+
+def with_run_ranks(
+    runs: DataFrame, by: Sequence[str] = ("value",), limit: int = GROUP_LIMIT
+) -> DataFrame:
     """Runs with ``rn``, their place by ``by`` inside (variant, unit) with NULLs last, and ``cnt``.
 
     ``by`` should end in columns that identify a run, so that places are repeatable.
     """
-    nulls = {f"_n{i}": F.col(c).isNull() for i, c in enumerate(by)}
-    order = [x for pair in zip(nulls, by) for x in pair]
-    placed = ranged(runs.withColumns({**nulls, "_one": F.lit(1).cast("long")}), [*GROUP, *order])
-    out = scan(placed, GROUP, order, running={"rn": ("sum", "_one")}, whole={"cnt": ("sum", "_one")})
-    return out.drop(*nulls, "_one", SEG)
+    return _ranked_runs(runs, by, {}, limit)
 
 
 def group_stats(runs: DataFrame) -> DataFrame:
@@ -62,42 +74,53 @@ def stable_groups(runs: DataFrame, limits: Limits) -> DataFrame:
     return group_stats(runs).filter(is_stable(limits))
 
 
-def _ranked_stable(runs: DataFrame, limits: Limits) -> DataFrame:
-    """Distinct values of the stable groups with ranks; one pass over ``runs``."""
-    cells = runs.groupBy(*GROUP, "value").agg(
-        F.count("*").alias("n"), F.min("ok").alias("_ok_low"), F.max("ok").alias("_ok_high")
-    )
-    # NULL values take part in the outcome check but hold no rank of their own: they sort last.
-    cells = cells.withColumns(
-        {
-            "_null": F.col("value").isNull(),
-            "_valued": F.when(F.col("value").isNotNull(), F.col("n")).otherwise(0),
-        }
+_BOUNDS = {
+    "low": ("min", "value"),
+    "high": ("max", "value"),
+    "ok_low": ("min", "ok"),
+    "ok_high": ("max", "ok"),
+}
+
+
+def median_values(
+    runs: DataFrame, limits: Limits, whole_number: bool = True, limit: int = GROUP_LIMIT
+) -> DataFrame:
+    """One row per stable group: ``variant, unit, ok, value`` with the interpolated median.
+
+    ``whole_number`` rounds the median to an integer, halves to even. Runs without a value count for
+    the outcome only.
+    """
+    cells = runs.select(
+        *GROUP,
+        "value",
+        F.col("value").isNull().alias("_null"),
+        F.col("ok").alias("_ok_low"),
+        F.col("ok").alias("_ok_high"),
+        F.when(F.col("value").isNotNull(), 1).otherwise(0).cast("long").alias("n"),
     )
-    placed = ranged(cells, [*GROUP, "_null", "value"])
-    ranks = scan(
-        placed,
+
+    def merge(large: DataFrame) -> DataFrame:
+        merged = large.groupBy(*GROUP, "value", "_null").agg(
+            F.min("_ok_low").alias("_ok_low"), F.max("_ok_high").alias("_ok_high"), F.sum("n").alias("n")
+        )
+        return merged.select(*cells.columns)
+
+    ranks = scan_groups(
+        cells,
         GROUP,
         ["_null", "value"],
         running={"upto": ("sum", "n")},
         whole={
-            "runs": ("sum", "n"),
-            "total": ("sum", "_valued"),
+            "total": ("sum", "n"),
             "low": ("min", "value"),
             "high": ("max", "value"),
             "ok_low": ("min", "_ok_low"),
             "ok_high": ("max", "_ok_high"),
         },
+        limit=limit,
+        merge=merge,
     )
-    return ranks.filter(is_stable(limits)).drop(SEG, "_ok_low", "_ok_high", "_valued")
-
-
-def median_values(runs: DataFrame, limits: Limits, whole_number: bool = True) -> DataFrame:
-    """One row per stable group: ``variant, unit, ok, value`` with the interpolated median.
-
-    ``whole_number`` rounds the median to an integer, halves to even.
-    """
-    ranks = _ranked_stable(runs, limits).filter(~F.col("_null"))
+    ranks = ranks.filter(is_stable(limits) & ~F.col("_null"))
     keys = [*GROUP, "ok_low"]
     med = at_positions(ranks, keys, "value", {"median": 0.5})
     value = round_half_even(F.col("median")) if whole_number else F.col("median")
@@ -105,28 +128,21 @@ def median_values(runs: DataFrame, limits: Limits, whole_number: bool = True) ->
 
 
 def median_runs(
-    runs: DataFrame, limits: Limits, tie_break: Sequence[str], even: str = "drop"
+    runs: DataFrame, limits: Limits, tie_break: Sequence[str], even: str = "drop", limit: int = GROUP_LIMIT
 ) -> DataFrame:
     """The whole run row at the median place of each stable group.
 
-    Of n runs this is place (n+1)/2 by value; groups of even size have no such place and are
-    dropped, or take the lower middle run with ``even="lower"``. Among runs with the median value
-    the first by ``tie_break`` is taken.
+    Of n runs this is place (n+1)/2 by value, then by ``tie_break``; groups of even size have no such
+    place and are dropped, or take the lower middle run with ``even="lower"``. Derive metrics from
+    nested columns before, so that only narrow rows are ordered.
     """
     if even not in ("drop", "lower"):
         raise ValueError("even must be 'drop' or 'lower'")
-    ranks = _ranked_stable(runs, limits)
-    place = F.floor((F.col("runs") + 1) / 2)
-    here = (F.col("upto") - F.col("n") < place) & (place <= F.col("upto"))
+    ranks = _ranked_runs(runs, ["value", *tie_break], _BOUNDS, limit)
+    here = F.col("rn") == F.floor((F.col("cnt") + 1) / 2)
     if even == "drop":
-        here = here & (F.col("runs") % 2 == 1)
-    picked = ranks.filter(here & ~F.col("_null")).select(*GROUP, "value")
-    tied = runs.join(picked, [*GROUP, "value"], "left_semi")
-    rest = [c for c in runs.columns if c not in GROUP]
-    best = tied.groupBy(*GROUP).agg(
-        F.min_by(F.struct(*rest), F.struct(*tie_break)).alias("_run")
-    )
-    return best.select(*GROUP, "_run.*").select(*runs.columns)
+        here = here & (F.col("cnt") % 2 == 1)
+    return ranks.filter(is_stable(limits) & here).select(*runs.columns)
 
 
 def exclusion_report(runs: DataFrame, limits: Limits, kept: DataFrame | None = None) -> DataFrame:

@@ -1,14 +1,15 @@
-"""Operators that need a global or per-group order, without one task per group.
+"""Operators that need a global or per-group order, without one task for a large group.
 
-Rows are range-partitioned by (group keys, order columns) and written once with their partition
-number. A running value is then a window inside each (partition, group) plus a carry from earlier
-partitions. Only groups on a partition border need a carry, so the carry table has at most two rows
-per partition, whatever the data size; a group that holds most rows is spread over many partitions.
+Groups of up to ``GROUP_LIMIT`` rows use a plain window. Larger groups are range-partitioned by
+(group keys, order columns) and written once with their partition number. A running value is then a
+window inside each (partition, group) plus a carry from earlier partitions. Only groups on a
+partition border need a carry, so the carry table has at most two rows per partition, whatever the
+data size; a group that holds most rows is spread over many partitions. Both ways are exact.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,8 @@ from pyspark.sql import functions as F
 from runlens.session import keep
 
 SEG = "_seg"
+GROUP_LIMIT = 100_000
+HASH_BUCKETS = 65_536
 
 
 def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
@@ -108,34 +111,107 @@ def scan(
     )
 
 
-def with_index(df: DataFrame, order: Sequence[str], name: str = "idx") -> DataFrame:
+def windowed(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    running: dict[str, tuple[str, str]],
+    whole: dict[str, tuple[str, str]],
+) -> DataFrame:
+    """The values of ``scan`` by plain windows, for groups of bounded size."""
+    group = Window.partitionBy(*(keys or [F.lit(0)]))
+    upto = group.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.select(
+        "*",
+        *[_over(fn, F.col(c), upto).alias(name) for name, (fn, c) in running.items()],
+        *[_over(fn, F.col(c), group).alias(name) for name, (fn, c) in whole.items()],
+    )
+
+
+def split_large(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT):
+    """``df`` as (rows of groups up to ``limit`` rows or None, rows of larger groups or None)."""
+    if not keys:
+        return (df, None) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else (None, df)
+    # A cheap pass first: if no hash bucket is above the limit, no group is.
+    buckets = df.groupBy(F.pmod(F.hash(*keys), F.lit(HASH_BUCKETS)).alias("_b")).agg(F.count("*").alias("_rows"))
+    if (buckets.agg(F.max("_rows")).first()[0] or 0) <= limit:
+        return df, None
+    sizes = df.groupBy(*keys).agg(F.count("*").alias("_rows")).filter(F.col("_rows") > limit)
+    large = keep(sizes.select(*keys), "large")
+    if large.isEmpty():
+        return df, None
+    match = same(df, large, keys)
+    return df.join(large, match, "left_anti"), df.join(large, match, "left_semi")
+
+
+def scan_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    running: dict[str, tuple[str, str]] | None = None,
+    whole: dict[str, tuple[str, str]] | None = None,
+    limit: int = GROUP_LIMIT,
+    merge: Callable[[DataFrame], DataFrame] | None = None,
+) -> DataFrame:
+    """``scan`` for any frame, choosing per group by its size.
+
+    ``merge`` shrinks the rows of large groups first, for instance to one row per distinct value; it
+    keeps the columns.
+    """
+    running, whole = running or {}, whole or {}
+    small, large = split_large(df, keys, limit)
+    parts = []
+    if small is not None:
+        parts.append(windowed(small, keys, order, running, whole))
+    if large is not None:
+        placed = ranged(merge(large) if merge else large, [*keys, *order])
+        parts.append(scan(placed, keys, order, running, whole).drop(SEG))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def with_index(df: DataFrame, order: Sequence[str], name: str = "idx", limit: int = GROUP_LIMIT) -> DataFrame:
     """Number all rows 0, 1, … in ``order``, which must identify a row."""
-    placed = ranged(df.withColumn("_one", F.lit(1).cast("long")), order)
-    out = scan(placed, [], order, running={name: ("sum", "_one")})
-    return out.withColumn(name, F.col(name) - 1).drop("_one", SEG)
+    ones = df.withColumn("_one", F.lit(1).cast("long"))
+    out = scan_groups(ones, [], order, running={name: ("sum", "_one")}, limit=limit)
+    return out.withColumn(name, F.col(name) - 1).drop("_one")
 
 
-def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Rows per (keys, value), NULL values left out; equal values merge before the shuffle."""
-    return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
+def value_counts(df: DataFrame, keys: Sequence[str], value: str, n: str | None = None) -> DataFrame:
+    """Rows per (keys, value); equal values merge before the shuffle."""
+    rows = F.count("*") if n is None else F.sum(n)
+    return df.groupBy(*keys, value).agg(rows.alias("n"))
 
 
-def ranked_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Value counts with ``upto`` (rows up to and including the value) and the group's ``total``."""
-    placed = ranged(value_counts(df, keys, value), [*keys, value])
-    out = scan(placed, keys, [value], running={"upto": ("sum", "n")}, whole={"total": ("sum", "n")})
-    return out.drop(SEG)
+def ranked(
+    df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_LIMIT, n: str | None = None
+) -> DataFrame:
+    """``n`` rows of a value, ``upto`` (rows up to here) and the group's ``total``; NULLs left out.
 
+    A value may take several rows in small groups and takes one in large groups. ``n`` names a column
+    of row counts; without it each row counts once.
+    """
+    count = F.lit(1).cast("long") if n is None else F.col(n).cast("long")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, count.alias("n"))
+    return scan_groups(
+        rows,
+        keys,
+        [value],
+        running={"upto": ("sum", "n")},
+        whole={"total": ("sum", "n")},
+        limit=limit,
+        merge=lambda large: value_counts(large, keys, value, "n"),
+    )
 
-def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+
+def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, limit: int = GROUP_LIMIT) -> DataFrame:
     """The step curve y = number of rows with a value up to x, per group and distinct value."""
-    out = ranked_counts(df, keys, value)
-    return out.select(*keys, value, "n", F.col("upto").alias("solved"))
+    counts = value_counts(df.filter(F.col(value).isNotNull()), keys, value)
+    return scan_groups(counts, keys, [value], running={"solved": ("sum", "n")}, limit=limit)
 
 
-def fill_forward(df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def fill_forward(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], limit: int = GROUP_LIMIT
+) -> DataFrame:
     """Replace NULLs by the last non-NULL value before, in ``order`` inside each group."""
-    placed = ranged(df, [*keys, *order])
-    out = scan(placed, keys, order, running={f"_f_{c}": ("last", c) for c in columns})
-    kept = [F.col(f"_f_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
-    return out.select(*kept)
+    out = scan_groups(df, keys, order, running={f"_f_{c}": ("last", c) for c in columns}, limit=limit)
+    return out.select(*[F.col(f"_f_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])

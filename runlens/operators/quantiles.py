@@ -7,11 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordered import ranked_counts
+from runlens.operators.ordered import GROUP_LIMIT, ranked
 
 
 def at_positions(
-    ranked: DataFrame,
+    rows: DataFrame,
     keys: Sequence[str],
     value: str,
     probs: dict[str, float],
@@ -38,7 +38,7 @@ def at_positions(
     for name in probs:
         aggs.append(F.max(F.when(covers(low[name]), F.col(value))).cast("double").alias(f"_lo_{name}"))
         aggs.append(F.max(F.when(covers(high[name]), F.col(value))).cast("double").alias(f"_hi_{name}"))
-    picked = ranked.groupBy(*keys).agg(*aggs)
+    picked = rows.groupBy(*keys).agg(*aggs)
     out = []
     for name, p in probs.items():
         spot = F.lit(float(p)) * last
@@ -47,13 +47,22 @@ def at_positions(
     return picked.select(*keys, "total", *extra, *out)
 
 
-def percentiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+def percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probs: dict[str, float],
+    limit: int = GROUP_LIMIT,
+    n: str | None = None,
+) -> DataFrame:
     """Exact percentiles of ``value`` per group: keys, ``total``, one column per entry of ``probs``."""
-    return at_positions(ranked_counts(df, keys, value), keys, value, probs)
+    return at_positions(ranked(df, keys, value, limit, n), keys, value, probs)
 
 
-def percentile_numbers(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
+def percentile_numbers(
+    df: DataFrame, value: str, probs: Sequence[float], limit: int = GROUP_LIMIT, n: str | None = None
+) -> list[float | None]:
     """Overall percentiles as Python numbers, one per entry of ``probs``."""
     named = {f"p{i}": p for i, p in enumerate(probs)}
-    row = percentiles(df, [], value, named).first()
+    row = percentiles(df, [], value, named, limit, n).first()
     return [row[name] for name in named]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.numeric import ratio
-from runlens.operators.ordered import ranked_counts
+from runlens.operators.ordered import ranked
 from runlens.operators.quantiles import at_positions
 
 # The percentiles each report states.
@@ -27,17 +27,17 @@ def describe(
 ) -> DataFrame:
     """One row per (keys, metric): count, mean, lowest, highest and percentiles; NULLs left out.
 
-    All columns are summarised together from their value counts.
+    All columns are summarised together.
     """
     by = [*keys, "metric"]
-    ranked = ranked_counts(unpivot(df, columns, keys), by, "value")
+    rows = ranked(unpivot(df, columns, keys), by, "value")
     shape = {
         "rows": F.sum("n"),
         "avg": F.sum(F.col("value") * F.col("n")) / F.sum("n"),
         "min": F.min("value"),
         "max": F.max("value"),
     }
-    return at_positions(ranked, by, "value", probs, extra=shape).drop("total")
+    return at_positions(rows, by, "value", probs, extra=shape).drop("total")
 
 
 def paired_summary(pairs: DataFrame, old: str, new: str, probs: dict[str, float] = PAIRED) -> DataFrame:

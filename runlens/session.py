@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,12 +55,12 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{work_dir(spark)}/runlens-{tag}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the working folder and read it back.
+def keep(df: DataFrame, tag: str, by: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` once to the working folder, in folders per ``by``, and read it back.
 
     This cuts lineage, survives lost executors, fixes values such as partition ids, and lets
     later steps prune columns and see real sizes.
     """
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
