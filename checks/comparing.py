@@ -367,7 +367,7 @@ def nested_metrics(spark, sf):
     + statistics_sql("metrics", ["max_depth", "max_lctx_size"], summary.PAIRED),
 )
 def nested_metrics_summary(spark, sf):
-    metrics = nested.with_metrics(nested_stats(spark, sf))
+    metrics = keep(nested.with_metrics(nested_stats(spark, sf)), "metrics")
     return rounded(summary.describe(metrics, ["max_depth", "max_lctx_size"], summary.PAIRED))
 
 
@@ -378,5 +378,5 @@ def nested_metrics_summary(spark, sf):
     + ") SELECT * EXCLUDE (metric) FROM s",
 )
 def instantiation_summary(spark, sf):
-    metrics = nested.with_metrics(nested_stats(spark, sf))
+    metrics = keep(nested.with_metrics(nested_stats(spark, sf)), "metrics")
     return rounded(summary.column_summary(metrics, "max_instantiations", summary.COUNTS, empty_as_zero=True))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from runlens.functions.keys import file_safe, first_part
 from runlens.operators.joins import salted_join
 from runlens.operators.ordered import GROUP_LIMIT, scan_groups
+from runlens.session import keep
 
 # The constants that count as logic, as booleans and as natural numbers.
 LOGIC = ["True", "False", "Not", "And", "Or", "Iff", "Eq"]
@@ -24,7 +25,7 @@ instAddNat HSub HSub.hSub instHSub instSubNat HMul HMul.hMul instHMul instMulNat
 Nat.instDiv HMod HMod.hMod instHMod Nat.instMod LE LE.le instLENat LT LT.lt instLTNat GE.ge GT.gt""".split()
 
 
-def is_human(catalog_row: str = "") -> Column:
+def is_human() -> Column:
     """Written by a person: has a source range, is a theorem and no projection."""
     return F.col("has_range") & F.col("is_theorem") & ~F.col("is_proj")
 
@@ -88,9 +89,9 @@ def lists_by(df: DataFrame, key: str, unit: str, chunk: int = 10_000, limit: int
     )
 
 
-def with_module(names: DataFrame, catalog: DataFrame) -> DataFrame:
+def with_module(names: DataFrame, catalog: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """Names with their owning module, NULL for an unknown name."""
-    return names.join(catalog.select("name", "module"), "name", "left")
+    return salted_join(names, catalog.select("name", "module"), ["name"], "left", limit)
 
 
 def tally_by_module(names: DataFrame, catalog: DataFrame, chunk: int = 10_000) -> DataFrame:
@@ -105,9 +106,9 @@ def imports_of(names: DataFrame, catalog: DataFrame) -> DataFrame:
     return with_module(names, catalog).select("module").filter(F.col("module").isNotNull()).distinct()
 
 
-def new_names(before: DataFrame, after: DataFrame) -> DataFrame:
+def new_names(before: DataFrame, after: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """Rows of ``after`` whose name ``before`` does not have."""
-    return after.join(before.select("name"), "name", "left_anti")
+    return salted_join(after, before.select("name").distinct(), ["name"], "left_anti", limit)
 
 
 def used_names(catalog: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -119,19 +120,21 @@ def used_names(catalog: DataFrame, columns: Sequence[str]) -> DataFrame:
 def used_theorems(catalog: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
     """Theorems that each unit's proof refers to: ``unit, name``."""
     theorems = catalog.filter(F.col("is_theorem")).select("name")
-    return salted_join(used_names(catalog, ["value_consts"]), theorems, ["name"], "left_semi", limit)
+    refs = keep(used_names(catalog, ["value_consts"]), "refs")
+    return salted_join(refs, theorems, ["name"], "left_semi", limit)
 
 
 def relevant_premises(catalog: DataFrame, include_simp: bool, limit: int = GROUP_LIMIT) -> DataFrame:
     """Used theorems that are useful as premises."""
     wanted = catalog.filter(F.col("is_theorem") & relevant(include_simp)).select("name")
-    return salted_join(used_names(catalog, ["value_consts"]), wanted, ["name"], "left_semi", limit)
+    refs = keep(used_names(catalog, ["value_consts"]), "refs")
+    return salted_join(refs, wanted, ["name"], "left_semi", limit)
 
 
 def unknown_references(catalog: DataFrame, known: DataFrame | None = None, limit: int = GROUP_LIMIT) -> DataFrame:
     """Names used in a proof or type that the catalogue does not have: ``unit, name``."""
     names = (known if known is not None else catalog).select("name")
-    refs = used_names(catalog, ["value_consts", "type_consts"])
+    refs = keep(used_names(catalog, ["value_consts", "type_consts"]), "refs")
     return salted_join(refs, names, ["name"], "left_anti", limit)
 
 

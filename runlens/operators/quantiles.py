@@ -1,25 +1,26 @@
-"""Exact interpolated percentiles whose state does not grow in one task."""
+"""Exact interpolated percentiles whose state does not grow in one task.
+
+Small groups are ranked by a window. For large groups a mergeable sketch first brackets every wanted
+percentile; rows between brackets then only count, so the values that are ranked exactly are a small
+share of all. Ranks outside the brackets are noticed, and the group is then ranked in full.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordered import GROUP_LIMIT, ranked
+from runlens.operators.ordered import GROUP_LIMIT, ranked, same, scan_groups, split_large, windowed
+from runlens.session import keep
 
+ACCURACY = 10_000
 
-def at_positions(
-    rows: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: dict[str, float],
-    extra: dict[str, Column] | None = None,
-) -> DataFrame:
-    """Percentiles from rows that carry ``n``, ``upto`` and ``total``; one column per entry of ``probs``.
 
-    ``extra`` adds further aggregates over the same rows.
+def at_positions(rows: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
+    """Percentiles from rows that carry ``n``, ``upto`` and ``total``; one column per entry of ``probs``.
 
     Position p·(total−1) is read off the ranks, linear between its two neighbours. Each row only
     contributes where its rank interval covers a position, so the aggregate holds two numbers per
@@ -33,8 +34,7 @@ def at_positions(
 
     low = {name: F.floor(F.lit(float(p)) * last) for name, p in probs.items()}
     high = {name: F.ceil(F.lit(float(p)) * last) for name, p in probs.items()}
-    extra = extra or {}
-    aggs = [F.max("total").alias("total"), *[c.alias(n) for n, c in extra.items()]]
+    aggs = [F.max("total").alias("total")]
     for name in probs:
         aggs.append(F.max(F.when(covers(low[name]), F.col(value))).cast("double").alias(f"_lo_{name}"))
         aggs.append(F.max(F.when(covers(high[name]), F.col(value))).cast("double").alias(f"_hi_{name}"))
@@ -44,7 +44,36 @@ def at_positions(
         spot = F.lit(float(p)) * last
         share = spot - F.floor(spot)
         out.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * share).alias(name))
-    return picked.select(*keys, "total", *extra, *out)
+    return picked.select(*keys, "total", *out)
+
+
+def _bracketed(rows: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], limit: int) -> DataFrame:
+    """Percentiles of large groups; NULL where a position fell between the brackets."""
+    margin = 2.0 / ACCURACY
+    marks = [b for p in sorted(set(probs.values())) for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = F.approx_percentile(value, F.array(*[F.lit(m) for m in marks]), F.lit(ACCURACY))
+    found = rows.groupBy(*keys).agg(sketch.alias("_marks"))
+    if keys:
+        marked = rows.join(found, same(rows, found, keys)).select(*[rows[c] for c in rows.columns], "_marks")
+    else:
+        marked = rows.withColumn("_marks", F.array(*[F.lit(m) for m in found.first()["_marks"]]))
+    # Even slots lie between brackets, odd slots inside one.
+    v, slot = F.col(value), F.lit(len(marks))
+    for i in reversed(range(len(marks))):
+        mark = F.col("_marks")[i]
+        slot = F.when(v < mark if i % 2 == 0 else v <= mark, F.lit(i)).otherwise(slot)
+    cells = marked.withColumn("_slot", slot)
+    cells = cells.withColumn("_v", F.when(F.col("_slot") % 2 == 1, v.cast("double")))
+    cells = keep(cells.groupBy(*keys, "_slot", "_v").agg(F.sum("n").alias("n")), "cells")
+    ranks = scan_groups(
+        cells,
+        keys,
+        ["_slot", "_v"],
+        running={"upto": ("sum", "n")},
+        whole={"total": ("sum", "n")},
+        limit=limit,
+    )
+    return at_positions(ranks, keys, "_v", probs)
 
 
 def percentiles(
@@ -55,8 +84,29 @@ def percentiles(
     limit: int = GROUP_LIMIT,
     n: str | None = None,
 ) -> DataFrame:
-    """Exact percentiles of ``value`` per group: keys, ``total``, one column per entry of ``probs``."""
-    return at_positions(ranked(df, keys, value, limit, n), keys, value, probs)
+    """Exact percentiles of ``value`` per group: keys, ``total``, one column per entry of ``probs``.
+
+    NULLs are left out. ``n`` names a column of row counts. ``df`` is read several times; pass a
+    written frame when it is costly to make.
+    """
+    count = F.lit(1).cast("long") if n is None else F.col(n).cast("long")
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, count.alias("n"))
+    small, large = split_large(rows, keys, limit)
+    parts = []
+    if small is not None:
+        ranks = windowed(small, keys, [value], {"upto": ("sum", "n")}, {"total": ("sum", "n")})
+        parts.append(at_positions(ranks, keys, value, probs))
+    if large is not None:
+        found = _bracketed(large, keys, value, probs, limit)
+        if keys:
+            found = keep(found, "percentiles")
+        else:
+            found = df.sparkSession.createDataFrame(found.take(1), found.schema)
+        missed = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in probs])
+        if not found.filter(missed).isEmpty():
+            found = at_positions(ranked(large, keys, value, limit, n="n"), keys, value, probs)
+        parts.append(found)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def percentile_numbers(

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.numeric import ratio
-from runlens.operators.ordered import ranked
-from runlens.operators.quantiles import at_positions
+from runlens.operators.ordered import GROUP_LIMIT, same
+from runlens.operators.quantiles import percentiles
 
 # The percentiles each report states.
 PAIRED = {"p01": 0.01, "p10": 0.10, "p25": 0.25, "p50": 0.50, "p75": 0.75, "p90": 0.90, "p99": 0.99}
@@ -23,21 +23,27 @@ def unpivot(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
 
 
 def describe(
-    df: DataFrame, columns: Sequence[str], probs: dict[str, float], keys: Sequence[str] = ()
+    df: DataFrame,
+    columns: Sequence[str],
+    probs: dict[str, float],
+    keys: Sequence[str] = (),
+    limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """One row per (keys, metric): count, mean, lowest, highest and percentiles; NULLs left out.
 
-    All columns are summarised together.
+    All columns are summarised together. ``df`` is read several times; pass a written frame when it is
+    costly to make.
     """
     by = [*keys, "metric"]
-    rows = ranked(unpivot(df, columns, keys), by, "value")
-    shape = {
-        "rows": F.sum("n"),
-        "avg": F.sum(F.col("value") * F.col("n")) / F.sum("n"),
-        "min": F.min("value"),
-        "max": F.max("value"),
-    }
-    return at_positions(rows, by, "value", probs, extra=shape).drop("total")
+    rows = unpivot(df, columns, keys).filter(F.col("value").isNotNull())
+    shape = rows.groupBy(*by).agg(
+        F.count("*").alias("rows"),
+        F.avg("value").alias("avg"),
+        F.min("value").alias("min"),
+        F.max("value").alias("max"),
+    )
+    found = percentiles(rows, by, "value", probs, limit).drop("total")
+    return shape.join(found, same(shape, found, by)).select(*[shape[c] for c in shape.columns], *probs)
 
 
 def paired_summary(pairs: DataFrame, old: str, new: str, probs: dict[str, float] = PAIRED) -> DataFrame:

@@ -83,27 +83,32 @@ def density(df: DataFrame, keys: Sequence[str], value: str, points: int = 100) -
 _SUMS = ("s0", "s1", "s2", "t0", "t1")
 
 
-def _block_sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Weighted sums of one block of sources around one block of targets."""
-    for batch in batches:
-        out = []
-        for row in batch.itertuples(index=False):
-            tx, th = np.asarray(row.tx, float)[:, None], np.asarray(row.th, float)[:, None]
-            sx, sw, sy = (np.asarray(v, float)[None, :] for v in (row.sx, row.sw, row.sy))
-            reach = np.where(th > 0, th, 1.0)
-            u = (sx - tx) / reach
-            near = np.clip(1.0 - np.abs(u) ** 3, 0.0, None) ** 3
-            near = np.where(th > 0, near, (sx == tx).astype(float))
-            sums = {
-                "s0": (near * sw).sum(1),
-                "s1": (near * sw * u).sum(1),
-                "s2": (near * sw * u * u).sum(1),
-                "t0": (near * sy).sum(1),
-                "t1": (near * sy * u).sum(1),
-            }
-            out.append(pd.DataFrame({"j": np.asarray(row.tj, "int64"), **sums}))
-        if out:
-            yield pd.concat(out, ignore_index=True)
+def _block_sums():
+    """The task function, made here so that it travels with the job and tasks need not import this package."""
+
+    def sums_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Weighted sums of one block of sources around one block of targets."""
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                tx, th = np.asarray(row.tx, float)[:, None], np.asarray(row.th, float)[:, None]
+                sx, sw, sy = (np.asarray(v, float)[None, :] for v in (row.sx, row.sw, row.sy))
+                u = (sx - tx) / np.where(th > 0, th, 1.0)
+                near = np.clip(1.0 - np.abs(u) ** 3, 0.0, None) ** 3
+                near = np.where(th > 0, near, (sx == tx).astype(float))
+                weight, value = near * sw, near * sy
+                sums = {
+                    "s0": weight.sum(1),
+                    "s1": (weight * u).sum(1),
+                    "s2": (weight * u * u).sum(1),
+                    "t0": value.sum(1),
+                    "t1": (value * u).sum(1),
+                }
+                out.append(pd.DataFrame({"j": np.asarray(row.tj, "int64"), **sums}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return sums_of
 
 
 def _reach(grid: DataFrame, rows: int, k: int, limit: int) -> DataFrame:
@@ -215,7 +220,7 @@ def lowess(
             "tj", "tx", "th", F.col("s.x").alias("sx"), F.col("s.w").alias("sw"), F.col("s.wy").alias("sy")
         )
         schema = "j long, " + ", ".join(f"{c} double" for c in _SUMS)
-        sums = met.mapInPandas(_block_sums, schema).groupBy("j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+        sums = met.mapInPandas(_block_sums(), schema).groupBy("j").agg(*[F.sum(c).alias(c) for c in _SUMS])
         mean_u, mean_y = F.try_divide("s1", "s0"), F.try_divide("t0", "s0")
         var = F.try_divide("s2", "s0") - mean_u * mean_u
         cov = F.try_divide("t1", "s0") - mean_u * mean_y
