@@ -28,9 +28,12 @@ def ranged(df: DataFrame, order: Sequence[str]) -> DataFrame:
     return keep(placed, "ranged")
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Null-safe equality on ``keys``."""
-    return reduce(lambda a, b: a & b, [left[k].eqNullSafe(right[k]) for k in keys])
+def match(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` where NULL equals NULL; the keys come from the left."""
+    names = {k: f"_right{i}" for i, k in enumerate(keys)}
+    right = right.select(*[F.col(c).alias(names.get(c, c)) for c in right.columns])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(r)) for k, r in names.items()])
+    return left.join(right, on, how).drop(*names.values())
 
 
 def _fold(fn: str, column: Column, order: Sequence[str]) -> Column:
@@ -79,7 +82,7 @@ def scan(
         )
         edges = edges.select(F.explode(F.array("_first", "_last")).alias("_edge")).distinct()
         edges = edges.select("_edge.*")
-        totals = placed.join(F.broadcast(edges), same(placed, edges, keys), "left_semi")
+        totals = match(placed, F.broadcast(edges), keys, "left_semi")
     totals = totals.groupBy(*keys, SEG).agg(
         *[_fold(fn, F.col(c), order).alias(name) for name, (fn, c) in steps.items()]
     )
@@ -87,8 +90,8 @@ def scan(
     before = before.rowsBetween(Window.unboundedPreceding, -1)
     across = Window.partitionBy(*(keys or [F.lit(0)]))
     carry = totals.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col(SEG).alias("_s"),
+        *keys,
+        SEG,
         *[_over(fn, F.col(name), before).alias(f"_c_{name}") for name, (fn, _) in running.items()],
         *[_over(fn, F.col(name), across).alias(f"_c_{name}") for name, (fn, _) in whole.items()],
     )
@@ -100,12 +103,9 @@ def scan(
         *[_over(fn, F.col(c), upto).alias(f"_l_{name}") for name, (fn, c) in running.items()],
         *[_over(fn, F.col(c), inside).alias(f"_l_{name}") for name, (fn, c) in whole.items()],
     )
-    match = local[SEG] == carry["_s"]
-    for i, k in enumerate(keys):
-        match = match & local[k].eqNullSafe(carry[f"_k{i}"])
-    joined = local.join(F.broadcast(carry), match, "left")
+    joined = match(local, F.broadcast(carry), [*keys, SEG], "left")
     return joined.select(
-        *[local[c] for c in placed.columns],
+        *placed.columns,
         *[_merge(fn, F.col(f"_l_{n}"), F.col(f"_c_{n}")).alias(n) for n, (fn, _) in running.items()],
         *[F.coalesce(F.col(f"_c_{n}"), F.col(f"_l_{n}")).alias(n) for n in whole],
     )
@@ -140,8 +140,7 @@ def split_large(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT):
     large = keep(sizes.select(*keys), "large")
     if large.isEmpty():
         return df, None
-    match = same(df, large, keys)
-    return df.join(large, match, "left_anti"), df.join(large, match, "left_semi")
+    return match(df, large, keys, "left_anti"), match(df, large, keys, "left_semi")
 
 
 def scan_groups(

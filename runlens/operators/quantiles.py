@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordered import GROUP_LIMIT, ranked, same, scan_groups, split_large, windowed
+from runlens.operators.ordered import GROUP_LIMIT, match, ranked, scan_groups, split_large, windowed
 from runlens.session import keep
 
 ACCURACY = 10_000
@@ -54,7 +54,7 @@ def _bracketed(rows: DataFrame, keys: Sequence[str], value: str, probs: dict[str
     sketch = F.approx_percentile(value, F.array(*[F.lit(m) for m in marks]), F.lit(ACCURACY))
     found = rows.groupBy(*keys).agg(sketch.alias("_marks"))
     if keys:
-        marked = rows.join(found, same(rows, found, keys)).select(*[rows[c] for c in rows.columns], "_marks")
+        marked = match(rows, found, keys)
     else:
         marked = rows.withColumn("_marks", F.array(*[F.lit(m) for m in found.first()["_marks"]]))
     # Even slots lie between brackets, odd slots inside one.

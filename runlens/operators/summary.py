@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.functions.numeric import ratio
-from runlens.operators.ordered import GROUP_LIMIT, same
+from runlens.operators.ordered import GROUP_LIMIT, match
 from runlens.operators.quantiles import percentiles
 
 # The percentiles each report states.
@@ -43,7 +43,7 @@ def describe(
         F.max("value").alias("max"),
     )
     found = percentiles(rows, by, "value", probs, limit).drop("total")
-    return shape.join(found, same(shape, found, by)).select(*[shape[c] for c in shape.columns], *probs)
+    return match(shape, found, by)
 
 
 def paired_summary(pairs: DataFrame, old: str, new: str, probs: dict[str, float] = PAIRED) -> DataFrame:
