@@ -128,8 +128,13 @@ def windowed(
     )
 
 
-def split_large(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT):
-    """``df`` as (rows of groups up to ``limit`` rows or None, rows of larger groups or None)."""
+def split_large(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT, rows: int | None = None):
+    """``df`` as (rows of groups up to ``limit`` rows or None, rows of larger groups or None).
+
+    ``rows`` is a bound of the number of rows, where the caller knows one.
+    """
+    if rows is not None and rows <= limit:
+        return df, None
     if not keys:
         return (df, None) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else (None, df)
     # A cheap pass first: if no hash bucket is above the limit, no group is.
@@ -151,14 +156,15 @@ def scan_groups(
     whole: dict[str, tuple[str, str]] | None = None,
     limit: int = GROUP_LIMIT,
     merge: Callable[[DataFrame], DataFrame] | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """``scan`` for any frame, choosing per group by its size.
 
     ``merge`` shrinks the rows of large groups first, for instance to one row per distinct value; it
-    keeps the columns.
+    keeps the columns. ``rows`` is a bound of the number of rows, if known.
     """
     running, whole = running or {}, whole or {}
-    small, large = split_large(df, keys, limit)
+    small, large = split_large(df, keys, limit, rows)
     parts = []
     if small is not None:
         parts.append(windowed(small, keys, order, running, whole))

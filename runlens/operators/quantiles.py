@@ -83,15 +83,16 @@ def percentiles(
     probs: dict[str, float],
     limit: int = GROUP_LIMIT,
     n: str | None = None,
+    size: int | None = None,
 ) -> DataFrame:
     """Exact percentiles of ``value`` per group: keys, ``total``, one column per entry of ``probs``.
 
-    NULLs are left out. ``n`` names a column of row counts. ``df`` is read several times; pass a
-    written frame when it is costly to make.
+    NULLs are left out. ``n`` names a column of row counts, ``size`` is a bound of the number of rows,
+    if known. ``df`` is read several times; pass a written frame when it is costly to make.
     """
     count = F.lit(1).cast("long") if n is None else F.col(n).cast("long")
     rows = df.filter(F.col(value).isNotNull()).select(*keys, value, count.alias("n"))
-    small, large = split_large(rows, keys, limit)
+    small, large = split_large(rows, keys, limit, size)
     parts = []
     if small is not None:
         ranks = windowed(small, keys, [value], {"upto": ("sum", "n")}, {"total": ("sum", "n")})
@@ -110,9 +111,14 @@ def percentiles(
 
 
 def percentile_numbers(
-    df: DataFrame, value: str, probs: Sequence[float], limit: int = GROUP_LIMIT, n: str | None = None
+    df: DataFrame,
+    value: str,
+    probs: Sequence[float],
+    limit: int = GROUP_LIMIT,
+    n: str | None = None,
+    size: int | None = None,
 ) -> list[float | None]:
     """Overall percentiles as Python numbers, one per entry of ``probs``."""
     named = {f"p{i}": p for i, p in enumerate(probs)}
-    row = percentiles(df, [], value, named, limit, n).first()
+    row = percentiles(df, [], value, named, limit, n, size).first()
     return [row[name] for name in named]

@@ -111,7 +111,7 @@ def _block_sums():
     return sums_of
 
 
-def _reach(grid: DataFrame, rows: int, k: int, limit: int) -> DataFrame:
+def _reach(grid: DataFrame, rows: int, k: int, limit: int, size: int) -> DataFrame:
     """Per distinct x: distance ``h`` of its k-th nearest row and the blocks of those k rows.
 
     The k nearest rows are consecutive in order. Their start ``a`` is the first with
@@ -141,7 +141,7 @@ def _reach(grid: DataFrame, rows: int, k: int, limit: int) -> DataFrame:
     ).select("e.*")
     names = ["first", "first_block", "last", "last_block", "after"]
     starts = events.filter(F.col("pos") <= rows - k).groupBy("pos").agg(*[F.max(c).alias(c) for c in names])
-    starts = scan_groups(starts, [], ["pos"], running={f"r_{c}": ("max", c) for c in names}, limit=limit)
+    starts = scan_groups(starts, [], ["pos"], running={f"r_{c}": ("max", c) for c in names}, limit=limit, rows=3 * size + 1)
     total = F.when(F.col("pos") < rows - k, F.col("r_first") + F.col("r_after")).otherwise(float("inf"))
     offers = starts.select(
         (-total).alias("key"),
@@ -156,7 +156,7 @@ def _reach(grid: DataFrame, rows: int, k: int, limit: int) -> DataFrame:
         F.lit(None).cast(offers.schema["start"].dataType).alias("start"),
     )
     met = scan_groups(
-        offers.unionByName(wanted), [], ["key", "kind"], running={"found": ("min", "start")}, limit=limit
+        offers.unionByName(wanted), [], ["key", "kind"], running={"found": ("min", "start")}, limit=limit, rows=4 * size + 1
     ).filter(F.col("kind") == 1)
     first, last = F.col("found.r_first"), F.col("found.r_last")
     return met.select(
@@ -192,14 +192,14 @@ def lowess(
     valued = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     cells = valued.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     cells = keep(cells.agg(F.count("*").alias("n")), "lowess-cells")
+    size, rows = cells.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     per_x = cells.groupBy("x").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("ny"))
     per_x = per_x.withColumn("_one", F.lit(1).cast("long"))
-    grid = scan_groups(per_x, [], ["x"], running={"upto": ("sum", "n"), "j": ("sum", "_one")}, limit=limit)
+    grid = scan_groups(per_x, [], ["x"], running={"upto": ("sum", "n"), "j": ("sum", "_one")}, limit=limit, rows=size)
     grid = keep(grid.withColumn("block", F.floor((F.col("j") - 1) / block)).drop("_one"), "lowess-grid")
-    rows = grid.agg(F.sum("n")).first()[0] or 0
     k = min(max(int(frac * rows + 1e-10), 1), max(rows, 1))
 
-    reach = _reach(grid, rows, k, limit)
+    reach = _reach(grid, rows, k, limit, size)
     targets = reach.groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("j", "x", "h"))).alias("t"),
         F.min("from_block").alias("_from"),
@@ -237,7 +237,7 @@ def lowess(
             "r", F.abs(F.col("y") - F.col("fit"))
         )
         resid = keep(resid, "lowess-residuals")
-        middle = percentile_numbers(resid, "r", [0.5], limit, n="n")[0]
+        middle = percentile_numbers(resid, "r", [0.5], limit, n="n", size=size)[0]
         if middle is None:
             break
         if middle > 0:

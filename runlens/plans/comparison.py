@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -192,16 +193,14 @@ def matrix(src: Sources, search: tuple[str, str] | None, saturate: tuple[str, st
     return out
 
 
-def run_matrix(src: Sources, analyses: list[Analysis], limits: Thresholds = Thresholds()) -> list[Outcome]:
-    """All analyses; those of the same variants share one written join."""
-    joined: dict[tuple[str, str], DataFrame] = {}
-    outcomes = []
-    for a in analyses:
-        pair = (a.old, a.new)
-        if pair not in joined:
-            joined[pair] = keep(compare.joined_sources(src, *pair), "joined")
-        outcomes.append(run(src, a, limits, joined[pair]))
-    return outcomes
+def run_matrix(
+    src: Sources, analyses: list[Analysis], limits: Thresholds = Thresholds(), at_once: int = 8
+) -> list[Outcome]:
+    """All analyses, ``at_once`` of them together; those of the same variants share one written join."""
+    pairs = {(a.old, a.new) for a in analyses}
+    joined = {pair: keep(compare.joined_sources(src, *pair), "joined") for pair in pairs}
+    with ThreadPoolExecutor(at_once) as pool:
+        return list(pool.map(lambda a: run(src, a, limits, joined[a.old, a.new]), analyses))
 
 
 def matrix_report(outcomes: list[Outcome]) -> DataFrame:
@@ -209,18 +208,28 @@ def matrix_report(outcomes: list[Outcome]) -> DataFrame:
     return reduce(DataFrame.unionByName, [o.report() for o in outcomes])
 
 
-def export(outcome: Outcome, path: str) -> None:
-    """Write curves as Parquet and outliers as text records (values in ns become ms)."""
-    label = outcome.analysis.label
-    for name, make in outcome.curves.items():
+def export(outcomes: list[Outcome], path: str, at_once: int = 8) -> None:
+    """Write curves as Parquet and outliers as text records (values in ns become ms).
+
+    The jobs do not depend on each other, so ``at_once`` of them are handed to Spark together.
+    """
+
+    def write_curve(name: str, make: Callable[[], DataFrame | None]) -> None:
         curve = make()
         if curve is not None:
-            curve.write.parquet(f"{path}/curves/{label}_{name}")
-    for name, df in outcome.outliers.items():
-        texts = [
-            F.col(f"new_{c}").alias(c) if f"new_{c}" in df.columns else F.lit("").alias(c) for c in TEXTS
-        ]
-        rows = df.select(
-            "unit", *texts, ns_to_ms(F.col("old_value")).alias("old_ms"), ns_to_ms(F.col("new_value")).alias("new_ms"), "slowdown"
-        )
-        write_outliers(rows, f"{path}/samples/{label}_{name}")
+            curve.write.parquet(f"{path}/curves/{name}")
+
+    def write_rows(name: str, df: DataFrame) -> None:
+        texts = [F.col(f"new_{c}").alias(c) if f"new_{c}" in df.columns else F.lit("").alias(c) for c in TEXTS]
+        old_ms, new_ms = (ns_to_ms(F.col(c)) for c in ("old_value", "new_value"))
+        rows = df.select("unit", *texts, old_ms.alias("old_ms"), new_ms.alias("new_ms"), "slowdown")
+        write_outliers(rows, f"{path}/samples/{name}")
+
+    with ThreadPoolExecutor(at_once) as pool:
+        jobs = []
+        for outcome in outcomes:
+            label = outcome.analysis.label
+            jobs += [pool.submit(write_curve, f"{label}_{n}", make) for n, make in outcome.curves.items()]
+            jobs += [pool.submit(write_rows, f"{label}_{n}", df) for n, df in outcome.outliers.items()]
+        for job in jobs:
+            job.result()

@@ -64,8 +64,7 @@ def analyze(
     general = [size_report(result_runs, stats_runs), cleaning_report(result_runs, stats_runs, src), sanity_report(src)]
     rows = reduce(DataFrame.unionByName, general).select(F.lit("general").alias("analysis"), "*")
     rows.unionByName(comparison.matrix_report(outcomes)).write.parquet(f"{out_path}/report")
-    for outcome in outcomes:
-        comparison.export(outcome, out_path)
+    comparison.export(outcomes, out_path)
     report = spark.read.parquet(f"{out_path}/report")
     report_text(report.withColumn("section", F.concat_ws("/", "analysis", "section"))).orderBy(
         "section", "key", "metric"

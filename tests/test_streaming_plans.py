@@ -38,7 +38,7 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
 
 
 def write_raw(spark, tmp_path):
-    """Raw tables of 60 units, three runs each; unit 7 is trivial, unit 9 differs in outcome."""
+    """Raw tables of 60 units, three runs each; unit 9 differs in outcome."""
     units = spark.range(60).withColumn("unit", F.concat(F.lit("u"), "id"))
     runs = units.select("*", F.explode(F.array(*[F.lit(v) for v in ("base", "old", "new")])).alias("variant"))
     runs = runs.select("*", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("run"))
@@ -62,12 +62,11 @@ def write_raw(spark, tmp_path):
 def test_whole_analysis(spark, tmp_path):
     write_raw(spark, tmp_path)
     report = reports.analyze(
-        spark, f"{tmp_path}/results", f"{tmp_path}/stats", f"{tmp_path}/out", ("old", "new"), None, "base"
+        spark, f"{tmp_path}/results", f"{tmp_path}/stats", f"{tmp_path}/out", ("old", "new"), None
     )
     values = {(r["analysis"], r["section"], r["key"], r["metric"]): r["value"] for r in report.collect()}
     assert values[("search_all", "funnel", "all", "base")] == 60
     assert values[("search_all", "funnel", "all", "included")] == 59
-    assert values[("search_all_nontrivial", "funnel", "all", "excluded_trivial")] == 1
     assert values[("search_all", "solved", "all", "old")] == 60
     assert values[("search_all", "solved", "all", "new")] == 59
     assert values[("general", "exclusions/results", "old", "kept")] == 60
