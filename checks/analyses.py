@@ -8,6 +8,8 @@ from checks import tables as t
 from checks.cleaning import EXCLUSIONS
 from checks.cleaning import SQL as CLEANING_SQL
 from checks.comparing import SQL as COMPARING_SQL
+from checks.comparing import statistics_sql
+from runlens.operators import summary
 from runlens.plans import comparison, reports
 from runlens.sources.report import report_text
 
@@ -70,9 +72,27 @@ def analysis_matrix(spark, sf):
 
 
 LIMITS = comparison.Thresholds(at_least=20000.0)
+SIDES = ["old", "new", "difference", "speedup"]
+OLD_DEPTH = f"""WITH {t.COHORT}, pairs AS (SELECT max_depth FROM stats WHERE variant = 'A' AND unit IN (SELECT unit FROM cohort)) """
+FULL = [
+    tidy_sql("funnel", COMPARING_SQL["funnel_all"], FUNNEL_METRICS),
+    tidy_sql(
+        "solved",
+        "SELECT max(solved) FILTER (variant = 'A') AS old, max(solved) FILTER (variant = 'R') AS new "
+        f"FROM ({COMPARING_SQL['solved_counts']})",
+        ["old", "new"],
+    ),
+    tidy_sql("stats_values", COMPARING_SQL["stats_summary"], SIDES, "statistic"),
+    tidy_sql("results_values", COMPARING_SQL["results_summary"], SIDES, "statistic"),
+    tidy_sql(
+        "max_depth",
+        OLD_DEPTH + statistics_sql("pairs", ["max_depth"], summary.PAIRED),
+        ["rows", "min", *summary.PAIRED, "max", "avg"],
+    ),
+]
 
 
-@query("full_report")
+@query("full_report", "SELECT 'search_all' AS analysis, * FROM (" + " UNION ALL ".join(FULL) + ")")
 def full_report(spark, sf):
     src = sources(spark, sf)
     outcome = comparison.run(src, comparison.Analysis("search", t.OLD, t.NEW), LIMITS)

@@ -135,6 +135,8 @@ def split_large(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT, ro
     """
     if rows is not None and rows <= limit:
         return df, None
+    if not keys and rows is not None:
+        return None, df
     if not keys:
         return (df, None) if len(df.select(F.lit(1)).take(limit + 1)) <= limit else (None, df)
     # A cheap pass first: if no hash bucket is above the limit, no group is.

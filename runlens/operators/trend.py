@@ -184,16 +184,18 @@ def lowess(
     the first re-weights rows by their residual (bisquare, six median absolute residuals). Where the
     k nearest rows share one x the fit is their weighted mean.
 
-    Rows merge per distinct (x, y) first. Distinct x form blocks of fixed size; a block of targets
+    Rows merge per distinct x, and per distinct (x, y) for the passes. Distinct x form blocks of fixed size; a block of targets
     meets only the blocks its neighbourhoods reach, by an equi-join on the block number, and numpy
     sums inside one pair of blocks. So no task holds more than two blocks, and no pair of rows is
     ever a row of its own.
     """
     valued = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cells = valued.groupBy(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
-    cells = keep(cells.agg(F.count("*").alias("n")), "lowess-cells")
-    size, rows = cells.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    cells = valued.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(1).alias("n"))
+    if passes:
+        cells = keep(cells.groupBy("x", "y").agg(F.sum("n").alias("n")), "lowess-cells")
     per_x = cells.groupBy("x").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("y")).alias("ny"))
+    per_x = keep(per_x, "lowess-x")
+    size, rows = per_x.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     per_x = per_x.withColumn("_one", F.lit(1).cast("long"))
     grid = scan_groups(per_x, [], ["x"], running={"upto": ("sum", "n"), "j": ("sum", "_one")}, limit=limit, rows=size)
     grid = keep(grid.withColumn("block", F.floor((F.col("j") - 1) / block)).drop("_one"), "lowess-grid")
@@ -232,6 +234,7 @@ def lowess(
         return keep(out, "lowess-fit")
 
     fit = fit_with(grid.select("block", "x", F.col("n").cast("double").alias("w"), F.col("ny").alias("wy")))
+    size = cells.count() if passes else 0
     for _ in range(passes):
         resid = cells.join(fit.select("x", "block", "fit"), "x").withColumn(
             "r", F.abs(F.col("y") - F.col("fit"))
