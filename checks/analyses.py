@@ -9,21 +9,12 @@ from checks.cleaning import EXCLUSIONS
 from checks.cleaning import SQL as CLEANING_SQL
 from checks.comparing import SQL as COMPARING_SQL
 from checks.comparing import statistics_sql
+from checks.registry import registry
 from runlens.operators import summary
 from runlens.plans import comparison, reports
 from runlens.sources.report import report_text
 
-QUERIES, SQL = {}, {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def rounded_values(df):

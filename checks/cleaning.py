@@ -5,21 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks import tables as t
+from checks.registry import registry
 from runlens.functions import numeric, predicates
 from runlens.operators import clean, compare, ordered
 from runlens.operators.quantiles import percentiles
 
-QUERIES, SQL = {}, {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 @query(

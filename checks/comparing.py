@@ -6,22 +6,13 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from checks.cleaning import rounded
+from checks.registry import registry
 from runlens.functions import nested, predicates
 from runlens.functions.numeric import ratio
 from runlens.operators import clean, compare, summary
 from runlens.session import keep
 
-QUERIES, SQL = {}, {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 def statistics_sql(source, columns, probs, where=""):

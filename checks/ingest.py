@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from checks import tables as t
 from checks.cleaning import rounded
 from checks.comparing import cohort_pairs, PAIRED_STATS
+from checks.registry import registry
 from runlens import schemas
 from runlens.functions import keys
 from runlens.operators import compare
@@ -18,17 +19,7 @@ from runlens.sources import console, lines, report, results, runlog, stats
 from runlens.streaming import ingest as stream_ingest
 from runlens.streaming import progress
 
-QUERIES, SQL = {}, {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 VARIANTS = ["base", "old", "new"]

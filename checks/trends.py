@@ -6,19 +6,10 @@ from pyspark.sql import functions as F
 
 from checks import tables as t
 from checks.cleaning import rounded
+from checks.registry import registry
 from runlens.operators import trend
 
-QUERIES, SQL = {}, {}
-
-
-def query(name, sql=None):
-    def add(fn):
-        QUERIES[name] = fn
-        if sql is not None:
-            SQL[name] = sql
-        return fn
-
-    return add
+QUERIES, SQL, query = registry()
 
 
 POINTS = """points AS (

@@ -219,6 +219,9 @@ def cumulative_counts(df: DataFrame, keys: Sequence[str], value: str, limit: int
 def fill_forward(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str], limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """Replace NULLs by the last non-NULL value before, in ``order`` inside each group."""
+    """Replace NULLs by the last non-NULL value before, in ``order`` inside each group.
+
+    ``order`` must identify a row of its group.
+    """
     out = scan_groups(df, keys, order, running={f"_f_{c}": ("last", c) for c in columns}, limit=limit)
     return out.select(*[F.col(f"_f_{c}").alias(c) if c in columns else F.col(c) for c in df.columns])

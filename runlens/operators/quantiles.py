@@ -54,7 +54,8 @@ def _bracketed(rows: DataFrame, keys: Sequence[str], value: str, probs: dict[str
     sketch = F.approx_percentile(value, F.array(*[F.lit(m) for m in marks]), F.lit(ACCURACY))
     found = rows.groupBy(*keys).agg(sketch.alias("_marks"))
     if keys:
-        marked = match(rows, found, keys)
+        # Written first, so that the planner knows how small it is and need not shuffle the rows.
+        marked = match(rows, keep(found, "brackets"), keys)
     else:
         marked = rows.withColumn("_marks", F.array(*[F.lit(m) for m in found.first()["_marks"]]))
     # Even slots lie between brackets, odd slots inside one.
