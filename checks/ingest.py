@@ -144,6 +144,32 @@ def strict_results(spark, sf):
     )
 
 
+@query(
+    "flattened_results",
+    f"""SELECT 'a.b\\' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS unit, 0 AS place, 'S' AS status,
+      CAST(l_quantity AS BIGINT) AS ms FROM lineitem
+    UNION ALL SELECT 'a.b\\' || l_orderkey || '.' || l_linenumber || '.' || l_partkey, 1, {CODE},
+      CAST(l_quantity + 1 AS BIGINT) FROM lineitem""",
+)
+def flattened_results(spark, sf):
+    rows = result_table(spark, sf).select(
+        keys.readable_key(F.col("key")).alias("unit"), F.posexplode("results").alias("place", "r")
+    )
+    return rows.select("unit", "place", "r.status", "r.ms")
+
+
+@query(
+    "status_codes",
+    """SELECT CASE l_returnflag WHEN 'N' THEN 'nonProp' WHEN 'A' THEN 'success' ELSE 'other' END AS status_class,
+    CASE l_returnflag WHEN 'N' THEN 'N' WHEN 'A' THEN 'S' END AS status, count(*) AS n FROM lineitem GROUP BY l_returnflag""",
+)
+def status_codes(spark, sf):
+    flag = F.col("l_returnflag")
+    named = F.when(flag == "N", "nonProp").when(flag == "A", "success").otherwise("other")
+    rows = t.table(spark, sf, "lineitem").groupBy(named.alias("status_class")).agg(F.count("*").alias("n"))
+    return schemas.encode_status(rows)
+
+
 @query(
     "status_classes",
     """SELECT l_returnflag AS status, CASE l_returnflag WHEN 'N' THEN 'nonProp' END AS status_class, count(*) AS n

@@ -171,6 +171,18 @@ def package_units(spark, sf):
     return catalog.from_package(doc_catalog(spark, sf), "en").select("name")
 
 
+@query(
+    "filtered_modules",
+    f"""WITH {CATALOG} SELECT name, module FROM catalog WHERE module LIKE 'en.%' OR module IN (SELECT module FROM catalog WHERE is_proj)""",
+)
+def filtered_modules(spark, sf):
+    units = doc_catalog(spark, sf)
+    english = catalog.module_filter(units, F.col("module").like("en.%"))
+    rest = catalog.module_filter(units, ~F.col("module").like("en.%"))
+    others = catalog.module_filter(rest, units.filter(F.col("is_proj")).select("module"))
+    return english.select("name", "module").unionByName(others.select("name", "module"))
+
+
 def sql_list(words):
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 

@@ -39,6 +39,15 @@ def from_package(df: DataFrame, package: str, module: str = "module") -> DataFra
     return df.filter(first_part(F.col(module)) == package)
 
 
+def module_filter(df: DataFrame, wanted: Column | DataFrame | None = None, module: str = "module") -> DataFrame:
+    """Rows of the wanted modules, given as a condition or as a table of modules; all by default."""
+    if wanted is None:
+        return df
+    if isinstance(wanted, Column):
+        return df.filter(wanted)
+    return df.join(wanted.select(F.col("module").alias(module)).distinct(), module, "left_semi")
+
+
 def only_uses(consts: Column, allowed: Sequence[str]) -> Column:
     """Every used constant is in ``allowed``."""
     return F.size(F.array_except(consts, F.array(*[F.lit(a) for a in allowed]))) == 0

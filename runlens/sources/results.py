@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.functions.keys import escape_key, normalize_key, parse_key
+from runlens.functions.keys import escape_key, module_of_path, normalize_key, parse_key
 from runlens.operators.ordered import scan_groups, with_index
 from runlens.schemas import STATUS, is_success
 from runlens.session import fresh_path
@@ -125,6 +125,20 @@ def strict_results(line: Column, where: Column) -> Column:
     return F.transform(F.split(F.regexp_extract(line, STRICT_LINE, 1), ", "), one)
 
 
+def read_tree(spark: SparkSession, root: str, suffix: str = ".result") -> DataFrame:
+    """All result files below ``root``, strict, with the module from the path: ``module, key, results``."""
+    rows = read_strict(spark, root, f"*{suffix}")
+    return rows.select(module_of_path(F.col("path"), root, suffix).alias("module"), "key", "results", *PLACE)
+
+
+def read_tree_tolerant(
+    spark: SparkSession, root: str, planned: DataFrame, suffix: str = ".result"
+) -> tuple[DataFrame, DataFrame]:
+    """Results below ``root`` and the planned modules that returned none; empty files are no error."""
+    found = read_tree(spark, root, suffix)
+    return found, not_returning(planned, found)
+
+
 def not_returning(planned: DataFrame, results: DataFrame) -> DataFrame:
     """Planned modules without any result line.
 

@@ -43,8 +43,12 @@ def test_strict_reader(spark, tmp_path):
     head = "Total elapsed time : 5 ms\n\nSummary:\n\n"
     write(tmp_path / "ok" / "A" / "b.result", head + GOOD + "\n1 #[S 3 41] A.\\3.\n")
     rows = results.read_strict(spark, str(tmp_path / "ok"))
-    module = keys.module_of_path(F.col("path"), str(tmp_path / "ok"), ".result")
-    got = {r["k"]: (r["m"], len(r["results"]), r["results"][0]["hb"]) for r in rows.select("*", module.alias("m"), keys.readable_key(F.col("key")).alias("k")).collect()}
+    assert rows.count() == 2
+    write(tmp_path / "ok" / "C.result", "")
+    planned = spark.createDataFrame([("A.b",), ("C",)], "module string")
+    tree, missing = results.read_tree_tolerant(spark, str(tmp_path / "ok"), planned)
+    assert [r["module"] for r in missing.collect()] == ["C"]
+    got = {r["k"]: (r["module"], len(r["results"]), r["results"][0]["hb"]) for r in tree.select("*", keys.readable_key(F.col("key")).alias("k")).collect()}
     assert got == {"Foo.bar": ("A.b", 6, 40), "A.3": ("A.b", 1, 41)}
     write(tmp_path / "nohead" / "a.result", "x\n\nsummary\n\n" + GOOD + "\n")
     with pytest.raises(ValueError):
