@@ -91,24 +91,38 @@ def percentiles(
     NULLs are left out. ``n`` names a column of row counts, ``size`` is a bound of the number of rows,
     if known. ``df`` is read several times; pass a written frame when it is costly to make.
     """
-    count = F.lit(1).cast("long") if n is None else F.col(n).cast("long")
-    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, count.alias("n"))
+    rows = _weighted(df, keys, value, n)
+    if not keys:
+        row = _overall(rows, value, probs, limit, size)
+        types = "total bigint, " + ", ".join(f"{name} double" for name in probs)
+        return df.sparkSession.createDataFrame([row], types)
     small, large = split_large(rows, keys, limit, size)
-    parts = []
+    ranks = windowed(small, keys, [value], {"upto": ("sum", "n")}, {"total": ("sum", "n")})
+    found = at_positions(ranks, keys, value, probs)
+    if large is None:
+        return found
+    bracketed = keep(_bracketed(large, keys, value, probs, limit), "percentiles")
+    missed = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in probs])
+    if not bracketed.filter(missed).isEmpty():
+        bracketed = at_positions(ranked(large, keys, value, limit, n="n"), keys, value, probs)
+    return found.unionByName(bracketed)
+
+
+def _weighted(df: DataFrame, keys: Sequence[str], value: str, n: str | None) -> DataFrame:
+    count = F.lit(1).cast("long") if n is None else F.col(n).cast("long")
+    return df.filter(F.col(value).isNotNull()).select(*keys, value, count.alias("n"))
+
+
+def _overall(rows: DataFrame, value: str, probs: dict[str, float], limit: int, size: int | None):
+    """One row of percentiles over all rows."""
+    small, large = split_large(rows, [], limit, size)
     if small is not None:
-        ranks = windowed(small, keys, [value], {"upto": ("sum", "n")}, {"total": ("sum", "n")})
-        parts.append(at_positions(ranks, keys, value, probs))
-    if large is not None:
-        found = _bracketed(large, keys, value, probs, limit)
-        if keys:
-            found = keep(found, "percentiles")
-        else:
-            found = df.sparkSession.createDataFrame(found.take(1), found.schema)
-        missed = reduce(lambda a, b: a | b, [F.col(name).isNull() for name in probs])
-        if not found.filter(missed).isEmpty():
-            found = at_positions(ranked(large, keys, value, limit, n="n"), keys, value, probs)
-        parts.append(found)
-    return reduce(DataFrame.unionByName, parts)
+        ranks = windowed(small, [], [value], {"upto": ("sum", "n")}, {"total": ("sum", "n")})
+        return at_positions(ranks, [], value, probs).first()
+    row = _bracketed(large, [], value, probs, limit).first()
+    if any(row[name] is None for name in probs):
+        row = at_positions(ranked(large, [], value, limit, n="n"), [], value, probs).first()
+    return row
 
 
 def percentile_numbers(
@@ -121,5 +135,5 @@ def percentile_numbers(
 ) -> list[float | None]:
     """Overall percentiles as Python numbers, one per entry of ``probs``."""
     named = {f"p{i}": p for i, p in enumerate(probs)}
-    row = percentiles(df, [], value, named, limit, n, size).first()
+    row = _overall(_weighted(df, [], value, n), value, named, limit, size)
     return [row[name] for name in named]
