@@ -15,7 +15,7 @@ FOLDS = 7
 HELD_OUT = 2
 ORDER = 2
 # Weight of the shorter context, in tokens: p(w | context) = (count + WEIGHT * p(w | shorter)) / (count of context + WEIGHT).
-WEIGHT = 20.0
+WEIGHT = 200.0
 # Words of one block of documents, and keys that one counting task gets, on average.
 BLOCK_WORDS = 800_000
 BUCKET_KEYS = 500_000
