@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from runlens.llm import bpe, fingerprint, langid, lm, packing, simhash, substring, toxicity
+from runlens.llm import bpe, fingerprint, langid, licences, lm, neighbours, packing, simhash, substring, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1,
     "op2_packing": packing.op2,
+    "op3_neighbours": neighbours.op3,
     "op4_order_minhash": fingerprint.op4,
     "op5_bpe": bpe.op5,
     "op6_lm_scoring": lm.op6,
+    "op7_licences": licences.op7,
     "op8_substring_dedup": substring.op8,
     "op9_toxicity": toxicity.op9,
     "op10_simhash": simhash.op10,
