@@ -39,13 +39,13 @@ def sources(spark, sf):
 FUNNEL_METRICS = ["base"] + [
     f"{n}{s}"
     for s in ("", "_pct")
-    for n in ["excluded_timeout", "excluded_outcome", "excluded_not_both_ok", "excluded_trivial", "included"]
+    for n in ["without_in_time", "without_same_outcome", "without_both_ok", "without_nontrivial", "included"]
 ]
 MATRIX = {
-    "search_all": "funnel_all",
-    "search_success_only": "funnel_both_ok",
-    "search_all_nontrivial": "funnel_nontrivial",
-    "search_success_only_nontrivial": "funnel_both_ok_nontrivial",
+    "search-in_time-same_outcome": "funnel_all",
+    "search-in_time-same_outcome-both_ok": "funnel_both_ok",
+    "search-in_time-same_outcome-nontrivial": "funnel_nontrivial",
+    "search-in_time-same_outcome-both_ok-nontrivial": "funnel_both_ok_nontrivial",
 }
 
 
@@ -83,7 +83,7 @@ FULL = [
 ]
 
 
-@query("full_report", "SELECT 'search_all' AS analysis, * FROM (" + " UNION ALL ".join(FULL) + ")")
+@query("full_report", "SELECT 'search-in_time-same_outcome' AS analysis, * FROM (" + " UNION ALL ".join(FULL) + ")")
 def full_report(spark, sf):
     src = sources(spark, sf)
     outcome = comparison.run(src, comparison.Analysis("search", t.OLD, t.NEW), LIMITS)

@@ -36,9 +36,9 @@ pairs AS (
   WHERE o.unit IN (SELECT unit FROM cohort))"""
 
 
-def cohort_pairs(spark, sf, **flags):
+def cohort_pairs(spark, sf, more=()):
     src = t.sources(spark, sf)
-    units = compare.cohort(src, t.OLD, t.NEW, outcome_match=True, timeout=True, **flags)
+    units = compare.cohort(src, t.OLD, t.NEW, ["in_time", "same_outcome", *more])
     sides = [compare.in_cohort(compare.variant_slice(src.stats, v), units) for v in (t.OLD, t.NEW)]
     return keep(compare.pair(*sides), "pairs")
 
@@ -94,16 +94,16 @@ def cross_source_join(spark, sf):
     return compare.cross_source(t.results(spark, sf), t.stats(spark, sf))
 
 
-for _name, _flags, _where in [
-    ("cohort_all", {}, f"{t.IN_TIME} AND old_ok = new_ok"),
-    ("cohort_both_ok", {"outcome_both": True}, f"{t.IN_TIME} AND old_ok = new_ok AND old_ok AND new_ok"),
-    ("cohort_nontrivial", {"exclude_trivial": True}, f"{t.IN_TIME} AND old_ok = new_ok AND NOT trivial"),
+for _name, _more, _where in [
+    ("cohort_all", [], f"{t.IN_TIME} AND old_ok = new_ok"),
+    ("cohort_both_ok", ["both_ok"], f"{t.IN_TIME} AND old_ok = new_ok AND old_ok AND new_ok"),
+    ("cohort_nontrivial", ["nontrivial"], f"{t.IN_TIME} AND old_ok = new_ok AND NOT trivial"),
 ]:
 
     @query(_name, f"WITH {t.JOINED} SELECT unit FROM joined WHERE {_where}")
-    def _cohort(spark, sf, flags=_flags):
+    def _cohort(spark, sf, more=_more):
         src = t.sources(spark, sf)
-        units = compare.cohort(src, t.OLD, t.NEW, outcome_match=True, timeout=True, **flags)
+        units = compare.cohort(src, t.OLD, t.NEW, ["in_time", "same_outcome", *more])
         return clean.require_unique(units, ["unit"])
 
 
@@ -113,7 +113,7 @@ for _name, _flags, _where in [
 )
 def cohort_slice(spark, sf):
     src = t.sources(spark, sf)
-    units = compare.cohort(src, t.OLD, t.NEW, outcome_match=True, timeout=True)
+    units = compare.cohort(src, t.OLD, t.NEW, ["in_time", "same_outcome"])
     return compare.in_cohort(compare.variant_slice(src.stats, t.OLD), units).select("unit", "ok", "value")
 
 
@@ -160,12 +160,12 @@ def funnel_sql(both, nontrivial):
     c1 = f"{IN} AND old_ok = new_ok"
     c2 = f"{c1} AND old_ok AND new_ok" if both else c1
     c3 = f"{c2} AND NOT trivial" if nontrivial else c2
-    names = ["excluded_timeout", "excluded_outcome", "excluded_not_both_ok", "excluded_trivial", "included"]
+    names = ["without_in_time", "without_same_outcome", "without_both_ok", "without_nontrivial", "included"]
     pct = ", ".join(f"round({n} / base * 100, 6) AS {n}_pct" for n in names)
     return f"""WITH {t.JOINED}, c AS (SELECT count(*) AS base, count(*) FILTER ({c0}) AS c0,
       count(*) FILTER ({c1}) AS c1, count(*) FILTER ({c2}) AS c2, count(*) FILTER ({c3}) AS included FROM joined),
-    f AS (SELECT base, base - c0 AS excluded_timeout, c0 - c1 AS excluded_outcome, c1 - c2 AS excluded_not_both_ok,
-      c2 - included AS excluded_trivial, included FROM c)
+    f AS (SELECT base, base - c0 AS without_in_time, c0 - c1 AS without_same_outcome, c1 - c2 AS without_both_ok,
+      c2 - included AS without_nontrivial, included FROM c)
     SELECT f.*, {pct} FROM f"""
 
 
@@ -180,7 +180,8 @@ for _name, _both, _nontrivial in [
     def _funnel(spark, sf, both=_both, nontrivial=_nontrivial):
         src = t.sources(spark, sf)
         joined = compare.joined_sources(src, t.OLD, t.NEW)
-        return rounded(compare.funnel(joined, src, only_ok=both, exclude_trivial=nontrivial))
+        wanted = ["in_time", "same_outcome", *["both_ok"] * both, *["nontrivial"] * nontrivial]
+        return rounded(compare.funnel(joined, src, wanted))
 
 
 @query(
@@ -241,7 +242,7 @@ def stats_summary(spark, sf):
 )
 def results_summary(spark, sf):
     src = t.sources(spark, sf)
-    units = compare.cohort(src, t.OLD, t.NEW, outcome_match=True, timeout=True)
+    units = compare.cohort(src, t.OLD, t.NEW, ["in_time", "same_outcome"])
     sides = [compare.in_cohort(compare.variant_slice(src.results, v), units) for v in (t.OLD, t.NEW)]
     return rounded(summary.paired_summary(keep(compare.pair(*sides), "pairs"), "old_value", "new_value"))
 

@@ -35,9 +35,14 @@ class Analysis:
     exclude_trivial: bool = False
     search: bool = True
 
+    @property
+    def wanted(self) -> list[str]:
+        """The conditions of its units."""
+        return ["in_time", "same_outcome", *["both_ok"] * self.only_ok, *["nontrivial"] * self.exclude_trivial]
+
     @property
     def label(self) -> str:
-        return self.name + ("_success_only" if self.only_ok else "_all") + ("_nontrivial" if self.exclude_trivial else "")
+        return "-".join([self.name, *self.wanted])
 
 
 @dataclass(frozen=True)
@@ -137,15 +142,12 @@ def run(src: Sources, analysis: Analysis, limits: Thresholds = Thresholds(), joi
     a = analysis
     if joined is None:
         joined = keep(compare.joined_sources(src, a.old, a.new), "joined")
-    wanted = compare.cohort_condition(
-        src, outcome_match=True, timeout=True, outcome_both=a.only_ok, exclude_trivial=a.exclude_trivial
-    )
-    cohort = require_unique(keep(joined.filter(wanted).select("unit"), "cohort"), ["unit"])
+    cohort = require_unique(keep(joined.filter(compare.meets(src, a.wanted)).select("unit"), "cohort"), ["unit"])
     pairs = keep(paired_frame(src, cohort, a.old, a.new), "pairs")
     result_pairs = joined.join(cohort, "unit", "left_semi")
     out = Outcome(a, pairs)
 
-    out.tables["funnel"] = compare.funnel(joined, src, a.only_ok, a.exclude_trivial)
+    out.tables["funnel"] = compare.funnel(joined, src, a.wanted)
     solved = compare.solved_counts(src.results.filter(F.col("variant").isin(a.old, a.new)))
     out.tables["solved"] = solved.agg(
         F.max(F.when(F.col("variant") == a.old, F.col("solved"))).alias("old"),

@@ -101,12 +101,12 @@ def make_sources(spark):
 def test_funnel_parts_sum_up(spark):
     src = make_sources(spark)
     joined = compare.joined_sources(src, "old", "new")
-    row = compare.funnel(joined, src, only_ok=True, exclude_trivial=True).first().asDict()
+    row = compare.funnel(joined, src, compare.FUNNEL).first().asDict()
     assert row["base"] == 5
-    parts = ["excluded_timeout", "excluded_outcome", "excluded_not_both_ok", "excluded_trivial", "included"]
+    parts = [*[f"without_{name}" for name in compare.FUNNEL], "included"]
     assert [row[p] for p in parts] == [1, 1, 1, 1, 1]
     assert sum(row[p] for p in parts) == row["base"]
-    units = compare.cohort(src, "old", "new", outcome_match=True, outcome_both=True, timeout=True, exclude_trivial=True)
+    units = compare.cohort(src, "old", "new", compare.FUNNEL)
     assert [r["unit"] for r in units.collect()] == ["good"]
 
 
