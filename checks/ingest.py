@@ -189,18 +189,74 @@ def status_success(spark, sf):
     return rows.groupBy("l_returnflag", "l_linestatus", "ok").agg(F.count("*").alias("n"))
 
 
+def result_tree(spark, sf):
+    """Nested result files of the suppliers: some without results, some empty, some absent."""
+    planned = t.table(spark, sf, "supplier").select(
+        F.concat(F.lit("Lib.S"), F.col("s_suppkey").cast("string")).alias("module"), F.col("s_suppkey") % 10
+    ).toDF("module", "kind")
+    rows = result_table(spark, sf)
+    rows = rows.filter(F.col("l_suppkey") % 10 < 7)
+    root = fresh_path(spark, "tree")
+    results.write_tree(rows, ORDER, planned.filter("kind < 8"), root)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for row in planned.filter("kind = 8").collect():  # empty files have no writer in Spark
+        path = hadoop.Path(f"{root}/{row['module'].replace('.', '/')}.result")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path).close()
+    return root, planned
+
+
+@query(
+    "tree_results",
+    f"""SELECT 'Lib.S' || l_suppkey AS module, 'a.b\\' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS unit,
+    CAST(l_quantity AS BIGINT) AS first_ms, {CODE} AS second_status FROM lineitem WHERE l_suppkey % 10 < 7""",
+)
+def tree_results(spark, sf):
+    root, _ = result_tree(spark, sf)
+    rows = results.read_tree(spark, root)
+    first, second = F.col("results")[0], F.col("results")[1]
+    unit = keys.readable_key(F.col("key")).alias("unit")
+    return rows.select("module", unit, first["ms"].alias("first_ms"), second["status"].alias("second_status"))
+
+
 @query(
     "not_returning",
-    """SELECT DISTINCT 'Lib.S' || s_suppkey AS module FROM supplier
-    WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_returnflag = 'A')""",
+    """SELECT 'Lib.S' || s_suppkey AS module, CASE s_suppkey % 10 WHEN 8 THEN 'empty' ELSE 'no_file' END AS state
+    FROM supplier WHERE s_suppkey % 10 >= 8""",
 )
 def not_returning(spark, sf):
-    planned = t.table(spark, sf, "supplier").select(
-        F.concat(F.lit("Lib.S"), F.col("s_suppkey").cast("string")).alias("module")
+    root, planned = result_tree(spark, sf)
+    return results.not_returning(spark, root, planned)
+
+
+@query(
+    "gathered_round_trip",
+    f"""SELECT 'a.b\\' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS unit,
+    CAST(l_quantity AS BIGINT) AS first_ms, {CODE} AS second_status FROM lineitem""",
+)
+def gathered_round_trip(spark, sf):
+    path = fresh_path(spark, "gathered")
+    results.write_gathered(results.gather_lines(result_table(spark, sf), ORDER), path)
+    rows = results.read_strict(spark, path, glob="*.txt")
+    first, second = F.col("results")[0], F.col("results")[1]
+    unit = keys.readable_key(F.col("key")).alias("unit")
+    return rows.select(unit, first["ms"].alias("first_ms"), second["status"].alias("second_status"))
+
+
+@query(
+    "strict_violations",
+    """SELECT CASE l_partkey % 10 WHEN 0 THEN 'garbage ' || l_orderkey ELSE l_orderkey || ' #[S 1] a.' END AS value
+    FROM lineitem WHERE l_partkey % 10 < 2""",
+)
+def strict_violations(spark, sf):
+    order = F.col("l_orderkey").cast("string")
+    value = (
+        F.when(F.col("l_partkey") % 10 == 0, F.concat(F.lit("garbage "), order))
+        .when(F.col("l_partkey") % 10 == 1, F.concat(order, F.lit(" #[S 1] a.")))
+        .otherwise(F.concat(order, F.lit(" #[S 1 2, E 3 4] a.")))
     )
-    done = t.table(spark, sf, "lineitem").filter((F.col("l_quantity") > 49) & (F.col("l_returnflag") == "A"))
-    done = done.select(F.concat(F.lit("Lib.S"), F.col("l_suppkey").cast("string")).alias("module"))
-    return results.not_returning(planned, done)
+    path = fresh_path(spark, "odd")
+    results.write_gathered(t.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("idx"), value.alias("value")), path)
+    return results.strict_violations(spark, path, glob="*.txt").select("value")
 
 
 @query(
@@ -440,6 +496,25 @@ def console_lines(spark, sf):
     )
 
 
+@query(
+    "series_round_trip",
+    """SELECT CASE l_linestatus WHEN 'O' THEN 'naive' ELSE 'inc' END AS variant, l_orderkey * 8 + l_linenumber AS x,
+    round(l_extendedprice, 2) AS y_ms FROM lineitem""",
+)
+def series_round_trip(spark, sf):
+    variant = F.when(F.col("l_linestatus") == "O", "naive").otherwise("inc")
+    series = t.table(spark, sf, "lineitem").select(
+        variant.alias("variant"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("x"), F.col("l_extendedprice").alias("y_ms")
+    )
+    texts = console.series_text(series, ["variant"])
+    mode = F.concat(F.lit("StatefulForward: "), F.when(F.col("variant") == "naive", "false").otherwise("true"))
+    place = F.when(F.col("variant") == "naive", 0).otherwise(10**9) + F.col("line") + 1
+    found = texts.select(place.cast("bigint").alias("seq"), F.col("text").alias("value"))
+    heads = texts.filter("line = 0").select((place - 1).cast("bigint").alias("seq"), mode.alias("value"))
+    lines = found.unionByName(heads).select(F.lit("log").alias("path"), F.lit(0).alias("block"), "seq", "value")
+    return console.parse_console(lines).select("variant", "x", F.round("y_ms", 2).alias("y_ms"))
+
+
 @query("console_points", f"WITH {RUN_NS} SELECT event_type AS path, {NAMED}, x, round(y, 6) AS y_ms FROM means")
 def console_points(spark, sf):
     return console.parse_console(console_lines(spark, sf))

@@ -43,7 +43,9 @@ def at_positions(rows: DataFrame, keys: Sequence[str], value: str, probs: dict[s
     for name, p in probs.items():
         spot = F.lit(float(p)) * last
         share = spot - F.floor(spot)
-        out.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * share).alias(name))
+        lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+        # Equal ends need no step; between two infinite ones it would be no number.
+        out.append(F.when(lo == hi, lo).otherwise(lo + (hi - lo) * share).alias(name))
     return picked.select(*keys, "total", *out)
 
 

@@ -11,33 +11,36 @@ from runlens.operators.ordered import GROUP_LIMIT, fill_forward, scan_groups
 
 # Markers of the console log, term sizes and the two algorithms' labels.
 SIZE_MARK = r"term size (0|100)\)"
-ALGORITHM_MARK = r"StatefulForward: (false|true)"
-POINTS_MARK = r"^\([0-9]"
+ALGORITHMS = {"StatefulForward: false": "naive", "StatefulForward: true": "inc"}
+# A line of points; one that begins with a space goes on with the line before it.
+POINTS_MARK = r"^ ?\([0-9]"
 POINT = r"\(([0-9]+), ([^)]*)\)"
 
 
-def parse_console(lines: DataFrame, limit: int = GROUP_LIMIT) -> DataFrame:
+def parse_console(
+    lines: DataFrame, limit: int = GROUP_LIMIT, size_mark: str = SIZE_MARK, algorithms: dict[str, str] = ALGORITHMS
+) -> DataFrame:
     """Points ``path, size, variant, x, y_ms`` of console lines with ``path, block, seq``.
 
     Size and algorithm carry over from the line that last named them; a title of an unknown size
     keeps the earlier one, and points before any title count for size 0. A later line of points for
-    the same size and algorithm replaces an earlier one.
+    the same size and algorithm replaces an earlier one, together with the lines that go on with it.
     """
     value = F.col("value")
-    size = F.when(value.rlike(SIZE_MARK), F.regexp_extract(value, SIZE_MARK, 1).cast("int"))
-    variant = (
-        F.when(value.rlike("StatefulForward: false"), "naive").when(value.rlike("StatefulForward: true"), "inc")
-    )
+    size = F.when(value.rlike(size_mark), F.regexp_extract(value, size_mark, 1).cast("int"))
+    variant = F.coalesce(*[F.when(value.contains(mark), name) for mark, name in algorithms.items()])
     telling = lines.withColumns(
         {"size": size, "variant": variant, "_points": F.when(value.rlike(POINTS_MARK), value)}
     ).filter(F.coalesce(F.col("size").cast("string"), F.col("variant"), F.col("_points")).isNotNull())
     state = fill_forward(telling.drop("value"), ["path"], ["block", "seq"], ["size", "variant"], limit)
     state = state.filter(F.col("_points").isNotNull() & F.col("variant").isNotNull())
     state = state.withColumn("size", F.coalesce("size", F.lit(0)))
-    last = state.groupBy("path", "size", "variant").agg(
-        F.max_by("_points", F.struct("block", "seq")).alias("_points")
-    )
-    return explode_points(last, F.col("_points"), ["path", "size", "variant"])
+    place = F.struct("block", "seq")
+    group = ["path", "size", "variant"]
+    first = F.when(~F.col("_points").startswith(" "), place)
+    heads = state.groupBy(*group).agg(F.max(first).alias("_head"))
+    last = state.join(heads, group).filter(F.col("_head").isNull() | (place >= F.col("_head")))
+    return explode_points(last, F.col("_points"), group)
 
 
 def explode_points(df: DataFrame, text: Column, keep: Sequence[str]) -> DataFrame:
@@ -54,14 +57,16 @@ def explode_points(df: DataFrame, text: Column, keep: Sequence[str]) -> DataFram
 def series_text(series: DataFrame, keys: Sequence[str], per_line: int = 10_000) -> DataFrame:
     """``(x, y) (x, y) …`` per group in the order of x: keys, ``line``, ``text``.
 
-    A series above ``per_line`` points takes several numbered lines.
+    A series above ``per_line`` points takes several numbered lines; all but the first begin with a space, by which
+    ``parse_console`` puts them together again.
     """
     ones = series.withColumn("_one", F.lit(1).cast("long"))
     placed = scan_groups(ones, keys, ["x", "y_ms"], running={"_n": ("sum", "_one")})
     placed = placed.withColumn("line", F.floor((F.col("_n") - 1) / per_line))
     point = F.struct("_n", F.format_string("(%d, %.6f)", "x", "y_ms").alias("t"))
     points = F.transform(F.sort_array(F.collect_list(point)), lambda p: p["t"])
-    return placed.groupBy(*keys, "line").agg(F.array_join(points, " ").alias("text"))
+    text = F.concat(F.when(F.col("line") > 0, " ").otherwise(""), F.array_join(points, " "))
+    return placed.groupBy(*keys, "line").agg(text.alias("text"))
 
 
 def mean_series(runs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -6,19 +6,28 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from runlens.functions.numeric import number_text
 
 
 def outlier_text() -> Column:
-    """Record of six lines and an empty one for a row with ``file, unit, syntax`` and the times in ms."""
+    """Record of six lines and an empty one for a row with ``file, unit, syntax`` and the times in ms; NULL is empty."""
+
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name).cast("string"), F.lit(""))
+
+    def number(name: str, unit: str) -> Column:
+        return F.coalesce(number_text(F.col(name), 2, unit), F.lit(""))
+
+    # The labels of a record.
     return F.concat(
-        F.lit("file:     "), F.col("file"),
-        F.lit("\nname:     "), F.col("unit").cast("string"),
-        F.lit("\nsyntax:   "), F.col("syntax"),
-        F.lit("\nold_time: "), number_text(F.col("old_ms"), 2, " ms"),
-        F.lit("\nnew_time: "), number_text(F.col("new_ms"), 2, " ms"),
-        F.lit("\nslowdown: "), number_text(F.col("slowdown"), 2, "x"),
+        F.lit("file:     "), text("file"),
+        F.lit("\nname:     "), text("unit"),
+        F.lit("\nsyntax:   "), text("syntax"),
+        F.lit("\nold_time: "), number("old_ms", " ms"),
+        F.lit("\nnew_time: "), number("new_ms", " ms"),
+        F.lit("\nslowdown: "), number("slowdown", "x"),
         F.lit("\n"),
     )
 
@@ -52,8 +61,11 @@ def write_figures(lines: DataFrame, path: str) -> None:
 
 
 def tidy(df: DataFrame, section: str, keys: Sequence[str]) -> DataFrame:
-    """Report rows ``section, key, metric, value`` of a wide result."""
-    metrics = [c for c, kind in df.dtypes if c not in keys and kind in ("int", "bigint", "double", "float")]
+    """Report rows ``section, key, metric, value`` of a wide result; a column that is neither key nor number is an error."""
+    metrics = [c for c in df.columns if c not in keys]
+    odd = [f.name for f in df.schema if f.name in metrics and not isinstance(f.dataType, (T.NumericType, T.BooleanType))]
+    if odd:
+        raise ValueError(f"no numbers: {', '.join(odd)}")
     cells = [F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]
     name = F.concat_ws("/", *[F.col(k).cast("string") for k in keys]) if keys else F.lit("all")
     return df.select(F.lit(section).alias("section"), name.alias("key"), F.explode(F.array(*cells)).alias("_m")).select(

@@ -7,10 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.functions.keys import escape_key, module_of_path, normalize_key, parse_key
+from runlens.functions.keys import escape_key, module_of_folder, module_of_path, normalize_key, parse_key
 from runlens.operators.ordered import scan_groups, with_index
 from runlens.schemas import STATUS, is_success
-from runlens.session import fresh_path
+from runlens.session import fresh_path, keep
 from runlens.sources.lines import PLACE, read_lines
 
 # Line pattern of the lenient reader, header lines of a result file.
@@ -18,6 +18,8 @@ LENIENT_LINE = r"^(\d+)\s+#\[(.*?)\]\s+(.+)"
 STRICT_LINE = r"^\S* #\[([^\]]*)\] (.*)$"
 STRICT_ITEM = r"^([" + "".join(STATUS) + r"]) ([0-9]+) ([0-9]+)$"
 SUMMARY = "Summary:"
+# First line of files whose time nobody measured; no reader looks at it.
+NO_TIME = "Time: unknown"
 
 
 def parse_lenient(lines: DataFrame, variants: Sequence[str], decode_keys: bool = False) -> DataFrame:
@@ -81,48 +83,70 @@ def read_runs(spark: SparkSession, path, variants: Sequence[str], glob: str = "*
     return runs_of(parsed, variants, **options)
 
 
-def _header_errors(lines: DataFrame) -> DataFrame:
-    """Files whose third and fourth line are not ``Summary:`` and empty."""
+def _in_body() -> Column:
+    """Lines after the header, once ``_start`` is joined."""
+    return (F.col("block") > 0) | (F.col("seq") - F.col("_start") >= 4)
+
+
+def _fail(message: Column) -> Column:
+    return F.raise_error(message).cast("boolean")
+
+
+def _starts(lines: DataFrame) -> DataFrame:
+    """``path, _start``: the first line's number per file; a file without the four header lines is an error."""
     first = lines.filter(F.col("block") == 0)
     start = first.groupBy("path").agg(F.min("seq").alias("_start"))
-    heads = first.filter(F.col("value").isin(SUMMARY, "")).join(start, "path")
     place = F.col("seq") - F.col("_start")
-    good = heads.groupBy("path").agg(
-        F.max((place == 2) & (F.col("value") == SUMMARY)).alias("_third"),
-        F.max((place == 3) & (F.col("value") == "")).alias("_fourth"),
-    )
-    return start.join(good.filter(F.col("_third") & F.col("_fourth")), "path", "left_anti").select("path")
+    header = F.max((place == 2) & (F.col("value") == SUMMARY)) & F.max((place == 3) & (F.col("value") == ""))
+    found = first.join(start, "path").groupBy("path", "_start").agg(header.alias("_header"))
+    wrong = F.concat(F.lit("format of result file changed: "), F.col("path"))
+    return found.filter(F.when(F.col("_header"), F.lit(True)).otherwise(_fail(wrong))).select("path", "_start")
 
 
 def read_strict(spark: SparkSession, path, glob: str = "*.result") -> DataFrame:
-    """Result lines with every item checked: ``path, block, seq, key, results``.
+    """Result lines with every line and item checked: ``path, block, seq, key, results``.
 
-    ``results`` is an array of (status, ms, hb). A file without the header, or an item that is not
-    ``<status> <ms> <hb>`` with a known status, is an error.
+    ``results`` is an array of (status, ms, hb). A file without the header, a line after it that is neither empty nor a
+    result, or an item that is not ``<status> <ms> <hb>`` with a known status, is an error, whichever columns are used.
     """
-    lines = read_lines(spark, path, glob)
-    wrong = _header_errors(lines).take(1)
-    if wrong:
-        raise ValueError(f"format of result file changed: {wrong[0]['path']}")
-    start = lines.filter(F.col("block") == 0).groupBy("path").agg(F.min("seq").alias("_start"))
-    body = lines.filter(F.col("value").rlike(r"#\[")).join(start, "path")
-    body = body.filter((F.col("block") > 0) | (F.col("seq") - F.col("_start") >= 4))
-    parsed = strict_results(F.col("value"), F.col("path"))
-    return body.select(*PLACE, parse_key(F.regexp_extract("value", STRICT_LINE, 2)).alias("key"), parsed.alias("results"))
+    # Written, so that line numbers are the same for the header and the rest.
+    lines = keep(read_lines(spark, path, glob), "lines")
+    where = F.concat(F.lit("in file "), F.col("path"), F.lit(": "))
+    bad = F.get(F.filter(_items(F.col("value")), lambda item: ~item.rlike(STRICT_ITEM)), 0)
+    # One condition, so that no part of it is asked of header lines.
+    wanted = (
+        F.when(~_in_body() | (F.col("value") == ""), F.lit(False))
+        .when(~F.col("value").rlike(STRICT_LINE), _fail(F.concat(where, F.col("value"), F.lit(" is no result line"))))
+        .when(bad.isNotNull(), _fail(F.concat(where, bad, F.lit(" is not <status> <ms> <hb>"))))
+        .otherwise(F.lit(True))
+    )
+    body = lines.join(_starts(lines), "path").filter(wanted)
+    key = parse_key(F.regexp_extract("value", STRICT_LINE, 2))
+    return body.select(*PLACE, key.alias("key"), strict_results(F.col("value")).alias("results"))
+
 
+def strict_violations(spark: SparkSession, path, glob: str = "*.result") -> DataFrame:
+    """``path, value`` of the lines after a header that ``read_strict`` would refuse."""
+    lines = keep(read_lines(spark, path, glob), "lines")
+    body = lines.join(_starts(lines), "path").filter(_in_body())
+    bad = ~F.col("value").rlike(STRICT_LINE) | F.exists(_items(F.col("value")), lambda item: ~item.rlike(STRICT_ITEM))
+    return body.filter((F.col("value") != "") & bad).select("path", "value")
 
-def strict_results(line: Column, where: Column) -> Column:
-    """Checked items of a result line; an error names ``where``."""
+
+def _items(line: Column) -> Column:
+    return F.split(F.regexp_extract(line, STRICT_LINE, 1), ", ")
+
+
+def strict_results(line: Column) -> Column:
+    """(status, ms, hb) of each item of a result line."""
 
     def one(item: Column) -> Column:
         fields = F.split(item, " ")
-        good = F.struct(
+        return F.struct(
             fields[0].alias("status"), fields[1].cast("bigint").alias("ms"), fields[2].cast("bigint").alias("hb")
         )
-        message = F.concat(F.lit("in file "), where, F.lit(": "), item, F.lit(" is not <status> <ms> <hb>"))
-        return F.when(item.rlike(STRICT_ITEM), good).otherwise(F.raise_error(message))
 
-    return F.transform(F.split(F.regexp_extract(line, STRICT_LINE, 1), ", "), one)
+    return F.transform(_items(line), one)
 
 
 def read_tree(spark: SparkSession, root: str, suffix: str = ".result") -> DataFrame:
@@ -134,17 +158,36 @@ def read_tree(spark: SparkSession, root: str, suffix: str = ".result") -> DataFr
 def read_tree_tolerant(
     spark: SparkSession, root: str, planned: DataFrame, suffix: str = ".result"
 ) -> tuple[DataFrame, DataFrame]:
-    """Results below ``root`` and the planned modules that returned none; empty files are no error."""
-    found = read_tree(spark, root, suffix)
-    return found, not_returning(planned, found)
+    """Results below ``root``, and the planned modules without any as ``module, state``; those are no error."""
+    return read_tree(spark, root, suffix), not_returning(spark, root, planned, suffix)
 
 
-def not_returning(planned: DataFrame, results: DataFrame) -> DataFrame:
-    """Planned modules without any result line.
+def not_returning(spark: SparkSession, root: str, planned: DataFrame, suffix: str = ".result") -> DataFrame:
+    """``module, state`` of planned modules that wrote nothing: ``empty`` file, or ``no_file`` at all.
 
-    File listings leave out empty files, so this compares names instead of file sizes.
+    A file with a header and no result line has returned.
     """
-    return planned.select("module").distinct().join(results.select("module").distinct(), "module", "left_anti")
+    files = _listed(spark, root, suffix).select(module_of_path(F.col("path"), root, suffix).alias("module"), "length")
+    sizes = files.groupBy("module").agg(F.max("length").alias("_length"))
+    state = F.when(F.col("_length").isNull(), "no_file").when(F.col("_length") == 0, "empty")
+    found = planned.select("module").distinct().join(sizes, "module", "left")
+    return found.select("module", state.alias("state")).filter(F.col("state").isNotNull())
+
+
+def _listed(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """``path, length`` of all files below ``root``, empty ones too, which Spark's own sources leave out."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
+    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
+    rows = []
+    while found.hasNext():
+        file = found.next()
+        rows.append((file.getPath().toString(), file.getLen()))
+    return spark.createDataFrame([r for r in rows if r[0].endswith(suffix)], "path string, length bigint")
+
+
+def write_not_returning(modules: DataFrame, path: str) -> None:
+    """The list of modules that wrote nothing: one name per line, in order."""
+    modules.filter(F.col("state") == "empty").orderBy("module").select(F.col("module").alias("value")).write.text(path)
 
 
 def result_text(key: Column, results: Column, index: Column) -> Column:
@@ -153,27 +196,40 @@ def result_text(key: Column, results: Column, index: Column) -> Column:
     return F.format_string("%d #[%s] %s", index, F.array_join(items, ", "), escape_key(key))
 
 
-def _header(spark: SparkSession, first: str) -> DataFrame:
+def _header_rows(first: str) -> Column:
     lines = [(-4, first), (-3, ""), (-2, SUMMARY), (-1, "")]
-    return spark.createDataFrame(lines, "idx bigint, value string")
+    return F.array(*[F.struct(F.lit(i).cast("bigint").alias("idx"), F.lit(v).alias("value")) for i, v in lines])
+
+
+def _header(spark: SparkSession, first: str) -> DataFrame:
+    return spark.range(1).select(F.explode(_header_rows(first)).alias("_h")).select("_h.*")
 
 
-def gather_lines(results: DataFrame, order: Sequence[str], first: str = "Total elapsed time: Not applicable") -> DataFrame:
+def gather_lines(results: DataFrame, order: Sequence[str], first: str = NO_TIME) -> DataFrame:
     """All result lines under one header, numbered over all files: ``idx, value``."""
     numbered = with_index(results, order)
     body = numbered.select("idx", result_text(F.col("key"), F.col("results"), F.col("idx")).alias("value"))
     return _header(results.sparkSession, first).unionByName(body)
 
 
-def write_gathered(lines: DataFrame, path: str) -> None:
-    """Write numbered lines as text; part files follow the order of ``idx``."""
-    lines.repartitionByRange("idx").sortWithinPartitions("idx").select("value").write.text(path)
+def write_gathered(lines: DataFrame, path: str, first: str = NO_TIME) -> None:
+    """Write numbered lines as text files that follow the order of ``idx``; each file begins with the header.
+
+    However many files there are, ``read_strict`` reads all of them.
+    """
+    body = lines.filter(F.col("idx") >= 0).repartitionByRange("idx").withColumn("part", F.spark_partition_id())
+    body = keep(body, "gathered")
+    header = F.explode(_header_rows(first))
+    heads = body.select("part").distinct().select("part", header.alias("_h")).select("part", "_h.*")
+    both = body.unionByName(heads.select(*body.columns)).repartition("part").sortWithinPartitions("part", "idx")
+    both.select("part", "value").write.partitionBy("part").text(path)
 
 
 def write_modules(results: DataFrame, order: Sequence[str], path: str, elapsed_ms: int = 0, chunk: int = 1_000_000) -> None:
     """Write result files per module, numbered inside the module, each file with its header.
 
-    Modules above ``chunk`` lines take several files, so no task writes more than that.
+    Modules above ``chunk`` lines take several files, so no task writes more than that; ``read_written`` reads
+    them all as one module.
     """
     ones = results.withColumn("_one", F.lit(1).cast("long"))
     numbered = scan_groups(ones, ["module"], order, running={"_n": ("sum", "_one")})
@@ -184,13 +240,7 @@ def write_modules(results: DataFrame, order: Sequence[str], path: str, elapsed_m
         idx.alias("idx"),
         result_text(F.col("key"), F.col("results"), idx).alias("value"),
     )
-    head = F.array(
-        *[
-            F.struct(F.lit(i).cast("bigint").alias("idx"), F.lit(v).alias("value"))
-            for i, v in [(-4, f"Total elapsed time : {elapsed_ms} ms"), (-3, ""), (-2, SUMMARY), (-1, "")]
-        ]
-    )
-    heads = body.select("module", "chunk").distinct().select("module", "chunk", F.explode(head).alias("_h"))
+    heads = body.select("module", "chunk").distinct().select("module", "chunk", F.explode(_header_rows(f"Time: {elapsed_ms} ms")).alias("_h"))
     lines = body.unionByName(heads.select("module", "chunk", "_h.*"))
     lines = lines.repartition("module", "chunk").sortWithinPartitions("module", "chunk", "idx")
     lines.select("module", "chunk", "value").write.partitionBy("module", "chunk").text(path)
@@ -201,3 +251,34 @@ def written_modules(results: DataFrame, order: Sequence[str]) -> str:
     path = fresh_path(results.sparkSession, "results")
     write_modules(results, order, path)
     return path
+
+
+def write_tree(
+    results: DataFrame, order: Sequence[str], planned: DataFrame, root: str, suffix: str = ".result", elapsed_ms: int = 0
+) -> None:
+    """One file ``<root>/<module path><suffix>`` per module of ``planned``; those without results get the header alone.
+
+    Spark writes a folder per module; the driver then gives each file its name.
+    """
+    spark = results.sparkSession
+    staged = fresh_path(spark, "tree")
+    write_modules(results, order, staged, elapsed_ms, chunk=2**62)
+    silent = planned.select("module").distinct().join(results.select("module").distinct(), "module", "left_anti")
+    header = F.explode(F.transform(_header_rows(f"Time: {elapsed_ms} ms"), lambda h: h["value"])).alias("value")
+    silent.repartition("module").select("module", F.lit(0).alias("chunk"), header).write.mode("append").partitionBy(
+        "module", "chunk"
+    ).text(staged)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = _listed(spark, staged, ".txt").select("path", module_of_folder(F.col("path")).alias("module"))
+    for row in files.toLocalIterator():
+        target = hadoop.Path(f"{root}/{row['module'].replace('.', '/')}{suffix}")
+        system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(target.getParent())
+        if not system.rename(hadoop.Path(row["path"]), target):
+            raise OSError(f"cannot write {target}")
+
+
+def read_written(spark: SparkSession, path: str) -> DataFrame:
+    """Results of a folder written by ``write_modules``, strict: ``module, key, results``."""
+    rows = read_strict(spark, path, "*.txt")
+    return rows.select(module_of_folder(F.col("path")).alias("module"), "key", "results", *PLACE)

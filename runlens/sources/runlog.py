@@ -48,11 +48,9 @@ def append_log(log: DataFrame, path: str) -> None:
 
 
 def problem_log_text(variant_index: Column, unit: Column, text: Column, status: Column, ms: Column, hb: Column) -> Column:
-    """Entry of one problem: start time, problem, status and cost, after an empty line."""
-    return F.format_string(
-        "\nTimestamp : %s\nTesting tactic %d || %s : %s\n%s\nElapsed time : %d ms, %d hb",
-        F.current_timestamp().cast("string"), variant_index, unit, text, status, ms, hb,
-    )
+    """One problem as a line of ``name=value`` pairs; a missing value is left out."""
+    fields = {"at": F.current_timestamp(), "variant": variant_index, "unit": unit, "status": status, "ms": ms, "hb": hb, "text": text}
+    return F.concat_ws(" ", *[F.concat(F.lit(f"{name}="), value.cast("string")) for name, value in fields.items()])
 
 
 def append_problems(problems: DataFrame, path: str, as_text: bool = False) -> None:

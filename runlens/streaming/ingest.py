@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.schemas import STATS
-from runlens.session import fresh_path
 from runlens.sources.stats import parse_stats, variant_of_file
 
 
@@ -23,8 +22,11 @@ def stats_stream(
 
 
 def append_new(stream: DataFrame, out_path: str, checkpoint: str | None = None) -> None:
-    """Append all rows not yet taken in to the Parquet table at ``out_path``, each row once."""
-    checkpoint = checkpoint or fresh_path(stream.sparkSession, "ingest-state")
+    """Append all rows not yet taken in to the Parquet table at ``out_path``, each row once.
+
+    What was taken in is noted beside the table unless ``checkpoint`` names another place.
+    """
+    checkpoint = checkpoint or f"{out_path}/_state"
     run = (
         stream.writeStream.format("parquet")
         .option("path", out_path)

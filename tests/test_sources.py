@@ -47,15 +47,20 @@ def test_strict_reader(spark, tmp_path):
     write(tmp_path / "ok" / "C.result", "")
     planned = spark.createDataFrame([("A.b",), ("C",)], "module string")
     tree, missing = results.read_tree_tolerant(spark, str(tmp_path / "ok"), planned)
-    assert [r["module"] for r in missing.collect()] == ["C"]
+    assert [tuple(r) for r in missing.collect()] == [("C", "empty")]
     got = {r["k"]: (r["module"], len(r["results"]), r["results"][0]["hb"]) for r in tree.select("*", keys.readable_key(F.col("key")).alias("k")).collect()}
     assert got == {"Foo.bar": ("A.b", 6, 40), "A.3": ("A.b", 1, 41)}
     write(tmp_path / "nohead" / "a.result", "x\n\nsummary\n\n" + GOOD + "\n")
-    with pytest.raises(ValueError):
-        results.read_strict(spark, str(tmp_path / "nohead"))
+    with pytest.raises(Exception, match="format of result file changed"):
+        results.read_strict(spark, str(tmp_path / "nohead")).count()
     write(tmp_path / "bad" / "a.result", head + "0 #[Q 1 1] a.\n")
     with pytest.raises(Exception, match="is not <status>"):
-        results.read_strict(spark, str(tmp_path / "bad")).collect()
+        results.read_strict(spark, str(tmp_path / "bad")).select("path").count()
+    write(tmp_path / "odd" / "a.result", head + "garbage line\n1 [S 1 2] b.\n" + GOOD + "\n")
+    with pytest.raises(Exception, match="is no result line"):
+        results.read_strict(spark, str(tmp_path / "odd")).select("path").count()
+    bad = {r["value"] for r in results.strict_violations(spark, str(tmp_path / "odd")).collect()}
+    assert bad == {"garbage line", "1 [S 1 2] b."}
 
 
 def test_write_and_read_back(spark, tmp_path):
@@ -63,20 +68,41 @@ def test_write_and_read_back(spark, tmp_path):
     rows = results.read_strict(spark, str(tmp_path / "in")).withColumn("module", F.lit("A"))
     rows = rows.withColumn("n", F.col("results")[0]["ms"])
     results.write_modules(rows, ["n"], str(tmp_path / "out"), chunk=10)
-    back = results.read_strict(spark, str(tmp_path / "out"), glob="*.txt")
-    assert len({r["path"] for r in back.collect()}) == 3
+    back = results.read_written(spark, str(tmp_path / "out"))
+    assert len({r["path"] for r in back.collect()}) == 3 and {r["module"] for r in back.collect()} == {"A"}
     pick = lambda df: sorted((str(r["key"]), str(r["results"])) for r in df.collect())
     assert pick(back) == pick(rows)
-    results.write_gathered(results.gather_lines(rows, ["path", "n"]), str(tmp_path / "all"))
-    text = [p.read_text() for p in sorted((tmp_path / "all").glob("part*"))]
-    got = "".join(text).splitlines()
-    assert got[2:6] == ["Summary:", "", "0 #[S 0 1, E 2 3] u0.\\0.", "1 #[S 1 1, E 2 3] u1.\\1."]
-    assert len(got) == 29
 
 
-def test_not_returning(spark):
-    planned = spark.createDataFrame([("A",), ("B",)], "module string")
-    assert [r["module"] for r in results.not_returning(planned, planned.limit(1)).collect()] == ["B"]
+@pytest.mark.parametrize("parts", ["1", "4"])
+def test_gathered_files_are_read_whatever_their_number(spark, tmp_path, parts):
+    n = 2000
+    write(tmp_path / "in" / "A.result", "t\n\nSummary:\n\n" + "".join(f"{i} #[S {i} 1, E 2 3] u{i}.\\{i}.\n" for i in range(n)))
+    rows = results.read_strict(spark, str(tmp_path / "in")).withColumn("n", F.col("results")[0]["ms"])
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        results.write_gathered(results.gather_lines(rows, ["path", "n"]), str(tmp_path / "all"))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    files = sorted((tmp_path / "all").rglob("part*.txt"))
+    assert (len(files) > 1) == (parts != "1")
+    back = results.read_strict(spark, str(tmp_path / "all"), glob="*.txt")
+    pick = lambda df: sorted((str(r["key"]), str(r["results"])) for r in df.collect())
+    assert pick(back) == pick(rows)
+    first = files[0].read_text().splitlines()
+    assert first[2:6] == ["Summary:", "", "0 #[S 0 1, E 2 3] u0.\\0.", "1 #[S 1 1, E 2 3] u1.\\1."]
+
+
+def test_not_returning(spark, tmp_path):
+    write(tmp_path / "A" / "b.result", "t\n\nSummary:\n\n" + GOOD + "\n")
+    write(tmp_path / "A" / "c.result", "t\n\nSummary:\n\n")
+    write(tmp_path / "D.result", "")
+    planned = spark.createDataFrame([("A.b",), ("A.c",), ("D",), ("E",)], "module string")
+    found = results.not_returning(spark, str(tmp_path), planned)
+    assert sorted(tuple(r) for r in found.collect()) == [("D", "empty"), ("E", "no_file")]
+    results.write_not_returning(found, str(tmp_path / "list"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "list")).collect()] == ["D"]
 
 
 def test_stats_reader(spark, tmp_path):
@@ -132,7 +158,7 @@ def test_names_and_problems(spark, tmp_path):
     problem = spark.createDataFrame([(0, "u", "P x", "S", 3, 4)], "variant_index int, unit string, text string, status string, ms bigint, hb bigint")
     runlog.append_problems(problem, str(tmp_path / "log"), as_text=True)
     text = [r["value"] for r in spark.read.text(str(tmp_path / "log")).collect()]
-    assert text[2] == "Testing tactic 0 || u : P x" and text[4] == "Elapsed time : 3 ms, 4 hb"
+    assert len(text) == 1 and text[0].startswith("at=") and text[0].endswith("variant=0 unit=u status=S ms=3 hb=4 text=P x")
 
 
 CONSOLE = """(9, 9.0)
@@ -162,13 +188,32 @@ def test_console(spark, tmp_path, limit):
     ]
 
 
+def test_long_series_round_trip(spark, tmp_path):
+    series = spark.range(25_000).select(F.lit("naive").alias("variant"), F.col("id").alias("x"), (F.col("id") / 8).alias("y_ms"))
+    texts = console.series_text(series, ["variant"]).orderBy("line").collect()
+    assert len(texts) == 3
+    body = "\n".join(["(term size 0)", "StatefulForward: false", "(1, 7.0)", *[r["text"] for r in texts]])
+    write(tmp_path / "run.txt", body + "\n")
+    points = console.parse_console(lines.read_lines(spark, str(tmp_path)))
+    assert points.count() == 25_000
+    assert points.select("x").distinct().count() == 25_000
+
+
+def test_outliers_with_missing_texts(spark, tmp_path):
+    rows = spark.createDataFrame([(None, "u", None, 1.0, 3.0, 3.0), ("f", "v", "s", 1.0, 2.0, None)], "file string, unit string, syntax string, old_ms double, new_ms double, slowdown double")
+    report.write_outliers(rows, str(tmp_path / "out"))
+    got = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part*"))).splitlines()
+    assert [x for x in got if x.startswith("name:")] == ["name:     u", "name:     v"]
+
+
 def test_series_and_figures(spark, tmp_path):
     runs = spark.createDataFrame([("f", "naive", 1, 3), ("f", "naive", 1, 4), ("f", "naive", 2, 10**6)], "figure string, label string, x bigint, ns bigint")
     means = console.mean_series(runs, ["figure", "label"])
     assert {r["x"]: r["y_ms"] for r in means.collect()} == {1: 3e-6, 2: 1.0}
     texts = console.series_text(means, ["figure", "label"])
     assert texts.first()["text"] == "(1, 0.000003) (2, 1.000000)"
-    assert console.series_text(means, ["figure", "label"], per_line=1).count() == 2
+    split = console.series_text(means, ["figure", "label"], per_line=1)
+    assert [r["text"] for r in split.orderBy("line").collect()] == ["(1, 0.000003)", " (2, 1.000000)"]
     report.write_figures(report.figure_lines(texts, {"f": "F Benchmark"}), str(tmp_path / "fig"))
     got = "".join(p.read_text() for p in sorted((tmp_path / "fig").glob("part*"))).splitlines()
     assert got == ["F Benchmark", "naive", "(1, 0.000003) (2, 1.000000)"]
