@@ -123,15 +123,15 @@ def depth_workload(spark, sf):
     return found.filter(F.col("n") == 100).drop("n")
 
 
-LOGIC, BOOLS, NATS = ["the", "of", "and"], ["in", "to", "is"], ["on", "re", "er", "th"]
+LOGIC, BOOLS, NATS = list("aeiotl"), list("bhnrswq"), list("dfcvpgmuj")
 
 
 def doc_catalog(spark, sf):
-    """Documents as units: words of the first line are the type's constants, all words the proof's."""
+    """Documents as units: the first letters of all words are the type's constants, all words the proof's."""
     docs = t.table(spark, sf, "documents")
     flags = t.table(spark, sf, "labels").withColumnRenamed("doc_id", "_doc")
     words = F.split(F.lower("text"), "[^a-z]+")
-    head = F.split(F.lower(F.substring_index("text", " ", 2)), "[^a-z]+")
+    head = F.transform(words, lambda w: F.substring(w, 1, 1))
 
     def clean(a):
         return F.array_distinct(F.filter(a, lambda w: w != ""))
@@ -156,7 +156,7 @@ CATALOG = """catalog AS (
   SELECT 'd' || d.doc_id AS name, lang || '.' || source AS module, quality IS NOT NULL AS has_range,
     coalesce(quality, 0) = 1 AS is_theorem, coalesce(toxic, 0) = 1 AS is_proj, n_chars % 5 = 0 AS is_private,
     n_chars % 7 = 0 AS is_type, n_chars % 11 = 0 AS is_instance, n_chars % 3 = 0 AS is_simp,
-    list_distinct(list_filter(regexp_split_to_array(lower(array_to_string(string_split(text, ' ')[1:2], ' ')), '[^a-z]+'), lambda w: w != '')) AS type_consts,
+    list_distinct(list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w != ''), lambda w: w[1])) AS type_consts,
     list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: w != '')) AS value_consts
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)"""
 

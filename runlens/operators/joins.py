@@ -4,21 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.ordered import GROUP_LIMIT, HASH_BUCKETS
+from runlens.operators.ordered import GROUP_LIMIT
 from runlens.session import keep
 
+# A list of hot keys is broadcast up to this length; it is far smaller than the rows it comes from.
+HOT_LIST = 50_000
+
 
 def hot_keys(df: DataFrame, keys: Sequence[str], limit: int = GROUP_LIMIT) -> DataFrame | None:
-    """Keys with more than ``limit`` rows and ``_parts``, the number of shares to cut them into."""
-    bucket = F.pmod(F.hash(*keys), F.lit(HASH_BUCKETS))
-    top = df.groupBy(bucket.alias("_b")).agg(F.count("*").alias("_n")).agg(F.max("_n")).first()[0]
-    if (top or 0) <= limit:
-        return None
+    """Keys with more than ``limit`` rows and ``_parts``, the number of shares to cut them into; None if there are none."""
     sizes = df.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > limit)
-    return keep(sizes.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")), "hot")
+    hot = sizes.select(*keys, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+    first = hot.limit(HOT_LIST + 1).collect()
+    if not first:
+        return None
+    if len(first) > HOT_LIST:
+        return keep(hot, "hot")
+    return F.broadcast(df.sparkSession.createDataFrame(first, hot.schema))
+
+
+def _parts(df: DataFrame, hot: DataFrame | None, keys: Sequence[str], name: str) -> DataFrame:
+    if hot is None:
+        return df.withColumn(name, F.lit(1))
+    return df.join(hot, keys, "left").withColumn(name, F.coalesce("_parts", F.lit(1))).drop("_parts")
+
+
+def _share(parts: str) -> Column:
+    """A share from the row's number, so that equal rows are spread too."""
+    return (F.col("_row") % F.col(parts)).cast("int")
+
+
+def _every(parts: str) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Rows with a number, written so that a task that runs again finds the same one."""
+    return keep(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
 def salted_join(
@@ -26,15 +51,22 @@ def salted_join(
 ) -> DataFrame:
     """``left.join(right, keys, how)`` for inner, left, left_semi and left_anti.
 
-    Keys with more than ``limit`` left rows are cut into shares by a hash of the row, and their right
-    rows are repeated once per share; all other keys join as usual.
+    Keys with more than ``limit`` rows of one side are cut into shares by the number of the row, and the other side's
+    rows of the key are repeated once per share; inner joins do so for both sides. All other keys join as usual.
     """
     keys = list(keys)
-    hot = hot_keys(left, keys, limit)
-    if hot is None:
+    if how in ("left_semi", "left_anti"):
+        right = right.select(*keys).distinct()
+    left_hot = hot_keys(left, keys, limit)
+    right_hot = hot_keys(right, keys, limit) if how == "inner" else None
+    if left_hot is None and right_hot is None:
         return left.join(right, keys, how)
-    share = F.pmod(F.xxhash64(*left.columns), F.coalesce(F.col("_parts"), F.lit(1)))
-    cut = left.join(hot, keys, "left").withColumn("_share", share.cast("int")).drop("_parts")
-    last = F.coalesce(F.col("_parts"), F.lit(1)) - 1
-    repeated = right.join(hot, keys, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), last))).drop("_parts")
-    return cut.join(repeated, [*keys, "_share"], how).drop("_share")
+
+    def grid(df: DataFrame, own: str, other: str, cut: bool) -> DataFrame:
+        df = _parts(_parts(_numbered(df) if cut else df.withColumn("_row", F.lit(0)), left_hot, keys, "_l"), right_hot, keys, "_r")
+        df = df.withColumn(f"_share{own}", _share(own)).withColumn(f"_share{other}", _every(other))
+        return df.drop("_row", "_l", "_r")
+
+    cut = grid(left, "_l", "_r", left_hot is not None)
+    repeated = grid(right, "_r", "_l", right_hot is not None)
+    return cut.join(repeated, [*keys, "_share_l", "_share_r"], how).drop("_share_l", "_share_r")

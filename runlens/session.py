@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -50,9 +51,32 @@ def work_dir(spark: SparkSession) -> str:
     return current.rstrip("/")
 
 
+# Paths handed out inside ``scratch``, innermost last.
+_owned: list[list[str]] = []
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
     """A path in the working folder that no other call gets."""
-    return f"{work_dir(spark)}/runlens-{tag}-{uuid.uuid4().hex}"
+    path = f"{work_dir(spark)}/runlens-{tag}-{uuid.uuid4().hex}"
+    if _owned:
+        _owned[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Owns the intermediate tables written inside it and removes them at the end.
+
+    Leave it only when the results are written or collected: until then they read those tables.
+    """
+    _owned.append([])
+    try:
+        yield
+    finally:
+        paths = _owned.pop()
+        for name in paths:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def keep(df: DataFrame, tag: str, by: Sequence[str] = ()) -> DataFrame:

@@ -60,6 +60,24 @@ def test_salted_join_equals_plain_join(spark, how):
     assert joins.hot_keys(left, ["k"], 10).filter("k = 'hot'").first()["_parts"] == 10
 
 
+def test_equal_rows_spread_over_all_shares(spark):
+    left = spark.range(1000).select(F.lit("hot").alias("k"))
+    right = spark.createDataFrame([("hot", 1)], "k string, v int")
+    out = joins.salted_join(left, right, ["k"], limit=100)
+    assert out.count() == 1000
+    numbered = joins._numbered(left)
+    shares = numbered.groupBy((F.col("_row") % 10).alias("s")).count().collect()
+    assert len(shares) == 10 and max(r["count"] for r in shares) <= 300
+
+
+def test_right_hub_is_cut(spark):
+    left = spark.range(50).select(F.lit(1).alias("k"), "id")
+    right = spark.range(2000).select(F.lit(1).alias("k"), F.col("id").alias("other"))
+    out = joins.salted_join(left, right, ["k"], limit=100)
+    assert out.select("id", "other").distinct().count() == out.count() == 100_000
+    assert out.select(F.spark_partition_id()).distinct().count() > 1
+
+
 @pytest.fixture(scope="module")
 def units(spark):
     rows = [

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from checks.run import check, database
+from runlens import session
 from runlens.plans import comparison, reports
 from runlens.plans.comparison import Analysis
 from runlens.sources import stats
@@ -37,6 +38,38 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
     assert stats.load_totals(rows).first()["errors"] == 1
 
 
+def test_appended_lines_are_seen(spark, tmp_path):
+    log, out = tmp_path / "log", str(tmp_path / "out")
+    log.mkdir()
+    (log / "run.txt").write_text("A\n")
+    progress.track(spark, str(log), out)
+    (log / "run.txt").write_text("A\nA : 0\nB\n")
+    progress.track(spark, str(log), out)
+    progress.track(spark, str(log), out)
+    got = {r["module"]: (r["ended"], r["code"], r["running"]) for r in progress.current(spark, out).collect()}
+    assert got == {"A": (True, 0, False), "B": (False, None, True)}
+
+
+def test_default_state_goes_on(spark, tmp_path):
+    raw, out = tmp_path / "raw", str(tmp_path / "out")
+    raw.mkdir()
+    line = json.dumps({"declaration": "d", "total": 1, "goalSolved": True})
+    for variant in ("old", "new", "more"):
+        (raw / f"m.stats.{variant}.jsonl").write_text(line + "\n")
+        ingest.append_new(ingest.stats_stream(spark, str(raw)), out)
+    rows = stats.good_rows(spark.read.parquet(out))
+    assert sorted(r["variant"] for r in rows.collect()) == ["more", "new", "old"]
+
+
+def test_scratch_leaves_nothing(spark, tmp_path, monkeypatch):
+    work = tmp_path / "work"
+    monkeypatch.setattr(session, "work_dir", lambda _: str(work))
+    with session.scratch(spark):
+        assert session.keep(spark.range(5), "x").count() == 5
+        assert list(work.iterdir())
+    assert not [f for f in work.iterdir() if not f.name.endswith(".crc")]
+
+
 def write_raw(spark, tmp_path):
     """Raw tables of 60 units, three runs each; unit 9 differs in outcome."""
     units = spark.range(60).withColumn("unit", F.concat(F.lit("u"), "id"))
@@ -65,17 +98,17 @@ def test_whole_analysis(spark, tmp_path):
         spark, f"{tmp_path}/results", f"{tmp_path}/stats", f"{tmp_path}/out", ("old", "new"), None
     )
     values = {(r["analysis"], r["section"], r["key"], r["metric"]): r["value"] for r in report.collect()}
-    assert values[("search_all", "funnel", "all", "base")] == 60
-    assert values[("search_all", "funnel", "all", "included")] == 59
-    assert values[("search_all", "solved", "all", "old")] == 60
-    assert values[("search_all", "solved", "all", "new")] == 59
+    assert values[("search-in_time-same_outcome", "funnel", "all", "base")] == 60
+    assert values[("search-in_time-same_outcome", "funnel", "all", "included")] == 59
+    assert values[("search-in_time-same_outcome", "solved", "all", "old")] == 60
+    assert values[("search-in_time-same_outcome", "solved", "all", "new")] == 59
     assert values[("general", "exclusions/results", "old", "kept")] == 60
-    assert values[("search_all", "max_instantiations", "all", "max")] == 0
-    assert ("search_all", "max_depth", "all", "p50") in values
-    curve = spark.read.parquet(f"{tmp_path}/out/curves/search_all_cumulative")
+    assert values[("search-in_time-same_outcome", "max_instantiations", "all", "max")] == 0
+    assert ("search-in_time-same_outcome", "max_depth", "all", "p50") in values
+    curve = spark.read.parquet(f"{tmp_path}/out/curves/search-in_time-same_outcome_cumulative")
     assert curve.groupBy("metric").agg(F.max("solved")).first()[1] == 59
-    assert spark.read.parquet(f"{tmp_path}/out/curves/search_all_trend_by_new_forward_total").count() == 25
-    slow = spark.read.text(f"{tmp_path}/out/samples/search_all_slowdowns")
+    assert spark.read.parquet(f"{tmp_path}/out/curves/search-in_time-same_outcome_trend_by_new_forward_total").count() == 25
+    slow = spark.read.text(f"{tmp_path}/out/samples/search-in_time-same_outcome_slowdowns")
     assert slow.filter(F.col("value").startswith("slowdown: 1.6")).count() > 0
     assert spark.read.text(f"{tmp_path}/out/report_text").count() == report.count()
 
@@ -84,10 +117,10 @@ def test_matrix_needs_baseline_rows(spark, tmp_path):
     rows = spark.createDataFrame([("old", "u", True, 1.0)], "variant string, unit string, ok boolean, value double")
     src = comparison.Sources(rows, rows, baseline="base")
     labels = [a.label for a in comparison.matrix(src, ("old", "new"), ("so", "sn"))]
-    assert labels == ["search_all", "search_success_only", "saturate_all", "saturate_success_only"]
+    assert labels == ["search-in_time-same_outcome", "search-in_time-same_outcome-both_ok", "saturate-in_time-same_outcome", "saturate-in_time-same_outcome-both_ok"]
     src = comparison.Sources(rows, rows, baseline="old")
     assert len(comparison.matrix(src, ("old", "new"), None)) == 4
-    assert Analysis("x", "a", "b", True, True).label == "x_success_only_nontrivial"
+    assert Analysis("x", "a", "b", True, True).label == "x-in_time-same_outcome-both_ok-nontrivial"
 
 
 def test_entry(spark):
