@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks import tables as t
@@ -33,6 +34,27 @@ def closure_naive(spark, sf):
     return fixpoint.closure_naive(turn_edges(spark, sf), ["conv_id"])
 
 
+def event_chains(spark, sf):
+    """Each user's events in order, as a chain with a step from one to the next."""
+    order = Window.partitionBy("user_id").orderBy("event_id")
+    places = t.table(spark, sf, "events").select("user_id", F.row_number().over(order).cast("long").alias("dst"))
+    return places.filter("dst > 1").select("user_id", (F.col("dst") - 1).alias("src"), "dst")
+
+
+DEEP = """WITH n AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS place FROM events)
+SELECT a.user_id, a.place AS src, b.place AS dst FROM n a JOIN n b ON a.user_id = b.user_id AND a.place < b.place"""
+
+
+@query("deep_closure_incremental", DEEP)
+def deep_closure_incremental(spark, sf):
+    return fixpoint.closure(event_chains(spark, sf), ["user_id"]).drop("round")
+
+
+@query("deep_closure_naive", DEEP)
+def deep_closure_naive(spark, sf):
+    return fixpoint.closure_naive(event_chains(spark, sf), ["user_id"])
+
+
 @query("closure_bounded", REACH + "SELECT conv_id, src, dst FROM r WHERE dst - src <= 4")
 def closure_bounded(spark, sf):
     return fixpoint.closure(turn_edges(spark, sf), ["conv_id"], max_rounds=2).drop("round")

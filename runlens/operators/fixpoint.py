@@ -13,11 +13,13 @@ from runlens.operators.ordered import GROUP_LIMIT
 from runlens.session import keep
 
 
-def _compose(first: DataFrame, second: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """P x y and P y z give P x z."""
+def _compose(first: DataFrame, second: DataFrame, keys: Sequence[str], limit: int, rows: int) -> DataFrame:
+    """P x y and P y z give P x z; neither side has more than ``rows``."""
     left = first.select(*keys, "src", F.col("dst").alias("_mid"))
     right = second.select(*keys, F.col("src").alias("_mid"), "dst")
-    return salted_join(left, right, [*keys, "_mid"], limit=limit).select(*keys, "src", "dst")
+    on = [*keys, "_mid"]
+    joined = left.join(right, on) if rows <= limit else salted_join(left, right, on, limit=limit)
+    return joined.select(*keys, "src", "dst")
 
 
 def closure(
@@ -25,27 +27,33 @@ def closure(
 ) -> DataFrame:
     """All facts ``src, dst`` that follow by transitivity, with the round that first gave them.
 
-    Incremental: only the facts of the last round meet the others, from either side, until a round
-    gives nothing new or ``max_rounds`` are done. ``keys`` keep separate relations apart. Each round
-    is written once, so the plan does not grow and a lost executor costs one round at most.
+    Incremental: a fact of round r has a shortest chain of more than 2^(r-1) and at most 2^r steps. The first 2^(r-1)
+    steps of that chain are the shortest way to where they end, so only facts of exactly that length meet the others,
+    on the left, and a chain is put together once instead of at each of its places. It ends when a round gives nothing
+    new or ``max_rounds`` are done. ``keys`` keep separate relations apart. Each round is written once, so a lost
+    executor costs one round at most; the plan grows by one table a round, with the logarithm of the depth.
     """
-    known = [keep(facts.select(*keys, "src", "dst").distinct().withColumn("round", F.lit(0)), "facts")]
+    fact = [*keys, "src", "dst"]
+    start = facts.select(*fact).distinct().withColumns({"steps": F.lit(1).cast("long"), "round": F.lit(0)})
+    known = [keep(start, "facts")]
+    rows = known[0].count()
     number = 0
     while max_rounds is None or number < max_rounds:
         number += 1
         every = reduce(DataFrame.unionByName, known)
-        delta = known[-1]
-        found = _compose(delta, every, keys, limit)
-        if number > 1:
-            # Older facts on the left meet the new ones on the right; new with new is done above.
-            older = reduce(DataFrame.unionByName, known[:-1])
-            found = found.unionByName(_compose(older, delta, keys, limit))
-        fresh = found.distinct().join(every.select(*keys, "src", "dst"), [*keys, "src", "dst"], "left_anti")
-        fresh = keep(fresh.withColumn("round", F.lit(number)), "facts")
-        if fresh.isEmpty():
+        left = known[-1].filter(F.col("steps") == 2 ** (number - 1))
+        left = left.select(*keys, "src", F.col("dst").alias("_mid"), F.col("steps").alias("_steps"))
+        right = every.select(*keys, F.col("src").alias("_mid"), "dst", "steps")
+        # No key has more rows than its table.
+        met = left.join(right, [*keys, "_mid"]) if rows <= limit else salted_join(left, right, [*keys, "_mid"], limit=limit)
+        found = met.groupBy(*fact).agg(F.min(F.col("_steps") + F.col("steps")).alias("steps"))
+        fresh = keep(found.join(every.select(*fact), fact, "left_anti").withColumn("round", F.lit(number)), "facts")
+        new = fresh.count()
+        if not new:
             break
         known.append(fresh)
-    return reduce(DataFrame.unionByName, known)
+        rows += new
+    return reduce(DataFrame.unionByName, known).drop("steps")
 
 
 def closure_naive(
@@ -56,7 +64,7 @@ def closure_naive(
     size, number = every.count(), 0
     while max_rounds is None or number < max_rounds:
         number += 1
-        every = keep(every.unionByName(_compose(every, every, keys, limit)).distinct(), "facts")
+        every = keep(every.unionByName(_compose(every, every, keys, limit, size)).distinct(), "facts")
         now = every.count()
         if now == size:
             break
