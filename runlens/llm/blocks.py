@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 # Bytes of text that one vectorised step takes; a longer text is a step of its own.
 BLOCK_BYTES = 1 << 20
+# Bytes of one batch of rows between the JVM and Python.
+BATCH = 8 << 20
 WHITE = bytes([0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D])
 IS_WHITE = np.isin(np.arange(256), list(WHITE))
 # ASCII bytes that are no letter and no digit also part words in classifiers.
@@ -25,6 +29,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df`` after its session is told to hand rows to Python in batches of ``BATCH`` bytes.
+
+    A worker then holds few texts at once, however long they are.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+    return df
+
+
 def id_hash(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
@@ -38,8 +51,27 @@ def fresh_name(df: DataFrame, stem: str) -> str:
     return stem
 
 
+_lean = False
+
+
+def lean_worker() -> None:
+    """Make this process give freed arrays back to the system, as idle workers stay and share an executor's memory.
+
+    Arrow takes its memory from malloc, and malloc maps all larger pieces on their own instead of keeping them.
+    """
+    global _lean
+    if not _lean:
+        _lean = True
+        pa.set_memory_pool(pa.system_memory_pool())
+        with contextlib.suppress(OSError, AttributeError):  # another C library: nothing to tell it
+            libc = ctypes.CDLL(None)
+            libc.mallopt(-3, 1 << 18)  # M_MMAP_THRESHOLD
+            libc.mallopt(-1, 1 << 18)  # M_TRIM_THRESHOLD
+
+
 def slices(batch: pa.RecordBatch, column: int | str = "text", most: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive row ranges of ``batch`` with at most ``most`` bytes of text, or one row."""
+    lean_worker()
     _, offsets = text_bytes(batch.column(column))
     at = 0
     while at < batch.num_rows:
@@ -124,4 +156,4 @@ def row_scores(df: DataFrame, compute: Callable[[pa.RecordBatch], dict[str, pa.A
             for part in slices(batch):
                 yield pa.RecordBatch.from_pydict(compute(part))
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)

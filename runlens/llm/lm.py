@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.blocks import LOWER, id_hash, mix, slices, table, text_bytes, word_hashes, word_places
+from runlens.llm.blocks import LOWER, bounded_batches, id_hash, mix, slices, table, text_bytes, word_hashes, word_places
 
 FOLDS = 7
 HELD_OUT = 2
@@ -102,7 +102,7 @@ def vocabulary(docs: DataFrame) -> dict[str, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=2 << 20):
                 found, heads = tokens(part.column("text"))
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 scored = found != START
@@ -132,11 +132,12 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
     each; an empty table gives no rows; other columns are not read.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text", (id_hash(F.col("doc_id")) % FOLDS == HELD_OUT).alias("held_out"))
+    rows = bounded_batches(docs).select("doc_id", "text", (id_hash(F.col("doc_id")) % FOLDS == HELD_OUT).alias("held_out"))
     sizes = vocabulary(rows)
     blocks = max(1, -(-sizes["all"] // BLOCK_WORDS))
     buckets = max(1, -(-sizes["all"] * order // BUCKET_KEYS))
-    bounds = np.array([(2**64 * i) // buckets for i in range(1, buckets)], np.uint64)
+    lower = np.array([(2**64 * i) // buckets for i in range(buckets)], np.uint64)
+    bounds = lower[1:]
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
 
     def block_keys(found: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
@@ -156,13 +157,16 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
             {
                 "block": pa.array([found.column("block")[0].as_py()] * len(parts), pa.int64()),
                 "bucket": pa.array([i for i, _, _ in parts], pa.int64()),
-                "keys": pa.array([kinds[a:b].tobytes() for _, a, b in parts], pa.binary()),
+                "n": pa.array([b - a for _, a, b in parts], pa.int64()),
+                "keys": pa.array([_packed(np.diff(kinds[a:b], prepend=lower[i])) for i, a, b in parts], pa.binary()),
                 "counts": pa.array([_packed(counts[a:b]) for _, a, b in parts], pa.binary()),
             }
         )
 
     def add(found: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(v.as_py(), np.uint64) for v in found.column("keys")]
+        sizes = found.column("n").to_pylist()
+        low = lower[found.column("bucket")[0].as_py()]
+        keys = [low + np.cumsum(_unpacked(v.as_py(), n)) for v, n in zip(found.column("keys"), sizes)]
         counts = [_unpacked(v.as_py(), len(k)) for v, k in zip(found.column("counts"), keys)]
         kinds, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         # Whole numbers of float64 are exact up to 2^53.
@@ -199,20 +203,23 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     empty = pa.table({n: pa.array([]) for n in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-    sent = dealt.groupBy("block").applyInArrow(send, "block long, bucket long, keys binary, counts binary")
+    sent = dealt.groupBy("block").applyInArrow(send, "block long, bucket long, n long, keys binary, counts binary")
     sums = sent.groupBy("bucket").applyInArrow(add, "block long, bucket long, counts binary")
     return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, schema)
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts in the fewest bytes each: 1, 2, 4 or 8."""
-    most = int(counts.max(initial=0))
-    width = next(w for w in (1, 2, 4, 8) if most < 1 << (8 * w - (w == 8)))
-    return counts.astype(f"<u{width}").tobytes()
+def _packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers in the fewest bytes that hold all of them."""
+    width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
+    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(data, f"<u{len(data) // max(1, n)}").astype(np.int64) if n else np.zeros(0, np.int64)
+    out = np.zeros((n, 8), np.uint8)
+    if n:
+        width = len(data) // n
+        out[:, :width] = np.frombuffer(data, np.uint8).reshape(n, width)
+    return out.view("<u8").ravel()
 
 
 def op6(spark, sf_dir):
