@@ -13,10 +13,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from runlens.llm.blocks import slices, table
+from runlens.llm.blocks import bounded_batches, slices, table
 
-# Distinct chunks a task remembers; beyond, only those of the present block stay.
-REMEMBERED = 400_000
+# Distinct chunks in each of the two generations that a task remembers; a chunk that is not met in one goes.
+REMEMBERED = 150_000
 END = "</w>"
 PRINTABLE = re.compile(rb"[!-~]+\Z")
 # The split pattern of the tokenizer file, for lower-case ASCII.
@@ -145,7 +145,9 @@ class Chunks:
 
     def __init__(self, encode: Callable[[list[bytes]], list[tuple[bytes, str]]], remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
+        # Those of late, and the generation before them.
         self.known: dict[bytes, tuple[bytes, str]] = {}
+        self.older: dict[bytes, tuple[bytes, str]] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
         here: set[bytes] = set()
@@ -153,8 +155,10 @@ class Chunks:
             here.update(chunks)
         new = here.difference(self.known)
         if len(self.known) + len(new) > self.remembered:
-            self.known = {c: self.known[c] for c in here if c in self.known}
-        rows = list(new)
+            self.older, self.known, new = self.known, {}, here
+        older = self.older
+        self.known.update({c: older[c] for c in new if c in older})
+        rows = [c for c in new if c not in older]
         self.known.update(zip(rows, self.encode(rows)))
 
 
@@ -223,7 +227,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = Chunks(PairEncoder(path))
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=2 << 20):
                 texts = [(t.as_buffer().to_pybytes() if t.is_valid else b"").split() for t in part.column("text").cast(pa.large_string())]
                 chunks.learn(texts)
                 counts, ids, decoded = [], [], []
@@ -242,7 +246,7 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op5(spark, sf_dir):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -14,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from runlens.llm.blocks import slices, table
-from runlens.llm.bpe import Chunks, default_path
+from runlens.llm.blocks import bounded_batches, slices, table
+from runlens.llm.bpe import REMEMBERED, Chunks, default_path
 from runlens.session import keep
 
 CAPACITY = 4096
@@ -25,34 +26,73 @@ BINS = 64
 MOST_PARTS = 4
 
 
+# Words that go to the library together.
+ROW = 2048
+# A chunk's last letter or digit and the punctuation after it, which the tokenizer makes a word of its own.
+TAIL = re.compile(rb"(.*[a-z0-9])([.,!?;:]+)\Z", re.S)
+
+
 class LibraryEncoder:
-    """Chunks to ids by the tokenizers library."""
+    """Chunks to ids by the tokenizers library, which gets each word once whatever its case and the punctuation after it."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.words: dict[bytes, bytes] = {}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
     def __call__(self, chunks: list[bytes]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(chunks), 4096):
-            texts = [c.decode() for c in chunks[at : at + 4096]]
-            out += [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        return out
-
-
-def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
+        split = []
+        for chunk in chunks:
+            # The tokenizer lower-cases too, but not before it looks for special tokens.
+            low = chunk if b"<|" in chunk else chunk.lower()
+            parts = TAIL.match(low)
+            split.append(parts.groups() if parts else (low,))
+        if len(self.words) > self.remembered:
+            self.words.clear()
+        new = list({w for words in split for w in words if w not in self.words})
+        texts = [w.decode() for w in new]
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        for at in range(0, len(plain), ROW):
+            own = plain[at : at + ROW]
+            if not self._row([new[i] for i in own], " ".join([texts[i] for i in own])):
+                self._each([new[i] for i in own])
+        self._each([w for w, t in zip(new, texts) if not t.isalpha()])
+        return [b"".join([self.words[w] for w in words]) for words in split]
+
+    def _row(self, words: list[bytes], text: str) -> bool:
+        """Many words in one text: a word of letters has one last id, whose token carries the word end."""
+        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):
+            return False
+        flat, cuts = ids.astype("<u4").tobytes(), (4 * ends).tolist()
+        self.words.update(zip(words, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
+        return True
+
+    def _each(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), ROW):
+            own = words[at : at + ROW]
+            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in own], add_special_tokens=False)
+            self.words.update(zip(own, [np.array(e.ids, "<u4").tobytes() for e in encoded]))
+
+
+def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32): each document's ids and END_ID, cut only beyond ``capacity``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     last = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(LibraryEncoder(path))
+        chunks = Chunks(LibraryEncoder(path, remembered), remembered)
         for batch in batches:
-            for part in slices(batch, most=8 << 20):
+            for part in slices(batch, most=2 << 20):
                 texts = [(t.as_buffer().to_pybytes() if t.is_valid else b"").split() for t in part.column("text").cast(pa.large_string())]
                 chunks.learn(texts)
                 row, number, start, length, crc = [], [], [], [], []
@@ -75,7 +115,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     }
                 )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+    return bounded_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def nonnegative_fit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -230,17 +270,18 @@ class Plan:
         return np.array(sorted(self.records), np.int64).reshape(-1, 6)
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of ``docs``.
 
-    The driver gets a count per length, ``capacity`` at most, and plans with those. Nulls: a null text is empty and
+    The driver gets a count per length, ``capacity`` at most, and plans with those. ``remembered`` bounds what a task
+    keeps of the words it has encoded; results do not depend on it. Nulls: a null text is empty and
     gives the one id END_ID; a null id stays null. Repeated rows are packed each; an empty table gives no rows; other
     columns are not read.
     """
     path = path or default_path()
     kind = docs.schema["doc_id"].dataType.simpleString()
     # Written, so that a piece keeps its part when a task runs again.
-    rows = keep(pieces(docs, path, capacity).withColumn("part", F.spark_partition_id()), "pieces")
+    rows = keep(pieces(docs, path, capacity, remembered).withColumn("part", F.spark_partition_id()), "pieces")
     counts = rows.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     earlier = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     before = counts.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")

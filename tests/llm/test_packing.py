@@ -40,6 +40,13 @@ def test_documents(spark, sf):
     assert used <= least * 1.01 + 1
 
 
+def test_chunks_are_encoded_as_whole_texts(spark):
+    from test_bpe import ODD
+
+    odd = [*ODD, "<|ENDOFTEXT|> <|endoftext|>. The. the, a's. a'S! x... 9.9. é. É, end?!;", "don't. WE'VE: ..."]
+    check(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"))
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, "a b"), (3, "x " * 30_000), (3, "x " * 30_000), (4, "one two"), (4, "one two")]
     docs = spark.createDataFrame([(i, t, "clash", 7) for i, t in rows], "doc_id long, text string, piece string, part int")
