@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.blocks import IS_BREAK, LOWER, fresh_name, id_hash, row_scores, slices, table, text_bytes, word_places
+from runlens.llm.blocks import IS_BREAK, LOWER, bounded_batches, fresh_name, id_hash, row_scores, slices, table, text_bytes, word_places
 
 BITS = 16
 FOLDS = 3
@@ -82,7 +82,7 @@ def train(docs: DataFrame) -> Model:
             )
 
     rows = (
-        docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_hash(F.col("doc_id")) % FOLDS != HELD_OUT))
+        bounded_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (id_hash(F.col("doc_id")) % FOLDS != HELD_OUT))
         .select("text", F.col("lang").cast("string").alias("lang"))
         .mapInArrow(count, "lang string, bucket int, n long")
         .groupBy("lang", "bucket")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.blocks import IS_BREAK, LOWER, fresh_name, id_hash, row_scores, slices, table, text_bytes, word_hashes, word_places
+from runlens.llm.blocks import IS_BREAK, LOWER, bounded_batches, fresh_name, id_hash, row_scores, slices, table, text_bytes, word_hashes, word_places
 
 BITS = 20
 # Labelled rows of each class that the model is fitted on, the first by a hash of their id.
@@ -168,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 )
 
     # The ids are at most 2 * sample.
-    taken = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    taken = bounded_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = (
         taken.mapInArrow(distinct, f"doc_id {kind}, toxic int, found array<int>")
