@@ -20,6 +20,10 @@ SAMPLE = 400
 # Probability and shared part of a template from which a licence counts as found.
 CERTAIN = 0.5
 SHARED = 0.5
+# Wrapped notices are sought in stretches of so many lines, one every STEP lines. Lines of more characters are not wrapped.
+STRETCH = 12
+STEP = 6
+BREAK = r"\n[^\p{L}\p{N}\n]*(?=\n)|[^\n]{121,}"
 # An n-gram in more than this share of ordinary paragraphs is no feature.
 COMMON = 0.002
 TEMPERATURES = [0.25, 0.5, 0.75, 1.0, 1.5, 2.0, 3.0]
@@ -62,6 +66,27 @@ def paragraphs(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), r"\n")
 
 
+def wrapped(lines: Column) -> Column:
+    """(place, text) of the runs of two lines or more that stand together, without blank or long lines between.
+
+    Lines without letters and digits (comment marks, rules) are blank. A run over seven lines comes in overlapping
+    parts; the place is the first line of the stretch that holds it.
+    """
+
+    def stretch(i: Column) -> Column:
+        runs = F.split(F.array_join(F.slice(lines, i + 1, STRETCH), "\n"), BREAK)
+        runs = F.filter(runs, lambda x: x.rlike(r"[\p{L}\p{N}][^\n]*\n[^\n]*[\p{L}\p{N}]"))
+        return F.transform(runs, lambda x: F.struct(i.alias("place"), x.alias("text")))
+
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(lines) - 1, F.lit(STEP)), stretch))
+
+
+def units(text: Column) -> Column:
+    """(place, text) of every line and of the wrapped runs of lines."""
+    each = F.transform(paragraphs(text), lambda x, i: F.struct(i.alias("place"), x.alias("text")))
+    return F.concat(each, wrapped(paragraphs(text)))
+
+
 def ngrams(paragraph: Column) -> Column:
     """Hashes of the runs of two and of three words, each once; case and punctuation do not count."""
     words = F.array(F.regexp_extract_all(F.lower(paragraph), F.lit(WORD), F.lit(0)))
@@ -127,7 +152,7 @@ def _examples(spark: SparkSession) -> DataFrame:
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """Multinomial logistic regression of the templates against paragraphs of ``sample`` documents.
 
-    Those paragraphs are the unknown class, but for those that share half of a template. The scores are divided by the
+    Those paragraphs are the unknown class, but for those that share half of a template, alone or in a wrapped run. The scores are divided by the
     temperature that fits the paragraphs of a second sample best, so that the unknown class is calibrated on text that
     was not learnt from.
     """
@@ -144,13 +169,21 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     known = constant(vocabulary, "array<bigint>")
     some = docs.select("doc_id", "text").join(F.broadcast(half), "doc_id").dropDuplicates(["doc_id"])
     lines = (
-        some.select("held_out", F.explode(paragraphs(F.col("text"))).alias("text"))
-        .select("held_out", ngrams(F.col("text")).alias("grams"))
+        some.select("doc_id", "held_out", F.explode(paragraphs(F.col("text"))).alias("text"))
+        .select("doc_id", "held_out", ngrams(F.col("text")).alias("grams"))
+        .withColumn("found", F.array_intersect("grams", known))
+    )
+    runs = (
+        some.select("doc_id", F.explode(wrapped(paragraphs(F.col("text")))).alias("run"))
+        .select("doc_id", ngrams(F.col("run.text")).alias("grams"))
         .withColumn("found", F.array_intersect("grams", known))
     )
     shares = [F.size(F.array_intersect("found", constant(own, "array<bigint>"))) / F.lit(float(len(own))) for _, own in templates]
     near = F.when(F.size("found") > 0, F.greatest(*shares)).otherwise(0.0)
-    ordinary = keep(lines.select("held_out", "found").where(near < SHARED), "ordinary")
+    # The known n-grams of wrapped notices, by document: a line with no others is part of one.
+    notices = runs.where(near >= SHARED).groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("noticed"))
+    part = (F.size("found") > 0) & (F.size(F.array_except("found", F.coalesce("noticed", F.array().cast("array<bigint>")))) == 0)
+    ordinary = keep(lines.where(near < SHARED).join(notices, "doc_id", "left").where(~part).select("held_out", "found"), "ordinary")
     counts = ordinary.select(F.explode("found").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()  # n-grams of templates only
     total = max(1, ordinary.count())
     common = {r["g"] for r in counts if r["n"] > max(2, COMMON * total)}
@@ -196,13 +229,14 @@ def _scaled(model: Model, t: float) -> Model:
 def scan(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, n_paragraphs, n_candidates, families, found of every row.
 
-    A candidate is a paragraph with a known n-gram. ``found`` has place, family, probability and similarity of the
+    A paragraph is a line; wrapped runs of lines are judged too. A candidate is either with a known n-gram. ``found`` has place, family, probability and similarity of the
     candidates whose most likely class is a family, likely enough and confirmed by a template of that family.
     """
     known = constant(list(model.weights), "array<bigint>")
 
-    def classify(paragraph: Column, place: Column) -> Column:
-        grams = F.array(ngrams(paragraph))
+    def classify(unit: Column) -> Column:
+        place = unit["place"]
+        grams = F.array(ngrams(unit["text"]))
 
         def one(g: Column) -> Column:
             found = F.array_intersect(g, known)
@@ -219,7 +253,7 @@ def scan(docs: DataFrame, model: Model) -> DataFrame:
     # The whole text first: few documents have any known n-gram, and those of its paragraphs are among them.
     lines = paragraphs(F.col("text"))
     rows = docs.select("doc_id", "text").withColumn("any", F.size(F.array_intersect(ngrams(F.col("text")), known)) > 0)
-    judged = F.when(F.col("any"), F.array_compact(F.transform(lines, classify)))
+    judged = F.when(F.col("any"), F.array_compact(F.transform(units(F.col("text")), classify)))
     rows = rows.select("doc_id", F.size(lines).alias("n_paragraphs"), F.coalesce(judged, F.array_compact(F.array(judged[0]))).alias("judged"))
     sure = F.filter("judged", lambda c: (c["family"] != UNKNOWN) & (c["probability"] >= CERTAIN) & (c["similarity"] >= SHARED))
     rows = rows.select("doc_id", "n_paragraphs", F.size("judged").alias("n_candidates"), sure.alias("found"))

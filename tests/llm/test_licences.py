@@ -54,3 +54,17 @@ def test_empty_table(spark):
 def test_plan_has_no_python(spark, sf, model):
     plan = licences.scan(table(spark, sf, "documents"), model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+WRAPPED = [
+    ("mit", "MIT License\n\nCopyright (c) 2020 A. Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell"),
+    ("bsd", "BSD 3-Clause License\n\n# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n#\n# 1. Redistributions of source code must retain the above copyright notice"),
+    ("gpl", " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.\n *\n * This program is distributed in the hope"),
+    ("apache-2.0", "// Licensed under the Apache License, Version 2.0 (the \"License\");\n// you may not use this file except in compliance with the License.\n// You may obtain a copy of the License at\n//\n//     http://www.apache.org/licenses/LICENSE-2.0"),
+]
+
+
+def test_wrapped_notices(spark, model):
+    rows = [(2 * i + k, "import this\n" * (5 * k) + "\n" * k + t) for i, (_, t) in enumerate(WRAPPED) for k in (0, 1)]
+    got = {r.doc_id: r.families for r in licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got == {2 * i + k: [f] for i, (f, _) in enumerate(WRAPPED) for k in (0, 1)}
