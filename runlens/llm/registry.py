@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.llm import bpe, fingerprint, langid, licences, lm, neighbours, packing, simhash, substring, toxicity
+from runlens.llm import audit, bpe, fingerprint, langid, licences, lm, neighbours, packing, simhash, substring, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -15,5 +15,6 @@ QUERIES = {
     "op8_substring_dedup": substring.op8,
     "op9_toxicity": toxicity.op9,
     "op10_simhash": simhash.op10,
+    "op11_filter_audit": audit.op11,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op11_filter_audit": audit.OP11_SQL}
