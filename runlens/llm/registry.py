@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from runlens.llm import audit, bpe, fingerprint, langid, licences, lm, neighbours, packing, simhash, substring, toxicity
+from runlens.llm import audit, bpe, divergence, fingerprint, langid, licences, lm, neighbours, packing, simhash, substring, tokencount, toxicity
 
 QUERIES = {
     "op1_language_id": langid.op1,
@@ -16,5 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9,
     "op10_simhash": simhash.op10,
     "op11_filter_audit": audit.op11,
+    "op12_token_counts": tokencount.op12,
+    "op13_divergence": divergence.op13,
 }
-SQL: dict[str, str] = {"op11_filter_audit": audit.OP11_SQL}
+SQL: dict[str, str] = {"op11_filter_audit": audit.OP11_SQL, "op13_divergence": divergence.OP13_SQL}
