@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from decimal import Decimal
 
@@ -19,120 +19,190 @@ LEAST_DOCUMENTS = 3
 SCALE = 1_000_000_000
 MOST_RANK = 200
 # Postings (term and source) that a block holds in memory before it is spilled as a sorted run.
-BLOCK = 250_000
+BLOCK = 1_000_000
 # Pair sums that a task holds before it passes them on.
 PAIRS = 200_000
 # Pairs of postings that one vectorised step takes.
-STEP = 1 << 20
+STEP = 1 << 19
 # Bytes that are no part of a term become spaces, capitals small letters.
 TERM_BYTES = bytes(
     b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256)
 )
-RUN = "lang string, source string, term string, n long, docs long"
+POSTINGS = "lang string, term string, docs long, entries array<struct<source: string, n: long>>"
+ENTRIES = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
+
+
+def _heads(*columns: pa.Array) -> np.ndarray:
+    """Places where one of the columns differs from the row before; the first place always."""
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for column in columns:
+        new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+    return np.flatnonzero(new)
+
+
+def _postings(lang: pa.Array, term: pa.Array, docs: np.ndarray, offsets: np.ndarray, source: pa.Array, n: np.ndarray) -> pa.RecordBatch:
+    inner = pa.StructArray.from_arrays([source, pa.array(n)], ["source", "n"])
+    entries = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), inner).cast(ENTRIES)
+    return pa.RecordBatch.from_arrays([lang, term, pa.array(docs), entries], ["lang", "term", "docs", "entries"])
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys in order, and the sum of ``n`` of each."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(n[order], first) if len(first) else n[:0]
 
 
 class Block:
-    """Postings of the documents since the last spill: occurrences and documents of each term, by language and source."""
+    """Postings of the documents since the last spill: occurrences of each term by group (language and source), and
+    documents by language.
+
+    Terms and groups have numbers in the block. Numbers of single occurrences wait in arrays until there are
+    ``waiting`` of them, and are then counted; a key holds the group's or language's number above the term's.
+    """
 
-    def __init__(self):
-        self.groups: dict[tuple[bytes, bytes], tuple[Counter, Counter]] = {}
-        self.size = 0
+    def __init__(self, waiting: int = 1 << 20):
+        self.waiting = waiting
+        self.terms: defaultdict[bytes, int] = defaultdict()
+        self.terms.default_factory = self.terms.__len__
+        self.groups: dict[tuple[bytes, bytes], int] = {}
+        self.langs: dict[bytes, int] = {}
+        self.texts: list[tuple[int, int, np.ndarray]] = []
+        self.pending = 0
+        empty = np.zeros(0, np.int64)
+        self.counts, self.docs = (empty, empty), (empty, empty)
+
+    @property
+    def size(self) -> int:
+        return len(self.counts[0])
 
     def add(self, lang: bytes, source: bytes, text: bytes) -> None:
-        group = (lang, source)
-        if group not in self.groups:
-            self.groups[group] = (Counter(), Counter())
-        n, docs = self.groups[group]
-        before = len(n)
-        terms = text.translate(TERM_BYTES).split()
-        n.update(terms)
-        docs.update(set(terms))
-        self.size += len(n) - before
-
-    def spill(self, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-        """One run sorted by language, term and source, in batches; a group gives one row without term besides."""
-        postings = [(lang, b"", source, 0, 0) for lang, source in self.groups]
-        for (lang, source), (n, docs) in self.groups.items():
-            postings += [(lang, term, source, count, docs[term]) for term, count in n.items()]
-        self.groups, self.size = {}, 0
-        postings.sort()
-        for at in range(0, len(postings), rows):
-            lang, term, source, n, docs = zip(*postings[at : at + rows])
-            names = [pa.array(c, pa.binary()).cast(pa.string()) for c in (lang, source, term)]
-            yield pa.RecordBatch.from_arrays([*names, pa.array(n, pa.int64()), pa.array(docs, pa.int64())], ["lang", "source", "term", "n", "docs"])
+        group = self.groups.setdefault((lang, source), len(self.groups))
+        found = text.translate(TERM_BYTES).split()
+        numbers = np.fromiter(map(self.terms.__getitem__, found), np.int64, len(found))
+        self.texts.append((group, self.langs.setdefault(lang, len(self.langs)), numbers))
+        self.pending += len(found)
+        if self.pending >= self.waiting:
+            self.count()
+
+    def count(self) -> None:
+        size = np.array([len(numbers) for _, _, numbers in self.texts], np.int64)
+        group, lang = (np.array([t[i] for t in self.texts], np.int64) for i in (0, 1))
+        number = np.concatenate([t[2] for t in self.texts]) if len(size) else size
+        self.texts, self.pending = [], 0
+        # A document's occurrences of a term in one, then documents of a language.
+        own, n = _summed(np.repeat(np.arange(len(size)), size) << 32 | number, np.ones(len(number), np.int64))
+        doc, term = own >> 32, own & 0xFFFFFFFF
+        parts = [(self.counts, group[doc] << 32 | term, n), (self.docs, lang[doc] << 32 | term, np.ones(len(own), np.int64))]
+        self.counts, self.docs = (
+            _summed(np.concatenate([held[0], keys]), np.concatenate([held[1], n])) for held, keys, n in parts
+        )
+
+    def spill(self, rows: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+        """One run sorted by language and term, in batches; the term '' lists the sources of a language."""
+        self.count()
+        (keys, n), (_, docs) = self.counts, self.docs
+        langs = {v: k for k, v in self.langs.items()}
+        by_lang = sorted(langs, key=langs.__getitem__)
+        place = np.argsort(np.array(by_lang, np.int64)) if by_lang else np.zeros(0, np.int64)
+        lang_of = np.array([self.langs[lang] for lang, _ in self.groups], np.int64)
+        source = pa.array([s for _, s in self.groups], pa.binary()).cast(pa.string())
+        # The empty term is the first; it has each group once, with no occurrences.
+        terms = pa.array([b"", *self.terms], pa.binary())
+        by_term = pc.sort_indices(terms).to_numpy().astype(np.int64)
+        rank = np.empty(len(terms), np.int64)
+        rank[by_term] = np.arange(len(terms))
+        group = np.append(np.arange(len(lang_of)), keys >> 32)
+        number = np.append(np.zeros(len(lang_of), np.int64), (keys & 0xFFFFFFFF) + 1)
+        n = np.append(np.zeros(len(lang_of), np.int64), n)
+        where = place[lang_of[group]] * len(terms) + rank[number]
+        order = np.argsort(where, kind="stable")
+        where, group, n = where[order], group[order], n[order]
+        heads = np.flatnonzero(np.append(True, where[1:] != where[:-1])) if len(where) else where
+        bounds = np.append(heads, len(where))
+        # Documents in the same order: the empty terms have none.
+        doc_keys = self.docs[0]
+        doc_where = place[doc_keys >> 32] * len(terms) + rank[(doc_keys & 0xFFFFFFFF) + 1]
+        counted = np.zeros(len(heads), np.int64)
+        counted[np.searchsorted(where[heads], doc_where)] = docs
+        self.__init__(self.waiting)
+        for at in range(0, len(heads), rows):
+            some = where[heads[at : at + rows]]
+            low, high = bounds[at], bounds[min(at + rows, len(heads))]
+            lang = pa.array([langs[by_lang[i]] for i in (some // len(terms)).tolist()], pa.binary()).cast(pa.string())
+            term = terms.take(pa.array(by_term[some % len(terms)])).cast(pa.string())
+            yield _postings(lang, term, counted[at : at + rows], bounds[at : at + rows + 1] - low, source.take(pa.array(group[low:high])), n[low:high])
 
 
 def runs(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Sorted runs of postings (lang, source, term, n, docs), one per block of documents; term '' marks the group alone."""
+    """Sorted runs of postings (lang, term, docs, entries array<source, n>), one per block of documents."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lean_worker()
-        held = Block()
+        held = Block(min(block, 1 << 20))
         for batch in batches:
             columns = [batch.column(c).cast(pa.large_binary()) for c in ("lang", "source", "text")]
             for row in zip(*columns):
                 held.add(*(v.as_buffer().to_pybytes() if v.is_valid else b"" for v in row))
-                if held.size >= block:
+                if max(held.size, len(held.terms)) >= block:
                     yield from held.spill()
         yield from held.spill()
 
     columns = [F.col(c).cast("string").alias(c) for c in ("lang", "source", "text")]
-    return bounded_batches(docs).select(*columns).mapInArrow(index, RUN)
+    return bounded_batches(docs).select(*columns).mapInArrow(index, POSTINGS)
+
+
+def folded(rows: pa.Table) -> pa.RecordBatch:
+    """One row per (lang, term) of sorted ``rows``, its entries one per source."""
+    lang, term, docs, entries = (rows.column(c).combine_chunks() for c in ("lang", "term", "docs", "entries"))
+    heads = _heads(lang, term)
+    number = np.repeat(np.arange(len(heads)), np.diff(np.append(heads, len(term))))
+    flat = entries.flatten()
+    source = flat.field("source").dictionary_encode()
+    of = np.repeat(number, np.diff(entries.offsets.to_numpy()))
+    key = of * max(1, len(source.dictionary)) + source.indices.to_numpy()
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, np.diff(key[order]) != 0))
+    one = order[first]
+    return _postings(
+        lang.take(pa.array(heads)),
+        term.take(pa.array(heads)),
+        np.add.reduceat(docs.to_numpy(), heads),
+        np.searchsorted(of[one], np.arange(len(heads) + 1)),
+        source.dictionary.take(source.indices.take(pa.array(one))),
+        np.add.reduceat(flat.field("n").to_numpy()[order], first),
+    )
 
 
 def frequencies(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(lang, term, docs, entries array<source, n>) over the whole table, a row per term of a language.
 
     The runs are dealt to shards by a hash of language and term. A shard's sort merges the runs there through a heap, and
-    spills as it must; the merged stream is folded with one term's postings held at a time.
+    spills as it must; the merged stream is folded with one term's postings held at a time. The term '' lists the
+    sources of a language, those of texts without terms too.
     """
-    merged = runs(docs, block).repartition("lang", "term").sortWithinPartitions("lang", "term", "source")
-    entries = pa.list_(pa.struct([("source", pa.string()), ("n", pa.int64())]))
-
-    def changes(batch: pa.RecordBatch, *names: str) -> np.ndarray:
-        """Places where one of the columns differs from the row before; the first place always."""
-        new = np.zeros(batch.num_rows, bool)
-        new[:1] = True
-        for name in names:
-            column = batch.column(name)
-            new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
-        return np.flatnonzero(new)
-
-    def fold(batch: pa.RecordBatch) -> pa.RecordBatch:
-        heads = changes(batch, "lang", "term", "source")
-        sums = {c: np.add.reduceat(batch.column(c).to_numpy(), heads) for c in ("n", "docs")}
-        firsts = batch.select(["lang", "source", "term"]).take(pa.array(heads))
-        return pa.RecordBatch.from_arrays([*firsts.columns, *map(pa.array, sums.values())], batch.schema.names)
-
-    def lists(batch: pa.RecordBatch) -> pa.RecordBatch:
-        heads = changes(batch, "lang", "term")
-        inner = pa.StructArray.from_arrays([batch.column("source"), batch.column("n")], ["source", "n"])
-        offsets = pa.array(np.append(heads, batch.num_rows).astype(np.int32))
-        firsts = batch.select(["lang", "term"]).take(pa.array(heads))
-        docs = pa.array(np.add.reduceat(batch.column("docs").to_numpy(), heads))
-        return pa.RecordBatch.from_arrays([*firsts.columns, docs, pa.ListArray.from_arrays(offsets, inner).cast(entries)], ["lang", "term", "docs", "entries"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.RecordBatch | None = None  # the postings of the last term, which the next batch may go on with
+        lean_worker()
+        held: pa.RecordBatch | None = None  # the last term, which the next batch may go on with
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            if held is not None:
-                batch = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
-            batch = fold(batch)
-            last = int(changes(batch, "lang", "term")[-1])
-            if last:
-                yield lists(batch.slice(0, last))
-            held = batch.slice(last)
+            if batch.num_rows:
+                rows = folded(pa.Table.from_batches([batch] if held is None else [held, batch.cast(held.schema)]))
+                if rows.num_rows > 1:
+                    yield rows.slice(0, rows.num_rows - 1)
+                held = rows.slice(rows.num_rows - 1)
         if held is not None:
-            yield lists(held)
+            yield held
 
-    return merged.mapInArrow(merge, "lang string, term string, docs long, entries array<struct<source: string, n: long>>")
+    return runs(docs, block).repartition("lang", "term").sortWithinPartitions("lang", "term").mapInArrow(merge, POSTINGS)
 
 
 def _share(n: Column, total: Column) -> Column:
-    """1 + floor(SCALE * (n + 1) / total), exactly, in numbers of at most 38 digits."""
-    return 1 + F.call_function("div", (n.cast("decimal(19,0)") + 1) * F.lit(SCALE).cast("decimal(11,0)"), total.cast("decimal(19,0)"))
+    """1 + floor(SCALE * (n + 1) / total), exactly: division by parts, which stay longs up to 9e13 occurrences."""
+    high = (n + 1) * 100_000
+    return 1 + F.call_function("div", high, total) * 10_000 + F.call_function("div", high % total * 10_000, total)
 
 
 def _gap(p: Column, q: Column) -> Column:
@@ -141,13 +211,14 @@ def _gap(p: Column, q: Column) -> Column:
 
 
 def shares(n: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """As ``_share`` in 64-bit numbers: division by parts, exact up to 9e13 occurrences."""
+    """As ``_share``."""
     high, rest = np.divmod((n + 1) * 100_000, total)
     return 1 + high * 10_000 + rest * 10_000 // total
 
 
 def gaps(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    return (p - q) * (p - q) // q
+    """As ``_gap``; numbers without sign divide faster."""
+    return (((p - q) * (p - q)).view(np.uint64) // q.view(np.uint64)).view(np.int64)
 
 
 def corrections(postings: DataFrame, held: int = PAIRS, step: int = STEP) -> DataFrame:
@@ -200,11 +271,13 @@ def corrections(postings: DataFrame, held: int = PAIRS, step: int = STEP) -> Dat
                 b = np.repeat(np.repeat(first, size)[at:to], width[at:to]) + rank
                 a, b = a[a != b], b[a != b]
                 gain = gaps(p[a], p[b]) - gaps(p[a], none[b]) - gaps(none[a], p[b]) + gaps(none[a], none[b])
-                pair, place = np.unique((group[a] << 32) | group[b], return_inverse=True)
-                found = np.zeros(len(pair), np.int64)
-                np.add.at(found, place, gain)
-                for k, v in zip(pair.tolist(), found.tolist()):
-                    sums[k] = sums.get(k, 0) + v
+                code = (group[a] << 32) | group[b]
+                order = np.argsort(code)
+                code = code[order]
+                if len(code):
+                    edge = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
+                    for k, v in zip(code[edge].tolist(), np.add.reduceat(gain[order], edge).tolist()):
+                        sums[k] = sums.get(k, 0) + v
                 at = to
                 if len(sums) > held:
                     yield from out()
@@ -229,7 +302,8 @@ def divergence(docs: DataFrame, block: int = BLOCK, most: int = MOST_RANK) -> Da
     groups = merged.where("term = ''").select("lang", F.explode("entries.source").alias("source"))
     kept = merged.where("term <> ''").select("lang", "term", "entries")
     # Occurrences per group and their distribution: how many terms it has how often.
-    flat = kept.select("lang", "term", F.explode("entries").alias("e")).select("lang", "term", "e.source", "e.n")
+    everywhere = F.aggregate("entries", F.lit(0).cast("long"), lambda sum, e: sum + e["n"]).alias("lang_n")
+    flat = kept.select("lang", "term", everywhere, F.explode("entries").alias("e")).select("lang", "term", "lang_n", "e.source", "e.n")
     held = flat.groupBy("lang", "source", "n").agg(F.count(F.lit(1)).alias("times"))
     vocabulary = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     sums = held.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("times")).alias("all_n"), F.sum("times").alias("own"))
@@ -278,10 +352,8 @@ def _pairs(kept: DataFrame, sized: DataFrame, held: DataFrame) -> DataFrame:
 
 def _terms(flat: DataFrame, sized: DataFrame, most: int) -> DataFrame:
     whole = sized.groupBy("lang").agg((F.sum("all_n") + F.max("terms")).alias("lang_total"))
-    everywhere = flat.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"))
     rows = (
-        flat.join(everywhere, ["lang", "term"])
-        .join(sized.select("lang", "source", "total"), ["lang", "source"])
+        flat.join(sized.select("lang", "source", "total"), ["lang", "source"])
         .join(whole, "lang")
         .withColumn("p", _share(F.col("n"), F.col("total")))
         .withColumn("q", _share(F.col("lang_n"), F.col("lang_total")))

@@ -67,13 +67,18 @@ def test_small_blocks_and_odd_rows(spark):
 
 
 def test_blocks_spill_sorted_runs():
-    block = divergence.Block()
+    block = divergence.Block(waiting=17)
     for i in range(50):
-        block.add(b"en", b"s%d" % (i % 3), b"b a c%d a" % i)
+        block.add([b"en", b"de"][i % 2], b"s%d" % (i % 3), b"b a c%d a" % i)
+    block.count()
+    assert block.size == 2 * 6 + 50
     rows = pa.Table.from_batches(list(block.spill(rows=10))).to_pylist()
-    keys = [(r["lang"], r["term"], r["source"]) for r in rows]
+    keys = [(r["lang"], r["term"]) for r in rows]
     assert keys == sorted(set(keys)) and block.size == 0
-    assert sum(r["n"] for r in rows if r["term"] == "a") == 100 and sum(r["docs"] for r in rows if r["term"] == "a") == 50
+    of = {k: r for k, r in zip(keys, rows)}
+    assert sorted(e["source"] for e in of["en", ""]["entries"]) == ["s0", "s1", "s2"]
+    assert of["en", "a"]["docs"] == 25 and sum(e["n"] for e in of["en", "a"]["entries"]) == 50
+    assert sum(e["n"] for e in of["de", "b"]["entries"]) == 25
 
 
 def test_shares_are_exact_for_large_counts():
