@@ -98,11 +98,50 @@ def trend_first_pass_averages(spark, sf):
     return rounded(trend.lowess(means.withColumnRenamed("user_id", "x"), "x", "avg_value", passes=0, block=64))
 
 
-@query("trend_robust")
+def robust_sql(points_sql: str, passes: int = 3) -> str:
+    """The trend of ``points_sql`` (CTEs that end in pts(x, y)) as chained CTEs: a fit, and for each pass residuals,
+    their median, new weights and a new fit."""
+    ctes = [
+        points_sql,
+        """g AS (SELECT x, count(*) AS n, avg(y) AS mean_y FROM pts GROUP BY x),
+k AS (SELECT CAST(floor(0.2 * count(*) + 1e-10) AS BIGINT) AS k FROM pts),
+d AS (SELECT a.x AS tx, b.x AS sx, b.n, abs(b.x - a.x) AS dist FROM g a, g b),
+c AS (SELECT *, sum(n) OVER (PARTITION BY tx ORDER BY dist) AS upto FROM d),
+h AS (SELECT tx, min(dist) AS h FROM c, k WHERE upto >= k GROUP BY tx),
+near AS (SELECT c.tx, sx, CASE WHEN h = 0 THEN 0 ELSE (sx - c.tx) / h END AS u,
+    CASE WHEN h = 0 THEN CASE WHEN dist = 0 THEN 1 ELSE 0 END WHEN dist >= h THEN 0
+      ELSE power(1 - power(dist / h, 3), 3) END AS w FROM c JOIN h ON c.tx = h.tx),
+w0 AS (SELECT x, count(*) AS w, sum(y) AS wy FROM pts GROUP BY x)""",
+    ]
+    for i in range(passes + 1):
+        ctes.append(f"""s{i} AS (SELECT tx, sum(near.w * w{i}.w) AS s0, sum(near.w * w{i}.w * u) AS s1, sum(near.w * w{i}.w * u * u) AS s2,
+    sum(near.w * wy) AS t0, sum(near.w * wy * u) AS t1 FROM near JOIN w{i} ON near.sx = w{i}.x GROUP BY tx),
+f{i} AS (SELECT g.x, g.n, CASE WHEN s0 > 0 THEN CASE WHEN s2 / s0 - (s1 / s0) * (s1 / s0) > 1e-12
+    THEN t0 / s0 - (s1 / s0) * (t1 / s0 - (s1 / s0) * (t0 / s0)) / (s2 / s0 - (s1 / s0) * (s1 / s0)) ELSE t0 / s0 END
+    ELSE mean_y END AS fit FROM g JOIN s{i} ON g.x = s{i}.tx)""")
+        if i < passes:
+            ctes.append(f"""r{i} AS (SELECT pts.x, y, abs(y - fit) AS r FROM pts JOIN f{i} ON pts.x = f{i}.x),
+m{i} AS (SELECT median(r) AS middle FROM r{i}),
+u{i} AS (SELECT x, y, CASE WHEN middle > 0 THEN r / (6 * middle) WHEN r > 0 THEN 1 ELSE 0 END AS u FROM r{i}, m{i}),
+w{i + 1} AS (SELECT x, sum(CASE WHEN u < 1 THEN power(1 - u * u, 2) ELSE 0 END) AS w,
+    sum(CASE WHEN u < 1 THEN power(1 - u * u, 2) * y ELSE 0 END) AS wy FROM u{i} GROUP BY x)""")
+    return "WITH " + ",\n".join(ctes) + f"\nSELECT CAST(x AS DOUBLE) AS x, n AS rows, round(fit, 6) AS fit FROM f{passes}"
+
+
+@query("trend_robust", robust_sql(f"{POINTS}, pts AS (SELECT x, speedup AS y FROM points)"))
 def trend_robust(spark, sf):
-    return rounded(trend.lowess(points(spark, sf), "x", "speedup"))
+    return rounded(trend.lowess(points(spark, sf), "x", "speedup").withColumn("x", F.col("x").cast("double")))
 
 
-@query("trend_by_depth")
+@query("trend_by_depth", robust_sql(f"{FENCED}, pts AS (SELECT depth AS x, speedup AS y FROM fenced)"))
 def trend_by_depth(spark, sf):
-    return rounded(trend.lowess(fenced(spark, sf), "depth", "speedup"))
+    return rounded(trend.lowess(fenced(spark, sf), "depth", "speedup").withColumn("depth", F.col("depth").cast("double"))).withColumnRenamed("depth", "x")
+
+
+@query(
+    "trend_robust_averages",
+    robust_sql("pts AS (SELECT user_id AS x, avg(value) AS y FROM events GROUP BY user_id)"),
+)
+def trend_robust_averages(spark, sf):
+    means = trend.mean_by(t.table(spark, sf, "events"), "user_id", "value").withColumnRenamed("user_id", "x")
+    return rounded(trend.lowess(means, "x", "avg_value", block=16).withColumn("x", F.col("x").cast("double")))

@@ -81,13 +81,15 @@ def density(df: DataFrame, keys: Sequence[str], value: str, points: int = 100) -
 
 
 _SUMS = ("s0", "s1", "s2", "t0", "t1")
+# Powers of a point that its tricube weight (power 9) times its square needs.
+_ORDERS = 12
 
 
-def _block_sums():
+def _edge_sums():
     """The task function, made here so that it travels with the job and tasks need not import this package."""
 
     def sums_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Weighted sums of one block of sources around one block of targets."""
+        """Weighted sums of one block of sources around one block of targets, point by point."""
         for batch in batches:
             out = []
             for row in batch.itertuples(index=False):
@@ -111,6 +113,84 @@ def _block_sums():
     return sums_of
 
 
+def _node_sums():
+    """Like ``_edge_sums`` for nodes: blocks of sources known by their moments, wholly inside every target's reach."""
+    side = {}
+    for sign in (-1, 1):  # weight (1 - |u|^3)^3 left and right of the target, as powers of u
+        weight = np.zeros(10)
+        weight[[0, 3, 6, 9]] = [1, -3 * sign, 3, -sign]
+        for q in range(3):
+            power = np.concatenate([np.zeros(q), weight, np.zeros(2 - q)])
+            # Row j: the factor of v^j in the polynomial at u + v, as powers of u.
+            side[sign, q] = np.array(
+                [[power[j + i] * math.comb(j + i, j) if i + j < _ORDERS else 0.0 for i in range(_ORDERS)] for j in range(_ORDERS)]
+            )
+
+    def sums_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                tx, th = np.asarray(row.tx, float)[:, None], np.asarray(row.th, float)[:, None]
+                centre, radius = np.asarray(row.centre, float)[None, :], np.asarray(row.radius, float)[None, :]
+                moments = {"s": np.stack(row.m), "t": np.stack(row.my)}
+                left = centre[0] < tx[0]
+                sums = {name: np.zeros(len(tx)) for name in _SUMS}
+                for sign, some in ((-1, left), (1, ~left)):
+                    if not some.any():
+                        continue
+                    u = ((centre[:, some] - tx) / th).ravel()
+                    scale = (radius[:, some] / th)[None] ** np.arange(_ORDERS)[:, None, None]
+                    powers = u[None, :] ** np.arange(_ORDERS)[:, None]
+                    for name, q in (("s0", 0), ("s1", 1), ("s2", 2), ("t0", 0), ("t1", 1)):
+                        factor = (side[sign, q] @ powers).reshape(_ORDERS, len(tx), -1) * scale
+                        sums[name] += np.einsum("jtn,nj->t", factor, moments[name[0]][some])
+                out.append(pd.DataFrame({"j": np.asarray(row.tj, "int64"), **sums}))
+            if out:
+                yield pd.concat(out, ignore_index=True)
+
+    return sums_of
+
+
+def _moments_of():
+    def moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Moments of one block's points for each node above it, around the node's centre in units of its radius."""
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                x, w, wy = (np.asarray(v, float) for v in (row.sx, row.sw, row.sy))
+                for node in row.path:
+                    v = ((x - node["centre"]) / node["radius"])[None, :] ** np.arange(_ORDERS)[:, None]
+                    out.append([node["level"], node["idx"], *(v @ w), *(v @ wy)])
+            if out:
+                yield pd.DataFrame(out, columns=["level", "idx", *_moment_names()])
+
+    return moments
+
+
+def _moment_names() -> list[str]:
+    return [f"{kind}{i}" for kind in ("m", "y") for i in range(_ORDERS)]
+
+
+def _parts_of():
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The fewest nodes (level, idx) of a binary tree over the blocks that make up ``low`` to ``high``."""
+        for batch in batches:
+            out = []
+            for row in batch.itertuples(index=False):
+                low, end, level = int(row.low), int(row.high) + 1, 0
+                while low < end:
+                    if low & 1:
+                        out.append((row.target, level, low))
+                        low += 1
+                    if end & 1:
+                        end -= 1
+                        out.append((row.target, level, end))
+                    low, end, level = low >> 1, end >> 1, level + 1
+            yield pd.DataFrame(out, columns=["target", "level", "idx"]).astype("int64")
+
+    return parts
+
+
 def _reach(grid: DataFrame, rows: int, k: int, limit: int, size: int) -> DataFrame:
     """Per distinct x: distance ``h`` of its k-th nearest row and the blocks of those k rows.
 
@@ -169,13 +249,28 @@ def _reach(grid: DataFrame, rows: int, k: int, limit: int, size: int) -> DataFra
     )
 
 
+def _tree(grid: DataFrame, blocks: int) -> DataFrame:
+    """Per block the nodes above it: ``block, path`` of (level, idx, centre, radius). A node of level l holds 2^l blocks."""
+    levels = max(1, (blocks - 1).bit_length())
+    shape = grid.groupBy("block").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    above = shape.select("block", "low", "high", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    above = above.withColumn("idx", F.expr("shiftright(block, level)"))
+    nodes = above.groupBy("level", "idx").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    radius = (F.col("high") - F.col("low")) / 2
+    nodes = nodes.select(
+        "level", "idx", ((F.col("low") + F.col("high")) / 2).alias("centre"), F.when(radius > 0, radius).otherwise(1.0).alias("radius")
+    )
+    path = F.collect_list(F.struct("level", "idx", "centre", "radius")).alias("path")
+    return above.select("block", "level", "idx").join(nodes, ["level", "idx"]).groupBy("block").agg(path)
+
+
 def lowess(
     points: DataFrame,
     x: str,
     y: str,
     frac: float = 0.2,
     passes: int = 3,
-    block: int = 1024,
+    block: int = 256,
     limit: int = GROUP_LIMIT,
 ) -> DataFrame:
     """Locally weighted linear fit of ``y`` at every distinct ``x``: columns x, ``rows``, ``fit``.
@@ -184,10 +279,13 @@ def lowess(
     the first re-weights rows by their residual (bisquare, six median absolute residuals). Where the
     k nearest rows share one x the fit is their weighted mean.
 
-    Rows merge per distinct x, and per distinct (x, y) for the passes. Distinct x form blocks of fixed size; a block of targets
-    meets only the blocks its neighbourhoods reach, by an equi-join on the block number, and numpy
-    sums inside one pair of blocks. So no task holds more than two blocks, and no pair of rows is
-    ever a row of its own.
+    Rows merge per distinct x, and per distinct (x, y) for the passes. Distinct x form blocks of fixed
+    size. Between the blocks where the reach of a block's targets begins and ends and the block itself,
+    every source lies wholly inside the reach and on one side of all targets; there the weight is one
+    polynomial, so that the sums follow from the moments of the sources. Moments are kept per node of a
+    binary tree over the blocks, each around its own centre, and a block of targets asks for a
+    logarithmic number of nodes. Only the blocks at the borders and the block itself are summed point by
+    point: borders move one way along x, so there are a few blocks per block of targets over the table.
     """
     valued = points.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     cells = valued.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"), F.lit(1).alias("n"))
@@ -202,27 +300,55 @@ def lowess(
     k = min(max(int(frac * rows + 1e-10), 1), max(rows, 1))
 
     reach = _reach(grid, rows, k, limit, size)
-    targets = reach.groupBy("block").agg(
+    per_block = reach.groupBy("block").agg(
         F.sort_array(F.collect_list(F.struct("j", "x", "h"))).alias("t"),
-        F.min("from_block").alias("_from"),
-        F.max("to_block").alias("_to"),
+        *[fn(c).alias(f"{name}_{c}") for c in ("from_block", "to_block") for name, fn in (("min", F.min), ("max", F.max))],
     )
-    targets = targets.select(
-        F.col("t.j").alias("tj"),
-        F.col("t.x").alias("tx"),
-        F.col("t.h").alias("th"),
-        F.explode(F.sequence("_from", "_to")).alias("block"),
+    per_block = keep(
+        per_block.select(
+            "block", F.col("t.j").alias("tj"), F.col("t.x").alias("tx"), F.col("t.h").alias("th"), *per_block.columns[2:]
+        ),
+        "lowess-targets",
     )
-    targets = keep(targets, "lowess-targets")
+    own = F.col("block")
+    borders = F.array_union(
+        F.sequence("min_from_block", F.least("max_from_block", own)), F.sequence(F.greatest("min_to_block", own), "max_to_block")
+    )
+    edges = per_block.select("tj", "tx", "th", F.explode(F.array_union(borders, F.array(own))).alias("block"))
+    blocks = -(-size // block)
+    asked = tree = None
+    if blocks > 2:  # else all blocks are borders
+        between = F.array(
+            F.struct((F.col("max_from_block") + 1).alias("low"), (own - 1).alias("high")),
+            F.struct((own + 1).alias("low"), (F.col("min_to_block") - 1).alias("high")),
+        )
+        ranges = per_block.select(own.alias("target"), F.explode(between).alias("r")).select("target", "r.*").filter("low <= high")
+        asked = keep(ranges.mapInPandas(_parts_of(), "target long, level long, idx long"), "lowess-asked")
+        tree = keep(_tree(grid, blocks), "lowess-tree")
 
     def fit_with(weights: DataFrame) -> DataFrame:
         """``weights``: block, x, w and wy per distinct x."""
         sources = weights.groupBy("block").agg(F.collect_list(F.struct("x", "w", "wy")).alias("s"))
-        met = targets.join(sources, "block").select(
-            "tj", "tx", "th", F.col("s.x").alias("sx"), F.col("s.w").alias("sw"), F.col("s.wy").alias("sy")
-        )
+        sources = sources.select("block", F.col("s.x").alias("sx"), F.col("s.w").alias("sw"), F.col("s.wy").alias("sy"))
         schema = "j long, " + ", ".join(f"{c} double" for c in _SUMS)
-        sums = met.mapInPandas(_block_sums(), schema).groupBy("j").agg(*[F.sum(c).alias(c) for c in _SUMS])
+        if asked is not None:
+            sources = keep(sources, "lowess-sources")
+        met = edges.join(sources, "block").select("tj", "tx", "th", "sx", "sw", "sy")
+        sums = met.mapInPandas(_edge_sums(), schema)
+        if asked is not None:
+            names = _moment_names()
+            found = sources.join(tree, "block").select("sx", "sw", "sy", "path")
+            nodes = found.mapInPandas(_moments_of(), "level long, idx long, " + ", ".join(f"{c} double" for c in names))
+            nodes = nodes.groupBy("level", "idx").agg(*[F.sum(c).alias(c) for c in names])
+            shape = tree.select(F.explode("path").alias("p")).select("p.*").distinct()
+            node = F.struct(
+                "centre", "radius", F.array(*names[:_ORDERS]).alias("m"), F.array(*names[_ORDERS:]).alias("my")
+            )
+            lists = asked.join(nodes.join(shape, ["level", "idx"]), ["level", "idx"]).groupBy("target").agg(F.collect_list(node).alias("n"))
+            whole = lists.join(per_block.select(own.alias("target"), "tj", "tx", "th"), "target")
+            whole = whole.select("tj", "tx", "th", *[F.col(f"n.{c}").alias(c) for c in ("centre", "radius", "m", "my")])
+            sums = sums.unionByName(whole.mapInPandas(_node_sums(), schema))
+        sums = sums.groupBy("j").agg(*[F.sum(c).alias(c) for c in _SUMS])
         mean_u, mean_y = F.try_divide("s1", "s0"), F.try_divide("t0", "s0")
         var = F.try_divide("s2", "s0") - mean_u * mean_u
         cov = F.try_divide("t1", "s0") - mean_u * mean_y

@@ -1,6 +1,7 @@
 """Trends against plain numpy."""
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +61,55 @@ def test_lowess_with_a_third_of_rows_at_one_x(spark):
         assert r["fit"] == pytest.approx(want[int(r["x"])], abs=1e-8)
 
 
+def fit_at(x, y, target, frac):
+    """One point of the first pass, x distinct and in order."""
+    k = int(frac * len(x) + 1e-10)
+    d = np.abs(x - x[target])
+    h = np.partition(d, k - 1)[k - 1]
+    w = np.clip(1 - (d / h) ** 3, 0, None) ** 3
+    mx, my = np.average(x, weights=w), np.average(y, weights=w)
+    slope = np.average((x - mx) * (y - my), weights=w) / np.average((x - mx) ** 2, weights=w)
+    return my + slope * (x[target] - mx)
+
+
+@pytest.mark.parametrize("spread", ["even", "crowded", "gap"])
+def test_lowess_over_many_blocks(spark, spread):
+    rng = np.random.default_rng(5)
+    x = np.unique(rng.random(20_000) * 1000)
+    if spread == "crowded":
+        x = np.unique(np.exp(x / 80))
+    if spread == "gap":
+        x[len(x) // 3 :] += 1e6
+    y = np.sin(x / x[-1] * 9) * 5 + rng.normal(0, 1, len(x))
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": y}))
+    fit = {r["x"]: r["fit"] for r in trend.lowess(df, "x", "y", frac=0.1, passes=0, block=64).collect()}
+    assert len(fit) == len(x)
+    for i in [0, 1, 63, 64, *rng.integers(0, len(x), 150).tolist(), len(x) - 1]:
+        assert fit[x[i]] == pytest.approx(fit_at(x, y, i, 0.1), rel=1e-9, abs=1e-9)
+
+
+def test_lowess_sends_rows_in_proportion(spark, monkeypatch):
+    """Twice the points give a little more than twice the requests for nodes, and twice those for blocks."""
+    sizes = {}
+    real = trend.keep
+    for n in (4000, 8000):
+
+        def spy(df, tag, n=n):
+            kept = real(df, tag)
+            if tag == "lowess-asked":
+                sizes[n] = kept.count()
+            if tag == "lowess-targets":
+                borders = kept.selectExpr("sum(max_from_block - min_from_block + max_to_block - min_to_block + 3) as n")
+                sizes[n, "borders"] = borders.first()["n"]
+            return kept
+
+        monkeypatch.setattr(trend, "keep", spy)
+        df = spark.range(n).selectExpr("cast(id as double) as x", "cast(id % 7 as double) as y")
+        trend.lowess(df, "x", "y", passes=0, block=32).count()
+    assert sizes[8000] < 3 * sizes[4000]
+    assert sizes[8000, "borders"] < 2.2 * sizes[4000, "borders"]
+
+
 def test_fence(spark):
     df = spark.createDataFrame([(1.0,), (1.0,), (1.0,), (1.0,), (100.0,)], "s double")
     assert [r["s"] for r in trend.inside_fence(df, "s").collect()] == [1.0] * 4
