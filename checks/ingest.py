@@ -17,7 +17,7 @@ from runlens.operators import compare
 from runlens.session import fresh_path
 from runlens.sources import console, lines, report, results, runlog, stats
 from runlens.streaming import ingest as stream_ingest
-from runlens.streaming import progress
+from runlens.streaming import progress, tail, timeouts
 
 QUERIES, SQL, query = registry()
 
@@ -197,11 +197,7 @@ def result_tree(spark, sf):
     rows = result_table(spark, sf)
     rows = rows.filter(F.col("l_suppkey") % 10 < 7)
     root = fresh_path(spark, "tree")
-    results.write_tree(rows, ORDER, planned.filter("kind < 8"), root)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    for row in planned.filter("kind = 8").collect():  # empty files have no writer in Spark
-        path = hadoop.Path(f"{root}/{row['module'].replace('.', '/')}.result")
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path).close()
+    results.write_tree(rows, ORDER, planned.filter("kind < 8"), root, empty=planned.filter("kind = 8"))
     return root, planned
 
 
@@ -228,6 +224,22 @@ def not_returning(spark, sf):
     return results.not_returning(spark, root, planned)
 
 
+@query(
+    "gathered_tree",
+    f"""SELECT 'a.b\\' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS unit, CAST(l_quantity AS BIGINT) AS first_ms
+    FROM lineitem WHERE l_suppkey % 10 < 7
+    UNION ALL SELECT 'Lib.S' || s_suppkey, NULL FROM supplier WHERE s_suppkey % 10 = 8""",
+)
+def gathered_tree(spark, sf):
+    root, planned = result_tree(spark, sf)
+    path = fresh_path(spark, "end")
+    results.gather_tree(spark, root, planned, path)
+    rows = results.read_strict(spark, f"{path}/gathered", glob="*.txt")
+    found = rows.select(keys.readable_key(F.col("key")).alias("unit"), F.col("results")[0]["ms"].alias("first_ms"))
+    silent = spark.read.text(f"{path}/not_returning")
+    return found.unionByName(silent.select(F.col("value").alias("unit"), F.lit(None).cast("bigint").alias("first_ms")))
+
+
 @query(
     "gathered_round_trip",
     f"""SELECT 'a.b\\' || l_orderkey || '.' || l_linenumber || '.' || l_partkey AS unit,
@@ -350,6 +362,69 @@ def stream_progress(spark, sf):
     return progress.current(spark, out)
 
 
+APPENDED = """log AS (SELECT 'U' || user_id AS module, event_type = 'purchase' AS ended,
+    CASE WHEN event_type = 'purchase' THEN CAST(event_id % 3 AS INTEGER) END AS code, ts
+  FROM events WHERE event_type IN ('signup', 'purchase'))"""
+
+
+def timed_log(spark, sf):
+    """Sign-ups start and purchases end the work of a user, with their time."""
+    events = t.table(spark, sf, "events").filter(F.col("event_type").isin("signup", "purchase"))
+    return events.select(
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("module"),
+        F.when(F.col("event_type") == "signup", "start").otherwise("end").alias("kind"),
+        F.when(F.col("event_type") == "purchase", F.col("event_id") % 3).cast("int").alias("code"),
+        F.col("ts").cast("timestamp").alias("at"),
+    )
+
+
+@query(
+    "stream_appended_progress",
+    f"""WITH {APPENDED} SELECT module, bool_or(NOT ended) AS started, bool_or(ended) AS ended, max(code) AS code,
+    NOT bool_or(ended) AS running FROM log GROUP BY module""",
+)
+def stream_appended_progress(spark, sf):
+    """Starts are taken in first, then the ends that came since."""
+    log, out = fresh_path(spark, "log"), fresh_path(spark, "progress")
+    rows = timed_log(spark, sf).select("module", "kind", "code")
+    for kind in ("start", "end"):
+        runlog.append_log(rows.filter(F.col("kind") == kind), log)
+        progress.track(spark, log, out)
+    return progress.current(spark, out)
+
+
+LIMIT = 40 * 24 * 3600
+
+
+@query(
+    "stream_time_limits",
+    f"""WITH {APPENDED}, l AS (SELECT module, ended, code, epoch_us(ts) // 1000 AS ms FROM log),
+    m AS (SELECT module, min(ms) FILTER (NOT ended) AS started, min(ms) FILTER (ended) AS ended,
+      arg_min(code, (ms, code)) FILTER (ended) AS code FROM l GROUP BY module),
+    clock AS (SELECT max(epoch_us(ts) // 1000) AS now FROM events)
+    SELECT module, CASE WHEN ended IS NOT NULL AND (started IS NULL OR ended <= started + {LIMIT * 1000}) THEN 'ended'
+      WHEN started + {LIMIT * 1000} <= now THEN 'timed out' ELSE 'running' END AS state, started, ended, code FROM m, clock""",
+)
+def stream_time_limits(spark, sf):
+    """The log comes in three parts in the order of time; the last event of any kind is the clock."""
+    log, out = fresh_path(spark, "timed"), fresh_path(spark, "limits")
+    rows = timed_log(spark, sf)
+    clock = t.table(spark, sf, "events").agg(F.max("ts").cast("timestamp").alias("at"), F.min("ts").cast("timestamp").alias("low"))
+    bounds = clock.select("low", "at").first()
+    third = (bounds["at"] - bounds["low"]) / 3
+    tick = clock.select(F.lit(None).cast("string").alias("module"), F.lit("clock").alias("kind"), F.lit(None).cast("int").alias("code"), "at")
+    for i in range(3):
+        part = rows.filter((F.col("at") >= bounds["low"] + i * third) & ((F.col("at") < bounds["low"] + (i + 1) * third) | F.lit(i == 2)))
+        if i == 2:
+            part = part.unionByName(tick)
+        part.select(F.to_json(F.struct("module", "kind", "code", F.unix_micros("at").alias("us"))).alias("value")).write.mode("append").text(log)
+        fields = F.from_json("value", "module string, kind string, code int, us long").alias("r")
+        stream = tail.tail(spark, log).select(fields).select("r.module", "r.kind", "r.code", F.timestamp_micros("r.us").alias("at"))
+        timeouts.track_limits(stream, out, LIMIT)
+    found = timeouts.current_limits(spark, out)
+    return found.select("module", "state", F.unix_millis("started").alias("started"), F.unix_millis("ended").alias("ended"), "code")
+
+
 SMALL_STATS = "declaration string, total bigint, goalSolved boolean, props struct<k:int>"
 
 

@@ -11,6 +11,7 @@ from runlens.functions.keys import escape_key, module_of_folder, module_of_path,
 from runlens.operators.ordered import scan_groups, with_index
 from runlens.schemas import STATUS, is_success
 from runlens.session import fresh_path, keep
+from runlens.sources.files import list_files, write_named
 from runlens.sources.lines import PLACE, read_lines
 
 # Line pattern of the lenient reader, header lines of a result file.
@@ -18,8 +19,8 @@ LENIENT_LINE = r"^(\d+)\s+#\[(.*?)\]\s+(.+)"
 STRICT_LINE = r"^\S* #\[([^\]]*)\] (.*)$"
 STRICT_ITEM = r"^([" + "".join(STATUS) + r"]) ([0-9]+) ([0-9]+)$"
 SUMMARY = "Summary:"
-# First line of files whose time nobody measured; no reader looks at it.
-NO_TIME = "Time: unknown"
+NO_TIME = "Total elapsed time: Not applicable"
+ELAPSED = "Total elapsed time : {} ms"
 
 
 def parse_lenient(lines: DataFrame, variants: Sequence[str], decode_keys: bool = False) -> DataFrame:
@@ -167,24 +168,13 @@ def not_returning(spark: SparkSession, root: str, planned: DataFrame, suffix: st
 
     A file with a header and no result line has returned.
     """
-    files = _listed(spark, root, suffix).select(module_of_path(F.col("path"), root, suffix).alias("module"), "length")
+    files = list_files(spark, root, suffix).select(module_of_path(F.col("path"), root, suffix).alias("module"), "length")
     sizes = files.groupBy("module").agg(F.max("length").alias("_length"))
     state = F.when(F.col("_length").isNull(), "no_file").when(F.col("_length") == 0, "empty")
     found = planned.select("module").distinct().join(sizes, "module", "left")
     return found.select("module", state.alias("state")).filter(F.col("state").isNotNull())
 
 
-def _listed(spark: SparkSession, root: str, suffix: str) -> DataFrame:
-    """``path, length`` of all files below ``root``, empty ones too, which Spark's own sources leave out."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(root)
-    found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(folder, True)
-    rows = []
-    while found.hasNext():
-        file = found.next()
-        rows.append((file.getPath().toString(), file.getLen()))
-    return spark.createDataFrame([r for r in rows if r[0].endswith(suffix)], "path string, length bigint")
-
-
 def write_not_returning(modules: DataFrame, path: str) -> None:
     """The list of modules that wrote nothing: one name per line, in order."""
     modules.filter(F.col("state") == "empty").orderBy("module").select(F.col("module").alias("value")).write.text(path)
@@ -225,25 +215,23 @@ def write_gathered(lines: DataFrame, path: str, first: str = NO_TIME) -> None:
     both.select("part", "value").write.partitionBy("part").text(path)
 
 
-def write_modules(results: DataFrame, order: Sequence[str], path: str, elapsed_ms: int = 0, chunk: int = 1_000_000) -> None:
-    """Write result files per module, numbered inside the module, each file with its header.
-
-    Modules above ``chunk`` lines take several files, so no task writes more than that; ``read_written`` reads
-    them all as one module.
-    """
+def _module_lines(results: DataFrame, order: Sequence[str], elapsed_ms: int, planned: DataFrame | None = None) -> DataFrame:
+    """``module, seq, value``: the header of each module (of ``results`` and ``planned``) and its numbered result lines."""
     ones = results.withColumn("_one", F.lit(1).cast("long"))
     numbered = scan_groups(ones, ["module"], order, running={"_n": ("sum", "_one")})
     idx = F.col("_n") - 1
-    body = numbered.select(
-        "module",
-        F.floor(idx / chunk).alias("chunk"),
-        idx.alias("idx"),
-        result_text(F.col("key"), F.col("results"), idx).alias("value"),
-    )
-    heads = body.select("module", "chunk").distinct().select("module", "chunk", F.explode(_header_rows(f"Time: {elapsed_ms} ms")).alias("_h"))
-    lines = body.unionByName(heads.select("module", "chunk", "_h.*"))
-    lines = lines.repartition("module", "chunk").sortWithinPartitions("module", "chunk", "idx")
-    lines.select("module", "chunk", "value").write.partitionBy("module", "chunk").text(path)
+    body = numbered.select("module", idx.alias("seq"), result_text(F.col("key"), F.col("results"), idx).alias("value"))
+    modules = results.select("module")
+    if planned is not None:
+        modules = modules.unionByName(planned.select("module"))
+    heads = modules.distinct().select("module", F.explode(_header_rows(ELAPSED.format(elapsed_ms))).alias("_h"))
+    return body.unionByName(heads.select("module", F.col("_h.idx").alias("seq"), "_h.value"))
+
+
+def write_modules(results: DataFrame, order: Sequence[str], path: str, elapsed_ms: int = 0) -> None:
+    """Write one result file per module, numbered inside the module, below a folder ``module=…``; ``read_written`` reads them."""
+    file = F.concat(F.lit("module="), F.url_encode("module"), F.lit("/results.txt"))
+    write_named(_module_lines(results, order, elapsed_ms).select(file.alias("file"), "seq", "value"), path)
 
 
 def written_modules(results: DataFrame, order: Sequence[str]) -> str:
@@ -254,28 +242,31 @@ def written_modules(results: DataFrame, order: Sequence[str]) -> str:
 
 
 def write_tree(
-    results: DataFrame, order: Sequence[str], planned: DataFrame, root: str, suffix: str = ".result", elapsed_ms: int = 0
+    results: DataFrame,
+    order: Sequence[str],
+    planned: DataFrame,
+    root: str,
+    suffix: str = ".result",
+    elapsed_ms: int = 0,
+    empty: DataFrame | None = None,
 ) -> None:
     """One file ``<root>/<module path><suffix>`` per module of ``planned``; those without results get the header alone.
 
-    Spark writes a folder per module; the driver then gives each file its name.
+    The modules of ``empty`` get files without content, as runs leave that died. Tasks write the files under their names.
     """
-    spark = results.sparkSession
-    staged = fresh_path(spark, "tree")
-    write_modules(results, order, staged, elapsed_ms, chunk=2**62)
-    silent = planned.select("module").distinct().join(results.select("module").distinct(), "module", "left_anti")
-    header = F.explode(F.transform(_header_rows(f"Time: {elapsed_ms} ms"), lambda h: h["value"])).alias("value")
-    silent.repartition("module").select("module", F.lit(0).alias("chunk"), header).write.mode("append").partitionBy(
-        "module", "chunk"
-    ).text(staged)
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    files = _listed(spark, staged, ".txt").select("path", module_of_folder(F.col("path")).alias("module"))
-    for row in files.toLocalIterator():
-        target = hadoop.Path(f"{root}/{row['module'].replace('.', '/')}{suffix}")
-        system = target.getFileSystem(spark._jsc.hadoopConfiguration())
-        system.mkdirs(target.getParent())
-        if not system.rename(hadoop.Path(row["path"]), target):
-            raise OSError(f"cannot write {target}")
+    lines = _module_lines(results, order, elapsed_ms, planned)
+    if empty is not None:
+        lines = lines.unionByName(empty.select("module", F.lit(0).cast("long").alias("seq"), F.lit(None).cast("string").alias("value")))
+    file = F.concat(F.replace(F.col("module"), F.lit("."), F.lit("/")), F.lit(suffix))
+    write_named(lines.select(file.alias("file"), "seq", "value"), root)
+
+
+def gather_tree(spark: SparkSession, root: str, planned: DataFrame, path: str, suffix: str = ".result") -> None:
+    """The end of a run in one call: all results below ``root`` under ``<path>/gathered``, in the order of modules and
+    lines, and the planned modules whose file is empty under ``<path>/not_returning``."""
+    rows = read_tree(spark, root, suffix)
+    write_gathered(gather_lines(rows, ["module", "block", "seq"]), f"{path}/gathered")
+    write_not_returning(not_returning(spark, root, planned, suffix), f"{path}/not_returning")
 
 
 def read_written(spark: SparkSession, path: str) -> DataFrame:

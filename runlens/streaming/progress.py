@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.session import keep
 from runlens.sources.runlog import parse_log
+from runlens.streaming.tail import tail
 
 
 def progress(log: DataFrame) -> DataFrame:
@@ -24,22 +21,13 @@ def progress(log: DataFrame) -> DataFrame:
     )
 
 
-def _sizes(spark: SparkSession, log_path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(log_path).select("path", "length")
-
-
 def track(spark: SparkSession, log_path: str, out_path: str, checkpoint: str | None = None) -> None:
-    """Take in all new log files, and those that grew, and append the changed modules to the table at ``out_path``.
+    """Take in the lines appended to the log files since the last call and add the changed modules to the table at ``out_path``.
 
-    A file stream takes each file once; files with more bytes than at the last call are read again as a whole, which
-    changes nothing for lines that were there, as ``current`` merges states. What was taken in is noted beside the
+    Files may grow and new ones may come; what was read before is not read again. What was taken in is noted beside the
     table unless ``checkpoint`` names another place.
     """
-    checkpoint = checkpoint or f"{out_path}/_state"
-    sizes_path = f"{checkpoint}/sizes"
-    # Sizes are taken before the reading: a line that comes meanwhile is read again next time.
-    now = keep(_sizes(spark, log_path), "sizes")
-    states = progress(parse_log(spark.readStream.text(log_path)))
+    states = progress(parse_log(tail(spark, log_path)))
 
     def save(batch: DataFrame, number: int) -> None:
         # A batch that runs again writes the same folder again, so no row is doubled.
@@ -47,22 +35,12 @@ def track(spark: SparkSession, log_path: str, out_path: str, checkpoint: str | N
 
     run = (
         states.writeStream.outputMode("update")
-        .option("checkpointLocation", f"{checkpoint}/stream")
+        .option("checkpointLocation", checkpoint or f"{out_path}/_state")
         .trigger(availableNow=True)
         .foreachBatch(save)
         .start()
     )
     run.awaitTermination()
-    try:
-        known = spark.read.schema("path string, length bigint").parquet(sizes_path)
-    except AnalysisException:  # the first call: no sizes yet
-        known = None
-    if known is not None:
-        before = known.groupBy("path").agg(F.max("length").alias("before"))
-        grown = [r["path"] for r in now.join(before, "path").filter("length > before").select("path").collect()]
-        if grown:
-            progress(parse_log(spark.read.text(grown))).write.parquet(f"{out_path}/batch={-1 - uuid.uuid4().int % 2**62}")
-    now.write.mode("append").parquet(sizes_path)
 
 
 def current(spark: SparkSession, out_path: str) -> DataFrame:

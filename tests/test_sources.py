@@ -67,9 +67,10 @@ def test_write_and_read_back(spark, tmp_path):
     write(tmp_path / "in" / "A.result", "t\n\nSummary:\n\n" + "".join(f"{i} #[S {i} 1, E 2 3] u{i}.\\{i}.\n" for i in range(25)))
     rows = results.read_strict(spark, str(tmp_path / "in")).withColumn("module", F.lit("A"))
     rows = rows.withColumn("n", F.col("results")[0]["ms"])
-    results.write_modules(rows, ["n"], str(tmp_path / "out"), chunk=10)
+    results.write_modules(rows, ["n"], str(tmp_path / "out"), elapsed_ms=7)
+    assert (tmp_path / "out" / "module=A" / "results.txt").read_text().startswith("Total elapsed time : 7 ms\n\nSummary:\n\n0 #[S 0 1")
     back = results.read_written(spark, str(tmp_path / "out"))
-    assert len({r["path"] for r in back.collect()}) == 3 and {r["module"] for r in back.collect()} == {"A"}
+    assert len({r["path"] for r in back.collect()}) == 1 and {r["module"] for r in back.collect()} == {"A"}
     pick = lambda df: sorted((str(r["key"]), str(r["results"])) for r in df.collect())
     assert pick(back) == pick(rows)
 
