@@ -28,60 +28,60 @@ MOST_PARTS = 4
 
 # Words that go to the library together.
 ROW = 2048
-# A chunk's last letter or digit and the punctuation after it, which the tokenizer makes a word of its own.
-TAIL = re.compile(rb"(.*[a-z0-9])([.,!?;:]+)\Z", re.S)
+# Punctuation (no apostrophe) between a letter or digit and the end of a chunk, which the tokenizer makes a word of its own.
+TAIL = re.compile(r"(?<=[^\W_])[!-&(-/:-@\[-`{-~]+(?=\s|\Z)")
+# Words in each of the two generations that a task remembers, for each remembered chunk of other operators.
+WORDS = 2
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer encodes on their own, whatever their case and the punctuation after them.
+
+    It lower-cases too, but not before it looks for special tokens.
+    """
+    if b"<|" in text:
+        return [w for c in text.split() for w in ([c] if b"<|" in c else words_of(c))]
+    return TAIL.sub(r" \g<0>", text.lower().decode()).encode().split()
 
 
 class LibraryEncoder:
-    """Chunks to ids by the tokenizers library, which gets each word once whatever its case and the punctuation after it."""
+    """Ids of new words by the tokenizers library."""
 
-    def __init__(self, path: str, remembered: int = REMEMBERED):
-        self.remembered = remembered
+    def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words: dict[bytes, bytes] = {}
         vocab = self.tokenizer.get_vocab(with_added_tokens=False)
         self.last = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
         self.last[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
 
-    def __call__(self, chunks: list[bytes]) -> list[bytes]:
-        split = []
-        for chunk in chunks:
-            # The tokenizer lower-cases too, but not before it looks for special tokens.
-            low = chunk if b"<|" in chunk else chunk.lower()
-            parts = TAIL.match(low)
-            split.append(parts.groups() if parts else (low,))
-        if len(self.words) > self.remembered:
-            self.words.clear()
-        new = list({w for words in split for w in words if w not in self.words})
-        texts = [w.decode() for w in new]
+    def __call__(self, words: list[bytes]) -> list[bytes]:
+        texts = [w.decode() for w in words]
+        out: list[bytes] = [b""] * len(words)
         plain = [i for i, t in enumerate(texts) if t.isalpha()]
-        for at in range(0, len(plain), ROW):
-            own = plain[at : at + ROW]
-            if not self._row([new[i] for i in own], " ".join([texts[i] for i in own])):
-                self._each([new[i] for i in own])
-        self._each([w for w, t in zip(new, texts) if not t.isalpha()])
-        return [b"".join([self.words[w] for w in words]) for words in split]
-
-    def _row(self, words: list[bytes], text: str) -> bool:
-        """Many words in one text: a word of letters has one last id, whose token carries the word end."""
-        ids = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-        ends = np.flatnonzero(self.last[ids]) + 1
-        if len(ends) != len(words):
-            return False
-        flat, cuts = ids.astype("<u4").tobytes(), (4 * ends).tolist()
-        self.words.update(zip(words, [flat[a:b] for a, b in zip([0, *cuts], cuts)]))
-        return True
-
-    def _each(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), ROW):
-            own = words[at : at + ROW]
-            encoded = self.tokenizer.encode_batch_fast([w.decode() for w in own], add_special_tokens=False)
-            self.words.update(zip(own, [np.array(e.ids, "<u4").tobytes() for e in encoded]))
+        alone = [i for i, t in enumerate(texts) if not t.isalpha()]
+        rows = [plain[at : at + ROW] for at in range(0, len(plain), ROW)]
+        for own, found in zip(rows, self._encode([" ".join([texts[i] for i in row]) for row in rows])):
+            # Many words in one text: a word of letters has one last id, whose token carries the word end.
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(own):
+                alone += own
+                continue
+            flat, cuts = ids.tobytes(), (4 * ends).tolist()
+            for i, a, b in zip(own, [0, *cuts], cuts):
+                out[i] = flat[a:b]
+        for at in range(0, len(alone), ROW):
+            some = alone[at : at + ROW]
+            for i, found in zip(some, self._encode([texts[i] for i in some])):
+                out[i] = np.array(found.ids, "<u4").tobytes()
+        return out
+
+    def _encode(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
@@ -90,10 +90,11 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, remembered: int
     last = np.array([END_ID], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(LibraryEncoder(path, remembered), remembered)
+        chunks = Chunks(LibraryEncoder(path), WORDS * remembered)
         for batch in batches:
             for part in slices(batch, most=2 << 20):
-                texts = [(t.as_buffer().to_pybytes() if t.is_valid else b"").split() for t in part.column("text").cast(pa.large_string())]
+                column = part.column("text").cast(pa.large_string())
+                texts = [words_of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in column]
                 chunks.learn(texts)
                 row, number, start, length, crc = [], [], [], [], []
                 for i, words in enumerate(texts):
