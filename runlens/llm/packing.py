@@ -29,7 +29,8 @@ MOST_PARTS = 4
 # Words that go to the library together.
 ROW = 2048
 # Punctuation (no apostrophe) between a letter or digit and the end of a chunk, which the tokenizer makes a word of its own.
-TAIL = re.compile(r"(?<=[^\W_])[!-&(-/:-@\[-`{-~]+(?=\s|\Z)")
+# Letters whose small form ends in a mark (as of U+0130) and rarer scripts stay with their punctuation.
+TAIL = re.compile(r"(?<=[a-z0-9À-ÖØ-öø-įı-ſА-Яа-я])[!-&(-/:-@\[-`{-~]+(?=\s|\Z)")
 # Words in each of the two generations that a task remembers, for each remembered chunk of other operators.
 WORDS = 2
 

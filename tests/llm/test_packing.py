@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -6,6 +7,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from runlens.llm import bpe, packing
+from runlens.llm.bpe import default_path
 from runlens.llm.blocks import table
 
 
@@ -92,3 +94,17 @@ def test_nonnegative_fit_matches_projected_descent():
         y = np.maximum(y - step * (a.T @ (a @ y - b)), 0)
     assert (x >= 0).all()
     assert np.linalg.norm(a @ x - b) <= np.linalg.norm(a @ y - b) + 1e-4
+
+
+def test_words_give_the_library_s_ids_of_whole_texts():
+    library = Tokenizer.from_file(default_path())
+    encoder = packing.LibraryEncoder(default_path())
+    pick = random.Random(8)
+    parts = [
+        "a", "Zz", "9", "é", "é", "ß", "İ", "日", "'s", "'", "’", "_", ".", ",!", "%%%", "<", "|", ">", "<|endoftext|>", "<|startoftext|>",
+        " ", "  ", "\n", "\t", "\x0b", "\xa0", " ", "\x85", "…", "٣", "½", "Ⅷ", "_,", "(", ")", "\x1c", "≠", "ﬁ", "🙂", "‍",
+    ]
+    for _ in range(4000):
+        text = "".join(pick.choice(parts) for _ in range(pick.randrange(1, 14)))
+        own = b"".join(encoder(packing.words_of(text.encode())))
+        assert np.frombuffer(own, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
