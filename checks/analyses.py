@@ -125,6 +125,25 @@ def sanity_report(spark, sf):
     return rounded_values(rows.filter(~F.col("section").startswith("mean_difference")))
 
 
+def thousandths(sql):
+    return f"SELECT section, key, metric, round(value, 3) AS value FROM ({sql})"
+
+
+@query(
+    "sanity_report_whole",
+    thousandths(
+        SQL["sanity_report"]
+        + "".join(
+            " UNION ALL "
+            + tidy_sql(f"mean_difference/{section}", COMPARING_SQL[name], ["avg_results", "avg_stats", "abs_diff", "rel_diff"], "variant")
+            for section, name in (("all", "mean_difference"), ("ok", "mean_difference_ok"))
+        )
+    ),
+)
+def sanity_report_whole(spark, sf):
+    return reports.sanity_report(sources(spark, sf)).withColumn("value", F.round("value", 3))
+
+
 @query(
     "report_lines",
     """SELECT 'size/results: all: total_rows: ' || printf('%.2f', CAST(count(*) AS DOUBLE)) AS value FROM lineitem

@@ -15,7 +15,7 @@ from runlens import schemas
 from runlens.functions import keys
 from runlens.operators import compare
 from runlens.session import fresh_path
-from runlens.sources import console, lines, report, results, runlog, stats
+from runlens.sources import console, files, lines, report, results, runlog, stats
 from runlens.streaming import ingest as stream_ingest
 from runlens.streaming import progress, tail, timeouts
 
@@ -180,6 +180,28 @@ def status_classes(spark, sf):
     return schemas.decode_status(rows)
 
 
+# Kinds of parts stand for the seven codes and one unknown.
+CODES = list(schemas.STATUS)
+CODE_SQL = "CASE l_partkey % 8 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(CODES)) + " ELSE '?' END"
+CLASS_SQL = "CASE l_partkey % 8 " + " ".join(f"WHEN {i} THEN '{schemas.STATUS[c]}'" for i, c in enumerate(CODES)) + " END"
+
+
+def coded(spark, sf):
+    codes = F.array(*[F.lit(c) for c in [*CODES, "?"]])
+    return t.table(spark, sf, "lineitem").select(F.get(codes, (F.col("l_partkey") % 8).cast("int")).alias("status"))
+
+
+@query(
+    "status_all_codes",
+    f"""SELECT status, status_class, CASE WHEN status_class IS NULL THEN NULL ELSE status END AS back, status = 'S' AS ok, count(*) AS n
+    FROM (SELECT {CODE_SQL} AS status, {CLASS_SQL} AS status_class FROM lineitem) GROUP BY ALL""",
+)
+def status_all_codes(spark, sf):
+    known = schemas.decode_status(coded(spark, sf))
+    both = schemas.encode_status(known, into="back").withColumn("ok", schemas.is_success(F.col("status")))
+    return both.groupBy("status", "status_class", "back", "ok").agg(F.count("*").alias("n"))
+
+
 @query(
     "status_success",
     "SELECT l_returnflag, l_linestatus, l_returnflag = 'S' AS ok, count(*) AS n FROM lineitem GROUP BY ALL",
@@ -471,6 +493,18 @@ def json_totals(spark, sf):
     return stats.load_totals(parsed_stats(spark, sf))
 
 
+@query("named_stats", STATS_ROWS)
+def named_stats(spark, sf):
+    """The variant comes from the names of the files, one per type of event and group of users in nested folders."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(stats_files(spark, sf))
+    variant = keys.module_of_folder(F.col("_metadata.file_path"), "variant")
+    lines = rows.select(variant.alias("v"), "value").withColumn("part", F.pmod(F.hash("value"), F.lit(5)))
+    file = F.concat(F.lit("Lib/P"), F.col("part").cast("string"), F.lit("/run.stats."), F.col("v"), F.lit(".jsonl"))
+    root = fresh_path(spark, "named")
+    files.write_named(lines.select(file.alias("file"), F.lit(0).alias("seq"), "value"), root)
+    return flat(stats.good_rows(stats.read_stats(spark, root, schema=SMALL_STATS)))
+
+
 @query("stream_ingest", STATS_ROWS)
 def stream_ingest_query(spark, sf):
     out = fresh_path(spark, "ingested")

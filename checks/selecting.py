@@ -359,6 +359,22 @@ def random_sample(spark, sf):
     return sampling.sample(t.table(spark, sf, "customer").select("c_custkey", "c_name"), "c_custkey", 50)
 
 
+@query(
+    "random_sample_contract",
+    """SELECT least(50, count(*)) AS rows, least(50, count(*)) AS different, least(50, count(*)) AS members FROM customer
+    UNION ALL SELECT count(*), count(*), count(*) FROM nation""",
+)
+def random_sample_contract(spark, sf):
+    """Size, distinctness and membership of draws whose seed nobody gave; a table smaller than the sample gives all its rows."""
+    parts = []
+    for name, key in (("customer", "c_custkey"), ("nation", "n_nationkey")):
+        table = t.table(spark, sf, name).select(key)
+        drawn = sampling.sample(table, key, 50)
+        met = drawn.join(table.withColumn("known", F.lit(1)), key, "left")
+        parts.append(met.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("different"), F.count("known").alias("members")))
+    return parts[0].unionByName(parts[1])
+
+
 @query(
     "sample_with_replacement",
     """WITH k AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS place, count(*) OVER () AS n FROM customer),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from runlens.functions.predicates import Limits
 from runlens.operators.clean import median_runs, median_values
 from runlens.operators.compare import Sources
-from runlens.session import keep
+from runlens.session import keep_bucketed
 
 RESULTS_LIMITS = Limits(timeout=45.0, spread=3.0)
 STATS_LIMITS = Limits(timeout=60000.0, spread=3.0)
@@ -95,8 +95,8 @@ stats AS (
 
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
     return Sources(
-        results=keep(results(spark, sf_dir), "results", by=["variant"]),
-        stats=keep(stats(spark, sf_dir), "stats", by=["variant"]),
+        results=keep_bucketed(results(spark, sf_dir), "results", "unit", by=["variant"]),
+        stats=keep_bucketed(stats(spark, sf_dir), "stats", "unit", by=["variant"]),
         results_limits=RESULTS_LIMITS,
         stats_limits=STATS_LIMITS,
         baseline=BASE,

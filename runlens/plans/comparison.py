@@ -16,7 +16,7 @@ from runlens.operators import compare, summary, trend
 from runlens.operators.clean import median_runs, median_values, require_unique
 from runlens.operators.compare import Sources
 from runlens.operators.ordered import cumulative_counts
-from runlens.session import keep
+from runlens.session import keep, keep_bucketed
 from runlens.sources.report import tidy, write_outliers
 
 NEEDED = ["unit", "value"]
@@ -83,7 +83,7 @@ class Outcome:
 def clean_sources(
     result_runs: DataFrame, stats_runs: DataFrame, tie_break: list[str], baseline: str | None = None, **limits
 ) -> Sources:
-    """Both sources cleaned and written once, in a folder per variant.
+    """Both sources cleaned and written once, in a folder per variant and buckets of units.
 
     ``limits`` are ``results_limits`` and ``stats_limits``.
     """
@@ -91,8 +91,8 @@ def clean_sources(
     cleaned = median_values(result_runs, src.results_limits)
     picked = median_runs(stats_runs, src.stats_limits, tie_break)
     return Sources(
-        results=keep(cleaned, "results", by=["variant"]),
-        stats=keep(picked, "stats", by=["variant"]),
+        results=keep_bucketed(cleaned, "results", "unit", by=["variant"]),
+        stats=keep_bucketed(picked, "stats", "unit", by=["variant"]),
         baseline=baseline,
         results_limits=src.results_limits,
         stats_limits=src.stats_limits,
@@ -141,9 +141,9 @@ def run(src: Sources, analysis: Analysis, limits: Thresholds = Thresholds(), joi
     """One comparison. ``joined`` may hold ``joined_sources`` of the same variants, written once."""
     a = analysis
     if joined is None:
-        joined = keep(compare.joined_sources(src, a.old, a.new), "joined")
-    cohort = require_unique(keep(joined.filter(compare.meets(src, a.wanted)).select("unit"), "cohort"), ["unit"])
-    pairs = keep(paired_frame(src, cohort, a.old, a.new), "pairs")
+        joined = keep_bucketed(compare.joined_sources(src, a.old, a.new), "joined", "unit")
+    cohort = require_unique(keep_bucketed(joined.filter(compare.meets(src, a.wanted)).select("unit"), "cohort", "unit"), ["unit"])
+    pairs = keep_bucketed(paired_frame(src, cohort, a.old, a.new), "pairs", "unit")
     result_pairs = joined.join(cohort, "unit", "left_semi")
     out = Outcome(a, pairs)
 

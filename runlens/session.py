@@ -77,6 +77,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
         for name in paths:
             path = spark._jvm.org.apache.hadoop.fs.Path(name)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            spark.sql(f"DROP TABLE IF EXISTS {_table_name(name)}")
 
 
 def keep(df: DataFrame, tag: str, by: Sequence[str] = ()) -> DataFrame:
@@ -88,3 +89,21 @@ def keep(df: DataFrame, tag: str, by: Sequence[str] = ()) -> DataFrame:
     path = fresh_path(df.sparkSession, tag)
     df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _table_name(path: str) -> str:
+    return path.rsplit("/", 1)[1].replace("-", "_")
+
+
+def keep_bucketed(df: DataFrame, tag: str, key: str, by: Sequence[str] = ()) -> DataFrame:
+    """Like ``keep``, in as many buckets of ``key`` as the session has shuffle partitions, each sorted by it.
+
+    Joins and groupings on ``key`` of such tables, and of parts of them, need no shuffle of the rows.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = fresh_path(spark, tag)
+    name = _table_name(path)
+    writer = df.repartition(buckets, key).write.format("parquet").option("path", path).bucketBy(buckets, key).sortBy(key)
+    (writer.partitionBy(*by) if by else writer).saveAsTable(name)
+    return spark.table(name).select(*df.columns)

@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from checks import tables
 from checks.run import check, database
 from runlens import session
+from runlens.operators import compare
 from runlens.plans import comparison, reports
 from runlens.plans.comparison import Analysis
 from runlens.sources import stats
@@ -70,6 +72,23 @@ def test_scratch_leaves_nothing(spark, tmp_path, monkeypatch):
     assert not [f for f in work.iterdir() if not f.name.endswith(".crc")]
 
 
+def test_joins_on_units_do_not_shuffle(spark):
+    """The four-way join, cohort and pairs of bucketed sources read their buckets side by side."""
+    src = tables.sources(spark, "/root/testdata/sf0.001")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = compare.joined_sources(src, tables.OLD, tables.NEW)
+        cohort = session.keep_bucketed(joined.select("unit"), "cohort", "unit")
+        pairs = comparison.paired_frame(src, cohort, tables.OLD, tables.NEW)
+        for df in (joined, pairs, cohort.groupBy("unit").count()):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange" not in plan, plan
+            assert df.count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def write_raw(spark, tmp_path):
     """Raw tables of 60 units, three runs each; unit 9 differs in outcome."""
     units = spark.range(60).withColumn("unit", F.concat(F.lit("u"), "id"))
