@@ -52,7 +52,7 @@ def at_positions(rows: DataFrame, keys: Sequence[str], value: str, probs: dict[s
 def _bracketed(rows: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], limit: int) -> DataFrame:
     """Percentiles of large groups; NULL where a position fell between the brackets."""
     margin = 2.0 / ACCURACY
-    marks = [b for p in sorted(set(probs.values())) for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    marks = marks_around(probs, margin)
     sketch = F.approx_percentile(value, F.array(*[F.lit(m) for m in marks]), F.lit(ACCURACY))
     found = rows.groupBy(*keys).agg(sketch.alias("_marks"))
     if keys:
@@ -60,9 +60,21 @@ def _bracketed(rows: DataFrame, keys: Sequence[str], value: str, probs: dict[str
         marked = match(rows, keep(found, "brackets"), keys)
     else:
         marked = rows.withColumn("_marks", F.array(*[F.lit(m) for m in found.first()["_marks"]]))
+    return between_marks(marked, len(marks), keys, value, probs, limit)
+
+
+def marks_around(probs: dict[str, float], margin: float) -> list[float]:
+    """Ranks a margin below and above each wanted one, ascending by the wanted."""
+    return [b for p in sorted(set(probs.values())) for b in (max(p - margin, 0.0), min(p + margin, 1.0))]
+
+
+def between_marks(
+    marked: DataFrame, marks: int, keys: Sequence[str], value: str, probs: dict[str, float], limit: int
+) -> DataFrame:
+    """Percentiles of rows that carry their group's bracket bounds in ``_marks``; NULL where a position fell between brackets."""
     # Even slots lie between brackets, odd slots inside one.
-    v, slot = F.col(value), F.lit(len(marks))
-    for i in reversed(range(len(marks))):
+    v, slot = F.col(value), F.lit(marks)
+    for i in reversed(range(marks)):
         mark = F.col("_marks")[i]
         slot = F.when(v < mark if i % 2 == 0 else v <= mark, F.lit(i)).otherwise(slot)
     cells = marked.withColumn("_slot", slot)
