@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,12 +14,16 @@ from runlens.llm.blocks import LOWER, bounded_batches, id_hash, mix, slices, tab
 
 FOLDS = 7
 HELD_OUT = 2
-ORDER = 2
+ORDER = 3
 # Weight of the shorter context, in tokens: p(w | context) = (count + WEIGHT * p(w | shorter)) / (count of context + WEIGHT).
 WEIGHT = 200.0
 # Words of one block of documents, and keys that one counting task gets, on average.
 BLOCK_WORDS = 800_000
 BUCKET_KEYS = 500_000
+# Tokens that one walker reads; a longer text is read by several, each of which first reads the tokens before its own.
+STRETCH = 256
+# Distinct words that a task of the vocabulary holds before it sends them.
+HELD_WORDS = 1 << 20
 START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -40,172 +45,305 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ngrams(found: np.ndarray, heads: np.ndarray, order: int) -> list[np.ndarray]:
-    """For n = 1 ... order, the key of the n-gram that ends at each place; 0 where a text is too short or n = 1 and it is the start."""
-    keys = [found.copy()]
-    keys[0][heads[:-1]] = 0
-    last = found
+    """For n = 1 ... order, the key of the n-gram that ends at each place; 0 where the text has too few tokens before it."""
+    keys = [found]
     within = np.arange(len(found)) - np.repeat(heads[:-1], np.diff(heads))
     for n in range(2, order + 1):
         grown = np.zeros_like(found)
-        grown[1:] = mix(last[:-1] * ODD + found[1:])
+        grown[1:] = mix(keys[-1][:-1] * ODD + found[1:])
         grown[within < n - 1] = 0
         keys.append(grown)
-        last = grown
     return keys
 
 
-def counted(keys: list[np.ndarray], train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys, ascending, and how often each stands in training texts; ``train`` tells it per place."""
-    flat = np.concatenate(keys)
-    kinds, inverse = np.unique(flat, return_inverse=True)
-    counts = np.bincount(inverse, np.tile(train, len(keys)), len(kinds)).astype(np.int64)
-    some = kinds != 0
-    return kinds[some], counts[some]
+@dataclass(frozen=True)
+class Grams:
+    """Distinct n-grams of one length in a block: keys (ascending), first places, and the number of the n-gram at each place.
+
+    Places without an n-gram of this length hold a number that nobody reads.
+    """
+
+    kinds: np.ndarray
+    first: np.ndarray
+    at: np.ndarray
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """How often each stands in training texts; ``train`` tells per place how many training rows it stands for."""
+        return np.bincount(self.at[self.at >= 0], train[self.at >= 0], len(self.kinds)).astype(np.int64)
 
 
-def walk(keys: list[np.ndarray], heads: np.ndarray, kinds: np.ndarray, counts: np.ndarray, total: int, distinct: int, weight: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """log10 probability, base score and number of known tokens of each text.
+def grams_of(key: np.ndarray) -> Grams:
+    kinds, first, at = np.unique(key, return_index=True, return_inverse=True)
+    if len(kinds) and kinds[0] == 0:
+        return Grams(kinds[1:], first[1:], at - 1)
+    return Grams(kinds, first, at)
 
-    A state is a context: the last tokens, as many as were seen in training. The arc of a token that was seen after it
-    gives its smoothed probability; the failure arc leads to the state without the oldest token and weighs
-    weight / (count + weight). ``p`` is the probability at the state of the present length; each round adds one token of
-    context to all places, and a context that was never seen leaves p as it is: the walk stays in the shorter state.
+
+@dataclass(frozen=True)
+class Automaton:
+    """States are contexts that training has seen: level n holds those of n tokens, level 0 the empty one.
+
+    Level n has, per arc, ``arcs[n]`` = state * words + token (ascending), its log10 probability ``logs[n]`` and the state
+    it leads to, and per state the failure arc: ``fail_to[n]``, the state without its oldest token, and the log10 weight
+    ``fail_log[n]`` of going there. Arcs of the empty state are numbered by their token: every token has one.
     """
-    def seen(key: np.ndarray) -> np.ndarray:
-        if not len(kinds):
-            return np.zeros(len(key))
-        place = np.minimum(np.searchsorted(kinds, key), len(kinds) - 1)
-        return np.where(kinds[place] == key, counts[place], 0).astype(float)
-
-    scored = np.ones(heads[-1], bool)
-    scored[heads[:-1]] = False
-    known = seen(keys[0])
-    base = (known + 1) / (total + distinct + 1)
-    p = base
-    context = np.zeros(heads[-1])
-    context[1:] = known[:-1]
-    # A text's start was seen once per training text, as was its end.
-    context[heads[:-1] + 1] = seen(np.array([END], np.uint64))[0]
-    for n in range(1, len(keys)):
-        here = seen(keys[n])
-        p = np.where(context > 0, (here + weight * p) / (context + weight), p)
-        context = np.append(0.0, here[:-1])
-        context[heads[:-1]] = 0
-    logs = np.where(scored, np.log10(p), 0.0)
-    bases = np.where(scored, np.log10(base), 0.0)
-    at = heads[:-1]
-    return np.add.reduceat(logs, at), np.add.reduceat(bases, at), np.add.reduceat((scored & (known > 0)).astype(np.int64), at)
+
+    words: int
+    arcs: list[np.ndarray]
+    logs: list[np.ndarray]
+    to: list[np.ndarray]
+    fail_to: list[np.ndarray]
+    fail_log: list[np.ndarray]
+    known: np.ndarray
+
+
+def automaton(grams: list[Grams], counts: list[np.ndarray], total: int, distinct: int, weight: float) -> Automaton:
+    """The states and arcs that the block's texts can reach, from the corpus's ``counts`` of their n-grams.
+
+    An arc's probability is smoothed with that of the arc for the same token one level lower, which training has seen
+    too: p(w | context) = (count + weight * p(w | shorter)) / (count of context + weight). A token without an arc takes
+    the failure arc, which weighs weight / (count of context + weight).
+    """
+    order, words = len(grams), len(grams[0].kinds)
+    p = (counts[0] + 1.0) / (total + distinct + 1)
+    none = np.zeros(0, np.int64)
+    arcs, logs, to = [none], [np.log10(p)], [np.arange(words)]
+    fail_to, fail_log = [none], [np.zeros(0)]
+    for n in range(1, order):
+        # States of n tokens, and the n-grams of n + 1 tokens that are their arcs.
+        lower, here = grams[n - 1], grams[n]
+        fail_log.append(np.log10(weight / (counts[n - 1] + weight)))
+        fail_to.append(grams[n - 2].at[lower.first] if n > 1 else np.zeros(words, np.int64))
+        state, token = lower.at[here.first - 1], grams[0].at[here.first]
+        shorter = lower.at[here.first]
+        p = (counts[n] + weight * p[shorter]) / (counts[n - 1][state] + weight)
+        seen = np.flatnonzero(counts[n] > 0)
+        arc = state[seen] * words + token[seen]
+        by = np.argsort(arc)
+        arcs.append(arc[by])
+        logs.append(np.log10(p[seen[by]]))
+        # The longest states have order - 1 tokens.
+        to.append(seen[by] if n + 1 < order else shorter[seen[by]])
+    return Automaton(words, arcs, logs, to, fail_to, fail_log, counts[0] > 0)
+
+
+def stretches(heads: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Where walkers begin to read, begin to score and end, and the text of each; longest first.
+
+    A state is made by the last order - 1 tokens alone, so a walker that first reads these arrives in the state of one that
+    came all the way. The start of a text is read, not scored.
+    """
+    lengths = np.diff(heads) - 1
+    parts = np.maximum(1, -(-lengths // STRETCH))
+    text = np.repeat(np.arange(len(lengths)), parts)
+    number = np.arange(len(text)) - np.repeat(np.cumsum(parts) - parts, parts)
+    begin = heads[text] + 1 + number * STRETCH
+    end = np.minimum(begin + STRETCH, heads[text + 1])
+    read = np.maximum(heads[text], begin - (order - 1))
+    by = np.argsort(read - end, kind="stable")
+    return read[by], begin[by], end[by], text[by]
+
+
+def walk(tokens: np.ndarray, heads: np.ndarray, auto: Automaton) -> np.ndarray:
+    """log10 probability of each text: walkers go from left to right, carry their state and add up what arcs weigh.
+
+    ``tokens`` are the words' numbers. All walkers take a step at a time; those whose state has no arc for the token take
+    failure arcs, down to the empty state at most, and try again there.
+    """
+    top = len(auto.arcs) - 1
+    read, begin, end, text = stretches(heads, top + 1)
+    level, state, sums = np.zeros(len(read), np.int64), np.zeros(len(read), np.int64), np.zeros(len(read))
+    longest = int((end - read).max(initial=0))
+    walking = np.searchsorted(read - end, -np.arange(longest), side="left")
+    for step in range(longest):
+        n = walking[step]
+        place = read[:n] + step
+        token, gained = tokens[place], np.zeros(n)
+        now, node = level[:n].copy(), state[:n].copy()
+        for high in range(top, 0, -1):
+            there = np.flatnonzero(now == high)
+            if not len(there):
+                continue
+            wanted = node[there] * auto.words + token[there]
+            arc = np.minimum(np.searchsorted(auto.arcs[high], wanted), max(0, len(auto.arcs[high]) - 1))
+            found = auto.arcs[high][arc] == wanted if len(auto.arcs[high]) else np.zeros(len(there), bool)
+            hit, arc, miss = there[found], arc[found], there[~found]
+            gained[hit] += auto.logs[high][arc]
+            level[hit], state[hit] = min(high + 1, top), auto.to[high][arc]
+            now[hit] = -1
+            gained[miss] += auto.fail_log[high][node[miss]]
+            node[miss] = auto.fail_to[high][node[miss]]
+            now[miss] = high - 1
+        there = np.flatnonzero(now == 0)
+        gained[there] += auto.logs[0][token[there]]
+        level[there], state[there] = np.where(auto.known[token[there]], min(1, top), 0), token[there]
+        sums[:n] += np.where(place >= begin[:n], gained, 0.0)
+    return np.bincount(text, sums, len(heads) - 1)
 
 
 def vocabulary(docs: DataFrame) -> dict[str, int]:
     """Training tokens, distinct training tokens and all tokens of ``docs`` (text, held_out)."""
 
+    def counted(kinds: np.ndarray, train: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        kinds, at = np.unique(kinds, return_inverse=True)
+        return kinds, np.bincount(at, train, len(kinds)).astype(np.int64), np.bincount(at, n, len(kinds)).astype(np.int64)
+
+    def row(held: tuple[np.ndarray, ...]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"key": pa.array(held[0].view(np.int64)), "train": pa.array(held[1]), "n": pa.array(held[2])})
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         for batch in batches:
             for part in slices(batch, most=2 << 20):
                 found, heads = tokens(part.column("text"))
                 train = ~part.column("held_out").to_numpy(zero_copy_only=False)
                 scored = found != START
-                per_place = np.repeat(train, np.diff(heads))[scored]
-                kinds, inverse = np.unique(found[scored], return_inverse=True)
-                yield pa.RecordBatch.from_pydict(
-                    {
-                        "key": pa.array(kinds.view(np.int64)),
-                        "train": pa.array(np.bincount(inverse, per_place, len(kinds)).astype(np.int64)),
-                        "n": pa.array(np.bincount(inverse, minlength=len(kinds))),
-                    }
-                )
+                own = counted(found[scored], np.repeat(train, np.diff(heads))[scored], np.ones(scored.sum(), np.int64))
+                held = counted(*(np.concatenate(pair) for pair in zip(held, own)))
+                if len(held[0]) > HELD_WORDS:
+                    yield row(held)
+                    held = tuple(x[:0] for x in held)
+        yield row(held)
 
     rows = docs.select("text", "held_out").mapInArrow(run, "key long, train long, n long")
     words = rows.groupBy("key").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
-    row = words.agg(F.sum("train"), F.count_if(F.col("train") > 0), F.sum("n")).first()
-    return {"total": row[0] or 0, "distinct": row[1] or 0, "all": row[2] or 0}
+    row_ = words.agg(F.sum("train"), F.count_if(F.col("train") > 0), F.sum("n")).first()
+    return {"total": row_[0] or 0, "distinct": row_[1] or 0, "all": row_[2] or 0}
+
+
+def dealt(rows: DataFrame, blocks: int, kind: str) -> DataFrame:
+    """Rows of ``rows`` (doc_id, text, held_out) in compressed packs, ``block`` by a hash of id and text.
+
+    Rows that repeat id and text are sent once a batch with their number, so however often they stand in the table, their
+    block stays small.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = pa.Table.from_batches([batch]).group_by(["block", "doc_id", "held_out", "text"], use_threads=False)
+            found = found.aggregate([([], "count_all")]).sort_by("block").combine_chunks()
+            blocks_here = found.column("block").to_numpy()
+            at = [0, *(np.flatnonzero(np.diff(blocks_here)) + 1).tolist(), len(blocks_here)]
+            for a, b in zip(at[:-1], at[1:]):
+                part = found.slice(a, b - a).combine_chunks()
+                data, offsets = text_bytes(pa.concat_arrays([c.cast(pa.large_string()) for c in part.column("text").chunks]))
+                texts = pa.compress(data.tobytes(), codec="zstd", asbytes=True) if len(data) else b""
+                lists = {
+                    "ids": part.column("doc_id").to_pylist(),
+                    "held": part.column("held_out").to_pylist(),
+                    "times": part.column("count_all").to_pylist(),
+                    "sizes": np.diff(offsets).tolist(),
+                }
+                types = {"ids": part.schema.field("doc_id").type, "held": pa.bool_(), "times": pa.int64(), "sizes": pa.int64()}
+                columns = {name: pa.array([values], pa.list_(types[name])) for name, values in lists.items()}
+                yield pa.RecordBatch.from_pydict(
+                    {"block": pa.array([int(blocks_here[a])], pa.int64()), **columns, "texts": pa.array([texts], pa.binary())}
+                )
+
+    block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks).cast("long"))
+    schema = f"block long, ids array<{kind}>, held array<boolean>, times array<long>, sizes array<long>, texts binary"
+    return rows.withColumn("block", block).mapInArrow(run, schema)
+
+
+def unpacked(packs: pa.Table) -> pa.Table:
+    """doc_id, held_out, times and text of the packs' rows."""
+    columns = {to: pa.chunked_array([c.values.slice(c.offsets[0].as_py(), c.offsets[-1].as_py() - c.offsets[0].as_py()) for c in packs.column(name).chunks])
+               for name, to in (("ids", "doc_id"), ("held", "held_out"), ("times", "times"))}
+    sizes = [np.array(s.as_py(), np.int64) for s in packs.column("sizes")]
+    data = [pa.decompress(t.as_py(), int(s.sum()), codec="zstd", asbytes=True) if s.sum() else b"" for t, s in zip(packs.column("texts"), sizes)]
+    offsets = np.append(0, np.cumsum(np.concatenate(sizes)))
+    texts = pa.LargeStringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), pa.py_buffer(b"".join(data)))
+    return pa.table({**columns, "text": texts})
 
 
 def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
-    Documents are dealt into blocks by a hash of their id. Each block sends its distinct n-grams with their training
-    counts to counting tasks, by ranges of a 64-bit hash, and gets the sums over the corpus back for just those: the
-    part of the automaton that its texts can reach. Nothing that grows with the corpus is on the driver or in one task.
-    Nulls: a null text is empty (one token, the end); a null id hashes as the empty text. Repeated rows count and score
-    each; an empty table gives no rows; other columns are not read.
+    Documents are dealt into blocks by a hash of id and text. Each block sends its distinct n-grams with their training
+    counts to counting tasks, by ranges of a 64-bit hash, and gets back what other blocks add to them: enough for the part
+    of the automaton that its texts can reach, which it builds and walks. Nothing that grows with the corpus is on the driver or in
+    one task, but for the list of bucket borders (8 bytes per 500 000 n-grams).
+    Nulls: a null text is empty (one token, the end); a null id is hashed as the empty text. Repeated rows count and score
+    each; an empty table gives no rows; other columns are not read. A very long text is a block of its own size, read by many
+    walkers. There are no ties: a score depends on the text and the training rows alone.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = bounded_batches(docs).select("doc_id", "text", (id_hash(F.col("doc_id")) % FOLDS == HELD_OUT).alias("held_out"))
     sizes = vocabulary(rows)
     blocks = max(1, -(-sizes["all"] // BLOCK_WORDS))
-    buckets = max(1, -(-sizes["all"] * order // BUCKET_KEYS))
+    buckets = max(1, -(-sizes["all"] // BUCKET_KEYS))
     lower = np.array([(2**64 * i) // buckets for i in range(buckets)], np.uint64)
     bounds = lower[1:]
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
-
-    def block_keys(found: pa.Table) -> tuple[pa.Table, list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
-        found = found.combine_chunks()
-        column = found.column("text")
-        column = pa.concat_arrays([c.cast(pa.large_string()) for c in column.chunks])
-        hashes, heads = tokens(column)
-        keys = ngrams(hashes, heads, order)
-        train = np.repeat(~found.column("held_out").to_numpy(), np.diff(heads))
-        return found, keys, heads, *counted(keys, train)
-
-    def send(found: pa.Table) -> pa.Table:
-        _, _, _, kinds, counts = block_keys(found)
-        at = [0, *np.searchsorted(kinds, bounds).tolist(), len(kinds)]
-        parts = [(i, a, b) for i, (a, b) in enumerate(zip(at[:-1], at[1:])) if a < b]
-        return pa.table(
-            {
-                "block": pa.array([found.column("block")[0].as_py()] * len(parts), pa.int64()),
-                "bucket": pa.array([i for i, _, _ in parts], pa.int64()),
-                "n": pa.array([b - a for _, a, b in parts], pa.int64()),
-                "keys": pa.array([_packed(np.diff(kinds[a:b], prepend=lower[i])) for i, a, b in parts], pa.binary()),
-                "counts": pa.array([_packed(counts[a:b]) for _, a, b in parts], pa.binary()),
-            }
-        )
+    packs = dealt(rows, blocks, kind)
+
+    def block_grams(packed: pa.Table) -> tuple[pa.Table, np.ndarray, list[Grams], list[np.ndarray]]:
+        found = unpacked(packed)
+        hashes, heads = tokens(found.column("text").combine_chunks())
+        grams = [grams_of(key) for key in ngrams(hashes, heads, order)]
+        times = np.where(found.column("held_out").to_numpy(), 0, found.column("times").to_numpy())
+        train = np.repeat(times, np.diff(heads))
+        return found, heads, grams, [g.counts(train) for g in grams]
+
+    def parts_of(kinds: np.ndarray) -> list[tuple[int, int, int]]:
+        at = np.concatenate([[0], np.searchsorted(kinds, bounds), [len(kinds)]])
+        some = np.flatnonzero(np.diff(at))
+        return list(zip(some.tolist(), at[some].tolist(), at[some + 1].tolist()))
+
+    def send(packed: pa.Table) -> pa.Table:
+        _, _, grams, counts = block_grams(packed)
+        block = packed.column("block")[0].as_py()
+        found = {"block": [], "length": [], "bucket": [], "n": [], "keys": [], "counts": []}
+        for length, (g, own) in enumerate(zip(grams, counts)):
+            for i, a, b in parts_of(g.kinds):
+                keys = _packed(np.diff(g.kinds[a:b], prepend=lower[i]))
+                for name, value in zip(found, (block, length, i, b - a, keys, _packed(own[a:b]))):
+                    found[name].append(value)
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table({name: pa.array(values, t) for (name, values), t in zip(found.items(), types)})
 
     def add(found: pa.Table) -> pa.Table:
+        """What the other blocks add to each block's counts."""
         sizes = found.column("n").to_pylist()
         low = lower[found.column("bucket")[0].as_py()]
         keys = [low + np.cumsum(_unpacked(v.as_py(), n)) for v, n in zip(found.column("keys"), sizes)]
-        counts = [_unpacked(v.as_py(), len(k)) for v, k in zip(found.column("counts"), keys)]
+        own = [_unpacked(v.as_py(), n).astype(np.int64) for v, n in zip(found.column("counts"), sizes)]
         kinds, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         # Whole numbers of float64 are exact up to 2^53.
-        sums = np.bincount(inverse, np.concatenate(counts), len(kinds)).astype(np.int64)[inverse]
-        at = np.cumsum([0] + [len(k) for k in keys])
-        return pa.table(
-            {
-                "block": found.column("block"),
-                "bucket": found.column("bucket"),
-                "counts": pa.array([_packed(sums[a:b]) for a, b in zip(at[:-1], at[1:])], pa.binary()),
-            }
-        )
-
-    def score(texts: pa.Table, sums: pa.Table) -> pa.Table:
-        if not texts.num_rows:
+        sums = np.bincount(inverse, np.concatenate(own), len(kinds)).astype(np.int64)[inverse]
+        at = np.cumsum([0] + sizes)
+        more = [_packed(sums[a:b] - o) for a, b, o in zip(at[:-1], at[1:], own)]
+        return pa.table({name: found.column(name) for name in ("block", "length", "bucket")} | {"more": pa.array(more, pa.binary())})
+
+    def score(packed: pa.Table, sums: pa.Table) -> pa.Table:
+        if not packed.num_rows:
             return empty
-        found, keys, heads, kinds, own = block_keys(texts)
-        at = [0, *np.searchsorted(kinds, bounds).tolist(), len(kinds)]
-        counts = np.zeros_like(own)
-        for bucket, packed in zip(sums.column("bucket").to_pylist(), sums.column("counts")):
-            counts[at[bucket] : at[bucket + 1]] = _unpacked(packed.as_py(), at[bucket + 1] - at[bucket])
-        logs, bases, known = walk(keys, heads, kinds, counts, sizes["total"], sizes["distinct"], weight)
-        return pa.table(
-            {
-                "doc_id": found.column("doc_id"),
-                "held_out": found.column("held_out"),
-                "n_tokens": pa.array(np.diff(heads) - 1),
-                "n_known": pa.array(known),
-                "train_tokens": pa.array(np.full(len(known), sizes["total"], np.int64)),
-                "base_score": pa.array(bases),
-                "score": pa.array(logs),
-            }
-        )
+        found, heads, grams, counts = block_grams(packed)
+        places = [{i: (a, b) for i, a, b in parts_of(g.kinds)} for g in grams]
+        for length, bucket, more in zip(sums.column("length").to_pylist(), sums.column("bucket").to_pylist(), sums.column("more")):
+            a, b = places[length][bucket]
+            counts[length][a:b] += _unpacked(more.as_py(), b - a).astype(np.int64)
+        words, at = grams[0].at, heads[:-1]
+        scored = np.ones(heads[-1], bool)
+        scored[at] = False
+        # The start is a context that training has seen once a text, but no token: total and distinct leave it out.
+        bases = np.where(scored, np.log10((counts[0] + 1.0) / (sizes["total"] + sizes["distinct"] + 1))[words], 0.0)
+        logs = walk(words, heads, automaton(grams, counts, sizes["total"], sizes["distinct"], weight))
+        out = {
+            "doc_id": found.column("doc_id"),
+            "held_out": found.column("held_out"),
+            "n_tokens": pa.array(np.diff(heads) - 1),
+            "n_known": pa.array(np.add.reduceat((scored & (counts[0] > 0)[words]).astype(np.int64), at)),
+            "train_tokens": pa.array(np.full(len(at), sizes["total"], np.int64)),
+            "base_score": pa.array(np.add.reduceat(bases, at)),
+            "score": pa.array(logs),
+        }
+        return pa.table(out).take(pa.array(np.repeat(np.arange(len(at)), found.column("times").to_numpy())))
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     empty = pa.table({n: pa.array([]) for n in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-    sent = dealt.groupBy("block").applyInArrow(send, "block long, bucket long, n long, keys binary, counts binary")
-    sums = sent.groupBy("bucket").applyInArrow(add, "block long, bucket long, counts binary")
-    return dealt.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, schema)
+    sent = packs.groupBy("block").applyInArrow(send, "block long, length long, bucket long, n long, keys binary, counts binary")
+    sums = sent.groupBy("length", "bucket").applyInArrow(add, "block long, length long, bucket long, more binary")
+    return packs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, schema)
 
 
 def _packed(numbers: np.ndarray) -> bytes:

@@ -9,7 +9,7 @@ from runlens.llm import lm
 from runlens.llm.blocks import table
 
 
-def brute(rows, order=2, weight=lm.WEIGHT):
+def brute(rows, order=3, weight=lm.WEIGHT):
     def words(text):
         low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
         return re.findall(r"[^\x20\x09-\x0D]+", low)
@@ -43,7 +43,7 @@ def brute(rows, order=2, weight=lm.WEIGHT):
     return out
 
 
-def check(docs, order=2):
+def check(docs, order=3):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     want = sorted(brute(rows, order), key=str)
     got = sorted((tuple(r) for r in lm.lm_scores(docs, order).collect()), key=str)
@@ -55,10 +55,11 @@ def check(docs, order=2):
 SMALL = [(1, "a b a b c"), (2, "A b"), (3, None), (4, ""), (5, "b a  b"), (None, "a zz"), (5, "b a  b"), (9, "w " * 3000), (14, "é ü"), (21, "b c d")]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
 def test_small(spark, monkeypatch, order):
     monkeypatch.setattr(lm, "BLOCK_WORDS", 4)
     monkeypatch.setattr(lm, "BUCKET_KEYS", 3)
+    monkeypatch.setattr(lm, "STRETCH", 5)
     check(spark.createDataFrame([(i, t, "clash") for i, t in SMALL], "doc_id long, text string, block string"), order)
 
 
@@ -77,3 +78,29 @@ def test_context_helps_held_out_texts(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [r for r in lm.lm_scores(docs).collect() if r.held_out]
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_one_row_many_times(spark):
+    docs = spark.range(0, 3000, 1, 3).selectExpr("CAST(7 AS LONG) doc_id", "'a b a c' text")
+    docs = docs.unionByName(spark.createDataFrame(SMALL, "doc_id long, text string"))
+    check(docs)
+
+
+def test_walkers_in_a_long_text_keep_the_state():
+    heads = lm.np.array([0, 1001, 1003])
+    found = lm.np.random.default_rng(0).integers(1, 9, 1003).astype(lm.np.uint64)
+    grams = [lm.grams_of(k) for k in lm.ngrams(found, heads, 3)]
+    # Every other n-gram is unknown, so walkers fall back and climb again.
+    counts = [lm.np.arange(len(g.kinds)) % 2 * 3 if n else lm.np.full(len(g.kinds), 6) for n, g in enumerate(grams)]
+    auto = lm.automaton(grams, counts, 1000, 8, 2.0)
+    wide = []
+    for stretch in (7, 100_000):
+        lm.STRETCH, before = stretch, lm.STRETCH
+        wide.append(lm.walk(grams[0].at, heads, auto))
+        lm.STRETCH = before
+    assert wide[0] == pytest.approx(wide[1], rel=1e-12)
+
+
+def test_string_ids(spark):
+    docs = spark.createDataFrame([("x1", "a b"), (None, "a"), ("x1", None)], "doc_id string, text string")
+    check(docs)
