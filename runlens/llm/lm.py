@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -259,10 +260,12 @@ def unpacked(packs: pa.Table) -> pa.Table:
 def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``.
 
-    Documents are dealt into blocks by a hash of id and text. Each block sends its distinct n-grams with their training
-    counts to counting tasks, by ranges of a 64-bit hash, and gets back what other blocks add to them: enough for the part
-    of the automaton that its texts can reach, which it builds and walks. Nothing that grows with the corpus is on the driver or in
-    one task, but for the list of bucket borders (8 bytes per 500 000 n-grams).
+    Documents are dealt into blocks by a hash of id and text. Length by length, each block sends its distinct n-grams with
+    their training counts to counting tasks, by ranges of a 64-bit hash, and gets back which of them other blocks have and
+    what these add. An n-gram goes out only if others have both (n-1)-grams inside it: else no other block can have it, and
+    the block's own count is the whole count. So a block knows the part of the automaton that its texts can reach, builds
+    and walks it. Nothing that grows with the corpus is on the driver or in one task, but for the list of bucket borders
+    (8 bytes per 500 000 tokens).
     Nulls: a null text is empty (one token, the end); a null id is hashed as the empty text. Repeated rows count and score
     each; an empty table gives no rows; other columns are not read. A very long text is a block of its own size, read by many
     walkers. There are no ties: a score depends on the text and the training rows alone.
@@ -276,52 +279,68 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
     bounds = lower[1:]
     packs = dealt(rows, blocks, kind)
 
-    def block_grams(packed: pa.Table) -> tuple[pa.Table, np.ndarray, list[Grams], list[np.ndarray]]:
+    def block_grams(packed: pa.Table, lengths: int) -> tuple[pa.Table, np.ndarray, list[Grams], list[np.ndarray]]:
         found = unpacked(packed)
         hashes, heads = tokens(found.column("text").combine_chunks())
-        grams = [grams_of(key) for key in ngrams(hashes, heads, order)]
+        grams = [grams_of(key) for key in ngrams(hashes, heads, lengths)]
         times = np.where(found.column("held_out").to_numpy(), 0, found.column("times").to_numpy())
         train = np.repeat(times, np.diff(heads))
         return found, heads, grams, [g.counts(train) for g in grams]
 
-    def parts_of(kinds: np.ndarray) -> list[tuple[int, int, int]]:
-        at = np.concatenate([[0], np.searchsorted(kinds, bounds), [len(kinds)]])
-        some = np.flatnonzero(np.diff(at))
-        return list(zip(some.tolist(), at[some].tolist(), at[some + 1].tolist()))
-
-    def send(packed: pa.Table) -> pa.Table:
-        _, _, grams, counts = block_grams(packed)
-        block = packed.column("block")[0].as_py()
-        found = {"block": [], "length": [], "bucket": [], "n": [], "keys": [], "counts": []}
-        for length, (g, own) in enumerate(zip(grams, counts)):
-            for i, a, b in parts_of(g.kinds):
-                keys = _packed(np.diff(g.kinds[a:b], prepend=lower[i]))
-                for name, value in zip(found, (block, length, i, b - a, keys, _packed(own[a:b]))):
-                    found[name].append(value)
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-        return pa.table({name: pa.array(values, t) for (name, values), t in zip(found.items(), types)})
+    def sender(length: int):
+        def send(packed: pa.Table, sums: pa.Table | None = None) -> pa.Table:
+            found = {"block": [], "bucket": [], "n": [], "keys": [], "numbers": [], "counts": []}
+            types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            if packed.num_rows:
+                _, _, grams, counts = block_grams(packed, length + 1)
+                here = grams[length]
+                asked = np.arange(len(here.kinds))
+                if sums is not None:
+                    # Another block has the n-gram only if it has both shorter ones inside it.
+                    shorter, met = grams[length - 1], np.zeros(len(grams[length - 1].kinds), bool)
+                    for numbers, n in zip(sums.column("numbers"), sums.column("n").to_pylist()):
+                        met[np.cumsum(_unpacked(numbers.as_py(), n)).astype(np.int64)] = True
+                    asked = np.flatnonzero(met[shorter.at[here.first]] & met[shorter.at[here.first - 1]])
+                kinds, own = here.kinds[asked], counts[length][asked]
+                at = np.concatenate([[0], np.searchsorted(kinds, bounds), [len(kinds)]])
+                for i in np.flatnonzero(np.diff(at)).tolist():
+                    part = slice(at[i], at[i + 1])
+                    keys = _packed(np.diff(kinds[part], prepend=lower[i]))
+                    row = (packed.column("block")[0].as_py(), i, len(kinds[part]), keys, _packed(np.diff(asked[part], prepend=0)), _packed(own[part]))
+                    for name, value in zip(found, row):
+                        found[name].append(value)
+            return pa.table({name: pa.array(values, t) for (name, values), t in zip(found.items(), types)})
+
+        return (lambda packed: send(packed)) if not length else send
 
     def add(found: pa.Table) -> pa.Table:
-        """What the other blocks add to each block's counts."""
-        sizes = found.column("n").to_pylist()
+        """The n-grams of each block that others have too, by their numbers there, and what those add to their counts."""
+        each = found.column("n").to_pylist()
         low = lower[found.column("bucket")[0].as_py()]
-        keys = [low + np.cumsum(_unpacked(v.as_py(), n)) for v, n in zip(found.column("keys"), sizes)]
-        own = [_unpacked(v.as_py(), n).astype(np.int64) for v, n in zip(found.column("counts"), sizes)]
+        keys = [low + np.cumsum(_unpacked(v.as_py(), n)) for v, n in zip(found.column("keys"), each)]
+        own = np.concatenate([_unpacked(v.as_py(), n) for v, n in zip(found.column("counts"), each)]).astype(np.int64)
         kinds, inverse = np.unique(np.concatenate(keys), return_inverse=True)
         # Whole numbers of float64 are exact up to 2^53.
-        sums = np.bincount(inverse, np.concatenate(own), len(kinds)).astype(np.int64)[inverse]
-        at = np.cumsum([0] + sizes)
-        more = [_packed(sums[a:b] - o) for a, b, o in zip(at[:-1], at[1:], own)]
-        return pa.table({name: found.column(name) for name in ("block", "length", "bucket")} | {"more": pa.array(more, pa.binary())})
+        more = np.bincount(inverse, own, len(kinds)).astype(np.int64)[inverse] - own
+        met = (np.bincount(inverse, minlength=len(kinds)) > 1)[inverse]
+        at = np.cumsum([0] + each)
+        out = {"block": [], "n": [], "numbers": [], "more": []}
+        for a, b, block, packed in zip(at[:-1], at[1:], found.column("block").to_pylist(), found.column("numbers")):
+            some = met[a:b]
+            if some.any():
+                numbers = np.cumsum(_unpacked(packed.as_py(), b - a))[some]
+                for name, value in zip(out, (block, len(numbers), _packed(np.diff(numbers, prepend=np.uint64(0))), _packed(more[a:b][some]))):
+                    out[name].append(value)
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), types)})
 
     def score(packed: pa.Table, sums: pa.Table) -> pa.Table:
         if not packed.num_rows:
             return empty
-        found, heads, grams, counts = block_grams(packed)
-        places = [{i: (a, b) for i, a, b in parts_of(g.kinds)} for g in grams]
-        for length, bucket, more in zip(sums.column("length").to_pylist(), sums.column("bucket").to_pylist(), sums.column("more")):
-            a, b = places[length][bucket]
-            counts[length][a:b] += _unpacked(more.as_py(), b - a).astype(np.int64)
+        found, heads, grams, counts = block_grams(packed, order)
+        for length, n, numbers, more in zip(sums.column("length").to_pylist(), sums.column("n").to_pylist(), sums.column("numbers"), sums.column("more")):
+            at = np.cumsum(_unpacked(numbers.as_py(), n)).astype(np.int64)
+            counts[length][at] += _unpacked(more.as_py(), n).astype(np.int64)
         words, at = grams[0].at, heads[:-1]
         scored = np.ones(heads[-1], bool)
         scored[at] = False
@@ -341,9 +360,17 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     empty = pa.table({n: pa.array([]) for n in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
-    sent = packs.groupBy("block").applyInArrow(send, "block long, length long, bucket long, n long, keys binary, counts binary")
-    sums = sent.groupBy("length", "bucket").applyInArrow(add, "block long, length long, bucket long, more binary")
-    return packs.groupBy("block").cogroup(sums.groupBy("block")).applyInArrow(score, schema)
+    sent_as = "block long, bucket long, n long, keys binary, numbers binary, counts binary"
+    blocked = packs.groupBy("block")
+    sums = []
+    for length in range(order):
+        if length:
+            sent = blocked.cogroup(sums[-1].groupBy("block")).applyInArrow(sender(length), sent_as)
+        else:
+            sent = blocked.applyInArrow(sender(0), sent_as)
+        sums.append(sent.groupBy("bucket").applyInArrow(add, "block long, n long, numbers binary, more binary"))
+    every = reduce(DataFrame.unionByName, [part.withColumn("length", F.lit(i)) for i, part in enumerate(sums)])
+    return blocked.cogroup(every.groupBy("block")).applyInArrow(score, schema)
 
 
 def _packed(numbers: np.ndarray) -> bytes:
