@@ -185,31 +185,35 @@ def walk(tokens: np.ndarray, heads: np.ndarray, auto: Automaton) -> np.ndarray:
 def vocabulary(docs: DataFrame) -> dict[str, int]:
     """Training tokens, distinct training tokens and all tokens of ``docs`` (text, held_out)."""
 
-    def counted(kinds: np.ndarray, train: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def counted(kinds: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         kinds, at = np.unique(kinds, return_inverse=True)
-        return kinds, np.bincount(at, train, len(kinds)).astype(np.int64), np.bincount(at, n, len(kinds)).astype(np.int64)
-
-    def row(held: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({"key": pa.array(held[0].view(np.int64)), "train": pa.array(held[1]), "n": pa.array(held[2])})
+        return kinds, np.bincount(at, train, len(kinds)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        def row(kinds: np.ndarray, train: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"key": pa.array(kinds.view(np.int64)), "n": pa.array(train)})
+
+        kinds, train, every = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for batch in batches:
             for part in slices(batch, most=2 << 20):
                 found, heads = tokens(part.column("text"))
-                train = ~part.column("held_out").to_numpy(zero_copy_only=False)
+                ones = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), np.diff(heads))
                 scored = found != START
-                own = counted(found[scored], np.repeat(train, np.diff(heads))[scored], np.ones(scored.sum(), np.int64))
-                held = counted(*(np.concatenate(pair) for pair in zip(held, own)))
-                if len(held[0]) > HELD_WORDS:
-                    yield row(held)
-                    held = tuple(x[:0] for x in held)
-        yield row(held)
-
-    rows = docs.select("text", "held_out").mapInArrow(run, "key long, train long, n long")
-    words = rows.groupBy("key").agg(F.sum("train").alias("train"), F.sum("n").alias("n"))
-    row_ = words.agg(F.sum("train"), F.count_if(F.col("train") > 0), F.sum("n")).first()
-    return {"total": row_[0] or 0, "distinct": row_[1] or 0, "all": row_[2] or 0}
+                every += int(scored.sum())
+                taken = scored & ones
+                kinds, train = counted(np.append(kinds, found[taken]), np.append(train, np.ones(taken.sum(), np.int64)))
+                if len(kinds) > HELD_WORDS:
+                    yield row(kinds, train)
+                    kinds, train = kinds[:0], train[:0]
+        yield row(kinds, train)
+        # All tokens of the task, under no key.
+        yield pa.RecordBatch.from_pydict({"key": pa.array([None], pa.int64()), "n": pa.array([every], pa.int64())})
+
+    rows = docs.select("text", "held_out").mapInArrow(run, "key long, n long")
+    words = rows.groupBy("key").agg(F.sum("n").alias("n"))
+    word = F.col("key").isNotNull()
+    total, distinct, every = words.agg(F.sum(F.when(word, F.col("n"))), F.count("key"), F.sum(F.when(~word, F.col("n")))).first()
+    return {"total": total or 0, "distinct": distinct, "all": every or 0}
 
 
 def dealt(rows: DataFrame, blocks: int, kind: str) -> DataFrame:
@@ -374,17 +378,27 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
 
 
 def _packed(numbers: np.ndarray) -> bytes:
-    """Whole numbers in the fewest bytes that hold all of them."""
+    """Whole numbers as planes of bytes, lowest first, as many as the largest needs, compressed: high planes are nearly equal."""
     width = max(1, -(-int(numbers.max(initial=0)).bit_length() // 8))
-    return numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+    planes = numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T
+    return bytes([width]) + b"".join(_squeezed(np.ascontiguousarray(p).tobytes()) for p in planes)
+
+
+def _squeezed(plane: bytes) -> bytes:
+    """A plane with its length in front; as it is where compression does not help."""
+    small = pa.compress(plane, codec="zstd", asbytes=True)
+    return (len(small) if len(small) < len(plane) else 0).to_bytes(4, "little") + (small if len(small) < len(plane) else plane)
 
 
 def _unpacked(data: bytes, n: int) -> np.ndarray:
-    out = np.zeros((n, 8), np.uint8)
-    if n:
-        width = len(data) // n
-        out[:, :width] = np.frombuffer(data, np.uint8).reshape(n, width)
-    return out.view("<u8").ravel()
+    out, at = np.zeros((8, n), np.uint8), 1
+    for plane in range(data[0]):
+        size = int.from_bytes(data[at : at + 4], "little")
+        end = at + 4 + (size or n)
+        found = data[at + 4 : end]
+        out[plane] = np.frombuffer(pa.decompress(found, n, codec="zstd", asbytes=True) if size else found, np.uint8)
+        at = end
+    return np.ascontiguousarray(out.T).view("<u8").ravel()
 
 
 def op6(spark, sf_dir):

@@ -104,3 +104,10 @@ def test_walkers_in_a_long_text_keep_the_state():
 def test_string_ids(spark):
     docs = spark.createDataFrame([("x1", "a b"), (None, "a"), ("x1", None)], "doc_id string, text string")
     check(docs)
+
+
+def test_packed_numbers_come_back():
+    make = lm.np.random.default_rng(2)
+    for numbers in ([], [0], [2**64 - 1, 0, 5], make.integers(0, 2**49, 5000), lm.np.ones(3000), make.integers(0, 3, 777)):
+        numbers = lm.np.array(numbers, lm.np.uint64)
+        assert (lm._unpacked(lm._packed(numbers), len(numbers)) == numbers).all()
