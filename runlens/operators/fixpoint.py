@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.operators.joins import salted_join
+from runlens.operators.joins import salted_join, unbroadcast
 from runlens.operators.ordered import GROUP_LIMIT
 from runlens.session import keep
 
@@ -31,7 +31,8 @@ def closure(
     steps of that chain are the shortest way to where they end, so only facts of exactly that length meet the others,
     on the left, and a chain is put together once instead of at each of its places. It ends when a round gives nothing
     new or ``max_rounds`` are done. ``keys`` keep separate relations apart. Each round is written once, so a lost
-    executor costs one round at most; the plan grows by one table a round, with the logarithm of the depth.
+    executor costs one round at most; the plan grows by one table a round, with the logarithm of the depth. Above ``limit`` rows
+    no facts are broadcast: their files are much smaller than they are in memory.
     """
     fact = [*keys, "src", "dst"]
     start = facts.select(*fact).distinct().withColumns({"steps": F.lit(1).cast("long"), "round": F.lit(0)})
@@ -45,9 +46,11 @@ def closure(
         left = left.select(*keys, "src", F.col("dst").alias("_mid"), F.col("steps").alias("_steps"))
         right = every.select(*keys, F.col("src").alias("_mid"), "dst", "steps")
         # No key has more rows than its table.
-        met = left.join(right, [*keys, "_mid"]) if rows <= limit else salted_join(left, right, [*keys, "_mid"], limit=limit)
+        on = [*keys, "_mid"]
+        met = left.join(right, on) if rows <= limit else salted_join(left, right, on, limit=limit, collected=False)
         found = met.groupBy(*fact).agg(F.min(F.col("_steps") + F.col("steps")).alias("steps"))
-        fresh = keep(found.join(every.select(*fact), fact, "left_anti").withColumn("round", F.lit(number)), "facts")
+        old = every.select(*fact) if rows <= limit else unbroadcast(every.select(*fact))
+        fresh = keep(found.join(old, fact, "left_anti").withColumn("round", F.lit(number)), "facts")
         new = fresh.count()
         if not new:
             break

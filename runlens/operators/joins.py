@@ -46,13 +46,22 @@ def _numbered(df: DataFrame) -> DataFrame:
     return keep(df.withColumn("_row", F.monotonically_increasing_id()), "numbered")
 
 
+def unbroadcast(df: DataFrame) -> DataFrame:
+    """``df`` for a join that must not collect it on the driver.
+
+    The planner goes by the size of files; columns of a few values or of steady steps are many times larger in memory.
+    """
+    return df.hint("merge")
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = GROUP_LIMIT
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", limit: int = GROUP_LIMIT, collected: bool = True
 ) -> DataFrame:
     """``left.join(right, keys, how)`` for inner, left, left_semi and left_anti.
 
     Keys with more than ``limit`` rows of one side are cut into shares by the number of the row, and the other side's
     rows of the key are repeated once per share; inner joins do so for both sides. All other keys join as usual.
+    Without ``collected`` neither side is broadcast.
     """
     keys = list(keys)
     if how in ("left_semi", "left_anti"):
@@ -60,7 +69,7 @@ def salted_join(
     left_hot = hot_keys(left, keys, limit)
     right_hot = hot_keys(right, keys, limit) if how == "inner" else None
     if left_hot is None and right_hot is None:
-        return left.join(right, keys, how)
+        return left.join(right if collected else unbroadcast(right), keys, how)
 
     def grid(df: DataFrame, own: str, other: str, cut: bool) -> DataFrame:
         df = _parts(_parts(_numbered(df) if cut else df.withColumn("_row", F.lit(0)), left_hot, keys, "_l"), right_hot, keys, "_r")
@@ -69,4 +78,5 @@ def salted_join(
 
     cut = grid(left, "_l", "_r", left_hot is not None)
     repeated = grid(right, "_r", "_l", right_hot is not None)
+    repeated = repeated if collected else unbroadcast(repeated)
     return cut.join(repeated, [*keys, "_share_l", "_share_r"], how).drop("_share_l", "_share_r")

@@ -36,6 +36,21 @@ def test_cycles_hubs_and_bounds(spark):
     assert {tuple(r) for r in fixpoint.closure(df, max_rounds=0).drop("round").collect()} == set(edges)
 
 
+def test_large_closures_broadcast_no_facts(spark, monkeypatch):
+    plans = []
+    kept = fixpoint.keep
+
+    def noted(df, tag, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, tag, **options)
+
+    monkeypatch.setattr(fixpoint, "keep", noted)
+    specs = spark.range(20).select(F.col("id").alias("chain"), F.lit(4).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("start"))
+    facts = fixpoint.chain_facts(specs, ["chain"])
+    assert fixpoint.closure(facts, ["chain"], limit=30).count() == 20 * (4 + sweep.closed_form(4))
+    assert len(plans) == 4 and not any("BroadcastHashJoin" in p for p in plans)
+
+
 def test_match_depth(spark):
     specs = spark.createDataFrame([(d, 6, 2, d, 50) for d in range(1, 7)], "case int, premises int, inert int, depth int, a bigint")
     facts = fixpoint.depth_facts(specs, ["case"])
