@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.joins import salted_join, unbroadcast
-from runlens.operators.ordered import GROUP_LIMIT
-from runlens.session import keep
+from runlens.operators.ordered import GROUP_LIMIT, split_large
+from runlens.session import keep, setting, tasks_for
 
 
 def _compose(first: DataFrame, second: DataFrame, keys: Sequence[str], limit: int, rows: int) -> DataFrame:
@@ -22,6 +22,18 @@ def _compose(first: DataFrame, second: DataFrame, keys: Sequence[str], limit: in
     return joined.select(*keys, "src", "dst")
 
 
+def _compose_whole(every: DataFrame, keys: Sequence[str], rows: int) -> DataFrame:
+    """What ``every`` composed with itself gives, each fact once; a relation stays in one task from join to merge."""
+    spark = every.sparkSession
+    tasks = tasks_for(spark, rows) or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = every.repartition(tasks, *keys)
+    left = placed.select(*keys, "src", F.col("dst").alias("_mid"))
+    right = placed.select(*keys, F.col("src").alias("_mid"), "dst")
+    with setting(spark, "spark.sql.requireAllClusterKeysForCoPartition", "false"):
+        met = left.join(unbroadcast(right), [*keys, "_mid"]).select(*keys, "src", "dst").distinct()
+        return keep(met, "composed")
+
+
 def closure(
     facts: DataFrame, keys: Sequence[str] = (), max_rounds: int | None = None, limit: int = GROUP_LIMIT
 ) -> DataFrame:
@@ -62,12 +74,23 @@ def closure(
 def closure_naive(
     facts: DataFrame, keys: Sequence[str] = (), max_rounds: int | None = None, limit: int = GROUP_LIMIT
 ) -> DataFrame:
-    """The same facts by joining all with all in every round, until their number stands still."""
-    every = keep(facts.select(*keys, "src", "dst").distinct(), "facts")
+    """The same facts by joining all with all in every round, until their number stands still.
+
+    A fact is put together at each place of its chain, so a relation of n facts in a chain gives n^3/6 rows a round.
+    Relations of up to ``limit`` facts are composed each in one task, where those rows merge without a shuffle.
+    """
+    fact = [*keys, "src", "dst"]
+    every = keep(facts.select(*fact).distinct(), "facts")
     size, number = every.count(), 0
     while max_rounds is None or number < max_rounds:
         number += 1
-        every = keep(every.unionByName(_compose(every, every, keys, limit, size)).distinct(), "facts")
+        whole, cut = (every, None) if size <= limit else split_large(every, keys, limit, size)
+        parts = [every]
+        if cut is not None:
+            parts.append(_compose(cut, cut, keys, limit, size))
+        if whole is not None:
+            parts.append(_compose_whole(whole, keys, size) if keys and size > limit else _compose(whole, whole, keys, limit, size))
+        every = keep(reduce(DataFrame.unionByName, parts).distinct(), "facts")
         now = every.count()
         if now == size:
             break

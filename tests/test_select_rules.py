@@ -51,6 +51,24 @@ def test_large_closures_broadcast_no_facts(spark, monkeypatch):
     assert len(plans) == 4 and not any("BroadcastHashJoin" in p for p in plans)
 
 
+def test_naive_closure_merges_before_it_shuffles(spark, monkeypatch):
+    plans = []
+    kept = fixpoint.keep
+
+    def noted(df, tag, **options):
+        if tag == "composed":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, tag, **options)
+
+    monkeypatch.setattr(fixpoint, "keep", noted)
+    specs = spark.range(20).select(F.col("id").alias("chain"), F.lit(4).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("start"))
+    facts = fixpoint.chain_facts(specs.unionByName(spark.createDataFrame([(99, 9, 0)], specs.schema)), ["chain"])
+    got = fixpoint.closure_naive(facts, ["chain"], limit=30)
+    assert got.count() == got.distinct().count() == 20 * (4 + sweep.closed_form(4)) + 9 + sweep.closed_form(9)
+    # The two sides are dealt by chain; nothing is shuffled between their join and the merge.
+    assert plans and all("SortMergeJoin" in p and "Exchange" not in p.split("SortMergeJoin")[0] for p in plans)
+
+
 def test_match_depth(spark):
     specs = spark.createDataFrame([(d, 6, 2, d, 50) for d in range(1, 7)], "case int, premises int, inert int, depth int, a bigint")
     facts = fixpoint.depth_facts(specs, ["case"])
