@@ -94,12 +94,14 @@ stats AS (
 
 
 def sources(spark: SparkSession, sf_dir: str) -> Sources:
+    rows = table(spark, sf_dir, "lineitem").count()
     return Sources(
-        results=keep_bucketed(results(spark, sf_dir), "results", "unit", by=["variant"]),
-        stats=keep_bucketed(stats(spark, sf_dir), "stats", "unit", by=["variant"]),
+        results=keep_bucketed(results(spark, sf_dir), "results", "unit", by=["variant"], rows=rows),
+        stats=keep_bucketed(stats(spark, sf_dir), "stats", "unit", by=["variant"], rows=rows),
         results_limits=RESULTS_LIMITS,
         stats_limits=STATS_LIMITS,
         baseline=BASE,
+        rows=rows,
     )
 
 

@@ -90,9 +90,11 @@ def clean_sources(
     src = Sources(results=result_runs, stats=stats_runs, baseline=baseline, **limits)
     cleaned = median_values(result_runs, src.results_limits)
     picked = median_runs(stats_runs, src.stats_limits, tie_break)
+    rows = max(result_runs.count(), stats_runs.count())
     return Sources(
-        results=keep_bucketed(cleaned, "results", "unit", by=["variant"]),
-        stats=keep_bucketed(picked, "stats", "unit", by=["variant"]),
+        results=keep_bucketed(cleaned, "results", "unit", by=["variant"], rows=rows),
+        stats=keep_bucketed(picked, "stats", "unit", by=["variant"], rows=rows),
+        rows=rows,
         baseline=baseline,
         results_limits=src.results_limits,
         stats_limits=src.stats_limits,
@@ -141,9 +143,10 @@ def run(src: Sources, analysis: Analysis, limits: Thresholds = Thresholds(), joi
     """One comparison. ``joined`` may hold ``joined_sources`` of the same variants, written once."""
     a = analysis
     if joined is None:
-        joined = keep_bucketed(compare.joined_sources(src, a.old, a.new), "joined", "unit")
-    cohort = require_unique(keep_bucketed(joined.filter(compare.meets(src, a.wanted)).select("unit"), "cohort", "unit"), ["unit"])
-    pairs = keep_bucketed(paired_frame(src, cohort, a.old, a.new), "pairs", "unit")
+        joined = keep_bucketed(compare.joined_sources(src, a.old, a.new), "joined", "unit", rows=src.rows)
+    met = joined.filter(compare.meets(src, a.wanted)).select("unit")
+    cohort = require_unique(keep_bucketed(met, "cohort", "unit", rows=src.rows), ["unit"])
+    pairs = keep_bucketed(paired_frame(src, cohort, a.old, a.new), "pairs", "unit", rows=src.rows)
     result_pairs = joined.join(cohort, "unit", "left_semi")
     out = Outcome(a, pairs)
 

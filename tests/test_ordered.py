@@ -85,3 +85,19 @@ def test_describe_and_empty_summary(spark):
     assert (empty["rows"], empty["min"], empty["max"], empty["p50"], empty["avg"]) == (0, 0.0, 0.0, None, None)
     pair = summary.paired_summary(df.withColumn("c", F.col("a") * 2), "c", "a", {"p50": 0.5})
     assert {r["statistic"]: r["speedup"] for r in pair.collect()} == {"min": 2.0, "p50": 2.0, "avg": 2.0, "max": 2.0}
+
+
+@pytest.mark.parametrize("limit", [50, 10**6])
+def test_many_rows_take_more_tasks(spark, monkeypatch, limit):
+    from runlens import session
+
+    df = skewed(spark)
+    ones = df.withColumn("one", F.lit(1))
+    plain = ordered.scan_groups(ones, ["g"], ["v", "id"], running={"r": ("sum", "one")}, limit=limit)
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    assert session.tasks_for(spark, 3000) == 30 and session.tasks_for(spark, 400) is None
+    dealt = ordered.scan_groups(ones, ["g"], ["v", "id"], running={"r": ("sum", "one")}, limit=limit)
+    assert sorted(map(tuple, dealt.collect())) == sorted(map(tuple, plain.collect()))
+    assert dealt.rdd.getNumPartitions() >= 30
+    bucketed = session.keep_bucketed(df, "more", "g", rows=3000).groupBy("g").count()
+    assert bucketed.rdd.getNumPartitions() == 30
