@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from runlens.operators.ordered import GROUP_LIMIT, fill_forward, scan_groups
+from runlens.session import keep as written
 
 # Markers of the console log, term sizes and the two algorithms' labels.
 SIZE_MARK = r"term size (0|100)\)"
@@ -32,15 +33,19 @@ def parse_console(
     telling = lines.withColumns(
         {"size": size, "variant": variant, "_points": F.when(value.rlike(POINTS_MARK), value)}
     ).filter(F.coalesce(F.col("size").cast("string"), F.col("variant"), F.col("_points")).isNotNull())
-    state = fill_forward(telling.drop("value"), ["path"], ["block", "seq"], ["size", "variant"], limit)
-    state = state.filter(F.col("_points").isNotNull() & F.col("variant").isNotNull())
+    # The lines of points are long: a log's order is found without them.
+    telling = written(telling.drop("value").withColumn("_row", F.monotonically_increasing_id()), "console")
+    short = telling.withColumn("_begins", ~F.col("_points").startswith(" ")).drop("_points")
+    state = fill_forward(short, ["path"], ["block", "seq"], ["size", "variant"], limit)
+    state = state.filter(F.col("_begins").isNotNull() & F.col("variant").isNotNull())
     state = state.withColumn("size", F.coalesce("size", F.lit(0)))
     place = F.struct("block", "seq")
     group = ["path", "size", "variant"]
-    first = F.when(~F.col("_points").startswith(" "), place)
+    first = F.when(F.col("_begins"), place)
     heads = state.groupBy(*group).agg(F.max(first).alias("_head"))
     last = state.join(heads, group).filter(F.col("_head").isNull() | (place >= F.col("_head")))
-    return explode_points(last, F.col("_points"), group)
+    points = last.select(*group, "_row").join(telling.select("_row", "_points"), "_row")
+    return explode_points(points, F.col("_points"), group)
 
 
 def explode_points(df: DataFrame, text: Column, keep: Sequence[str]) -> DataFrame:

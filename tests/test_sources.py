@@ -189,6 +189,21 @@ def test_console(spark, tmp_path, limit):
     ]
 
 
+def test_order_of_a_log_is_found_without_its_points(spark, tmp_path, monkeypatch):
+    seen = []
+    filled = console.fill_forward
+
+    def noted(df, *args):
+        seen.append(df.columns)
+        return filled(df, *args)
+
+    monkeypatch.setattr(console, "fill_forward", noted)
+    (tmp_path / "log.txt").write_text("StatefulForward: true\n(1, 0.5) (2, 1.5)\n (3, 2.5)\n")
+    points = console.parse_console(lines.read_lines(spark, str(tmp_path))).select("variant", "x", "y_ms")
+    assert sorted(map(tuple, points.collect())) == [("inc", 1, 0.5), ("inc", 2, 1.5), ("inc", 3, 2.5)]
+    assert not {"value", "_points"} & set(seen[0])
+
+
 def test_long_series_round_trip(spark, tmp_path):
     series = spark.range(25_000).select(F.lit("naive").alias("variant"), F.col("id").alias("x"), (F.col("id") / 8).alias("y_ms"))
     texts = console.series_text(series, ["variant"]).orderBy("line").collect()
