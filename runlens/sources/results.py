@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.keys import escape_key, module_of_folder, module_of_path, normalize_key, parse_key
-from runlens.operators.ordered import scan_groups, with_index
+from runlens.operators.joins import HOT_LIST
+from runlens.operators.ordered import ranges, scan_groups, with_index
 from runlens.schemas import STATUS, is_success
 from runlens.session import fresh_path, keep
 from runlens.sources.files import list_files, write_named
@@ -94,14 +95,20 @@ def _fail(message: Column) -> Column:
 
 
 def _starts(lines: DataFrame) -> DataFrame:
-    """``path, _start``: the first line's number per file; a file without the four header lines is an error."""
+    """``path, _start``: the first line's number per file; a file without the four header lines is an error.
+
+    Rows of few files are broadcast, so that the lines of a long file stay where they are.
+    """
     first = lines.filter(F.col("block") == 0)
-    start = first.groupBy("path").agg(F.min("seq").alias("_start"))
+    start = keep(first.groupBy("path").agg(F.min("seq").alias("_start")), "starts")
+    few = start.count() <= HOT_LIST
+    start = F.broadcast(start) if few else start
     place = F.col("seq") - F.col("_start")
     header = F.max((place == 2) & (F.col("value") == SUMMARY)) & F.max((place == 3) & (F.col("value") == ""))
     found = first.join(start, "path").groupBy("path", "_start").agg(header.alias("_header"))
     wrong = F.concat(F.lit("format of result file changed: "), F.col("path"))
-    return found.filter(F.when(F.col("_header"), F.lit(True)).otherwise(_fail(wrong))).select("path", "_start")
+    starts = found.filter(F.when(F.col("_header"), F.lit(True)).otherwise(_fail(wrong))).select("path", "_start")
+    return F.broadcast(starts) if few else starts
 
 
 def read_strict(spark: SparkSession, path, glob: str = "*.result") -> DataFrame:
@@ -207,12 +214,13 @@ def write_gathered(lines: DataFrame, path: str, first: str = NO_TIME) -> None:
 
     However many files there are, ``read_strict`` reads all of them.
     """
-    body = lines.filter(F.col("idx") >= 0).repartitionByRange("idx").withColumn("part", F.spark_partition_id())
-    body = keep(body, "gathered")
-    header = F.explode(_header_rows(first))
-    heads = body.select("part").distinct().select("part", header.alias("_h")).select("part", "_h.*")
-    both = body.unionByName(heads.select(*body.columns)).repartition("part").sortWithinPartitions("part", "idx")
-    both.select("part", "value").write.partitionBy("part").text(path)
+    body = keep(lines.filter(F.col("idx") >= 0).select("idx", "value"), "gathered")
+    # Each task writes one file; its first row, the only one with no row before it in the partition, takes the header along.
+    placed = ranges(body, ["idx"], body.count()).sortWithinPartitions("idx")
+    begins = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    header = F.transform(_header_rows(first), lambda row: row["value"])
+    own = F.array("value")
+    placed.select(F.explode(F.when(begins, F.concat(header, own)).otherwise(own)).alias("value")).write.text(path)
 
 
 def _module_lines(results: DataFrame, order: Sequence[str], elapsed_ms: int, planned: DataFrame | None = None) -> DataFrame:

@@ -241,3 +241,21 @@ def test_outlier_records(spark, tmp_path):
     got = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part*"))).splitlines()
     assert got[:7] == ["file:     f2", "name:     u2", "syntax:   s2", "old_time: 1.00 ms", "new_time: 3.00 ms", "slowdown: 3.00x", ""]
     assert len(got) == 14
+
+
+def test_lines_of_a_file_are_read_without_a_shuffle(spark, tmp_path):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        body = spark.range(200).select(F.col("id").alias("idx"), F.format_string("%d #[S 1 2] a.", "id").alias("value"))
+        results.write_gathered(body, str(tmp_path / "lines"))
+        rows = results.read_strict(spark, str(tmp_path / "lines"), glob="*.txt")
+        assert "SortMergeJoin" not in rows._jdf.queryExecution().executedPlan().toString()
+        assert rows.count() == 200
+        for file in (tmp_path / "lines").glob("*.txt"):
+            written = file.read_text().split("\n")
+            assert written[2] == results.SUMMARY
+            numbers = [int(line.split(" ")[0]) for line in written[4:] if line]
+            assert numbers and numbers == list(range(numbers[0], numbers[0] + len(numbers)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
