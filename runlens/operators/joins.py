@@ -61,11 +61,15 @@ def salted_join(
 
     Keys with more than ``limit`` rows of one side are cut into shares by the number of the row, and the other side's
     rows of the key are repeated once per share; inner joins do so for both sides. All other keys join as usual.
+    Semi- and anti-joins with up to ``HOT_LIST`` distinct keys broadcast those instead.
     Without ``collected`` neither side is broadcast.
     """
     keys = list(keys)
     if how in ("left_semi", "left_anti"):
-        right = right.select(*keys).distinct()
+        # Few keys go to all tasks: the rows of the left side stay where they are.
+        right = keep(right.select(*keys).distinct(), "keys")
+        if collected and right.count() <= HOT_LIST:
+            return left.join(F.broadcast(right), keys, how)
     left_hot = hot_keys(left, keys, limit)
     right_hot = hot_keys(right, keys, limit) if how == "inner" else None
     if left_hot is None and right_hot is None:
