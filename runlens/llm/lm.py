@@ -23,8 +23,10 @@ BLOCK_WORDS = 800_000
 BUCKET_KEYS = 500_000
 # Tokens that one walker reads; a longer text is read by several, each of which first reads the tokens before its own.
 STRETCH = 256
-# Distinct words that a task of the vocabulary holds before it sends them.
+# Words with counts that a task of the vocabulary holds; if more than half of them are distinct, it sends them.
 HELD_WORDS = 1 << 20
+# Bytes of text that are cut into words at a time.
+PIECE = 1 << 17
 START = np.uint64(0x5354415254)
 END = np.uint64(0x454E44)
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -33,14 +35,21 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of start, words and end of every text, and where each text begins, with the total last."""
     data, offsets = text_bytes(column)
-    data = LOWER[data]
-    starts, ends, first = word_places(data, offsets)
-    counts = np.diff(first)
-    heads = np.append(0, np.cumsum(counts + 2))
+    found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    # A piece of the texts at a time, whose arrays stay in the processor's cache.
+    while at < len(offsets) - 1:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
+        small = LOWER[data[offsets[at] : offsets[to]]]
+        starts, ends, first = word_places(small, offsets[at : to + 1] - offsets[at])
+        found.append(word_hashes(small, starts, ends))
+        counts.append(np.diff(first))
+        at = to
+    heads = np.append(0, np.cumsum(np.concatenate(counts) + 2))
     out = np.empty(heads[-1], np.uint64)
     inside = np.ones(heads[-1], bool)
     inside[heads[:-1]] = inside[heads[1:] - 1] = False
-    out[inside] = word_hashes(data, starts, ends)
+    out[inside] = np.concatenate(found)
     out[heads[:-1]], out[heads[1:] - 1] = START, END
     return out, heads
 
@@ -73,8 +82,33 @@ class Grams:
         return np.bincount(self.at[self.at >= 0], train[self.at >= 0], len(self.kinds)).astype(np.int64)
 
 
+def ascending(key: np.ndarray) -> np.ndarray:
+    """The stable order of ``key``.
+
+    Numbers with their places in the low bits are sorted, which takes a fifth of the time of sorting places by number. Large
+    numbers lose their low bits to the places; where two differ in these only, that may mix them, and places are sorted.
+    """
+    bits = np.uint64(len(key).bit_length())
+    places = (np.uint64(1) << bits) - np.uint64(1)
+    fits = int(key.max(initial=0)).bit_length() + int(bits) <= 64
+    tagged = (key << bits if fits else key & ~places) | np.arange(len(key), dtype=np.uint64)
+    order = (np.sort(tagged) & places).astype(np.int64)
+    ranked = key[order]
+    return order if fits or (ranked[1:] >= ranked[:-1]).all() else np.argsort(key, kind="stable")
+
+
+def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers of ``key``, ascending, the first place of each, and the number of the one at each place."""
+    order = ascending(key)
+    ranked = key[order]
+    new = np.append(np.ones(min(1, len(key)), bool), ranked[1:] != ranked[:-1])
+    at = np.empty(len(key), np.int64)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], order[new], at
+
+
 def grams_of(key: np.ndarray) -> Grams:
-    kinds, first, at = np.unique(key, return_index=True, return_inverse=True)
+    kinds, first, at = numbered(key)
     if len(kinds) and kinds[0] == 0:
         return Grams(kinds[1:], first[1:], at - 1)
     return Grams(kinds, first, at)
@@ -85,12 +119,14 @@ class Automaton:
     """States are contexts that training has seen: level n holds those of n tokens, level 0 the empty one.
 
     Level n has, per arc, ``arcs[n]`` = state * words + token (ascending), its log10 probability ``logs[n]`` and the state
-    it leads to, and per state the failure arc: ``fail_to[n]``, the state without its oldest token, and the log10 weight
-    ``fail_log[n]`` of going there. Arcs of the empty state are numbered by their token: every token has one.
+    it leads to; arcs of state s begin at ``starts[n][s]``. Per state there is the failure arc: ``fail_to[n]``, the state
+    without its oldest token, and the log10 weight ``fail_log[n]`` of going there. Arcs of the empty state are numbered by
+    their token: every token has one.
     """
 
     words: int
     arcs: list[np.ndarray]
+    starts: list[np.ndarray]
     logs: list[np.ndarray]
     to: list[np.ndarray]
     fail_to: list[np.ndarray]
@@ -108,7 +144,7 @@ def automaton(grams: list[Grams], counts: list[np.ndarray], total: int, distinct
     order, words = len(grams), len(grams[0].kinds)
     p = (counts[0] + 1.0) / (total + distinct + 1)
     none = np.zeros(0, np.int64)
-    arcs, logs, to = [none], [np.log10(p)], [np.arange(words)]
+    arcs, starts, logs, to = [none], [none], [np.log10(p)], [np.arange(words)]
     fail_to, fail_log = [none], [np.zeros(0)]
     for n in range(1, order):
         # States of n tokens, and the n-grams of n + 1 tokens that are their arcs.
@@ -120,12 +156,13 @@ def automaton(grams: list[Grams], counts: list[np.ndarray], total: int, distinct
         p = (counts[n] + weight * p[shorter]) / (counts[n - 1][state] + weight)
         seen = np.flatnonzero(counts[n] > 0)
         arc = state[seen] * words + token[seen]
-        by = np.argsort(arc)
+        by = ascending(arc.astype(np.uint64))
         arcs.append(arc[by])
+        starts.append(np.append(0, np.cumsum(np.bincount(state[seen], minlength=len(lower.kinds)))))
         logs.append(np.log10(p[seen[by]]))
         # The longest states have order - 1 tokens.
         to.append(seen[by] if n + 1 < order else shorter[seen[by]])
-    return Automaton(words, arcs, logs, to, fail_to, fail_log, counts[0] > 0)
+    return Automaton(words, arcs, starts, logs, to, fail_to, fail_log, counts[0] > 0)
 
 
 def stretches(heads: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,6 +182,24 @@ def stretches(heads: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np
     return read[by], begin[by], end[by], text[by]
 
 
+def arc_of(auto: Automaton, level: int, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """The arc for each token among those of its state, or -1. Most states have one or two, so few are halved often."""
+    arcs, wanted = auto.arcs[level], state * auto.words + token
+    low, high = auto.starts[level][state], auto.starts[level][state + 1]
+    out = np.full(len(state), -1)
+    left = np.flatnonzero(low < high)
+    low, high, wanted = low[left], high[left], wanted[left]
+    while len(left):
+        middle = (low + high) >> 1
+        here = arcs[middle]
+        same, less = here == wanted, here < wanted
+        out[left[same]] = middle[same]
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        stay = np.flatnonzero(~same & (low < high))
+        left, low, high, wanted = left[stay], low[stay], high[stay], wanted[stay]
+    return out
+
+
 def walk(tokens: np.ndarray, heads: np.ndarray, auto: Automaton) -> np.ndarray:
     """log10 probability of each text: walkers go from left to right, carry their state and add up what arcs weigh.
 
@@ -165,9 +220,8 @@ def walk(tokens: np.ndarray, heads: np.ndarray, auto: Automaton) -> np.ndarray:
             there = np.flatnonzero(now == high)
             if not len(there):
                 continue
-            wanted = node[there] * auto.words + token[there]
-            arc = np.minimum(np.searchsorted(auto.arcs[high], wanted), max(0, len(auto.arcs[high]) - 1))
-            found = auto.arcs[high][arc] == wanted if len(auto.arcs[high]) else np.zeros(len(there), bool)
+            arc = arc_of(auto, high, node[there], token[there])
+            found = arc >= 0
             hit, arc, miss = there[found], arc[found], there[~found]
             gained[hit] += auto.logs[high][arc]
             level[hit], state[hit] = min(high + 1, top), auto.to[high][arc]
@@ -186,14 +240,14 @@ def vocabulary(docs: DataFrame) -> dict[str, int]:
     """Training tokens, distinct training tokens and all tokens of ``docs`` (text, held_out)."""
 
     def counted(kinds: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kinds, at = np.unique(kinds, return_inverse=True)
+        kinds, _, at = numbered(kinds)
         return kinds, np.bincount(at, train, len(kinds)).astype(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def row(kinds: np.ndarray, train: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_pydict({"key": pa.array(kinds.view(np.int64)), "n": pa.array(train)})
 
-        kinds, train, every = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+        held, every = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
         for batch in batches:
             for part in slices(batch, most=2 << 20):
                 found, heads = tokens(part.column("text"))
@@ -201,11 +255,13 @@ def vocabulary(docs: DataFrame) -> dict[str, int]:
                 scored = found != START
                 every += int(scored.sum())
                 taken = scored & ones
-                kinds, train = counted(np.append(kinds, found[taken]), np.append(train, np.ones(taken.sum(), np.int64)))
-                if len(kinds) > HELD_WORDS:
-                    yield row(kinds, train)
-                    kinds, train = kinds[:0], train[:0]
-        yield row(kinds, train)
+                held.append(counted(found[taken], np.ones(taken.sum(), np.int64)))
+                if sum(len(kinds) for kinds, _ in held) > HELD_WORDS:
+                    held = [counted(*(np.concatenate(c) for c in zip(*held)))]
+                    if len(held[0][0]) > HELD_WORDS // 2:
+                        yield row(*held[0])
+                        held = [(held[0][0][:0], held[0][1][:0])]
+        yield row(*counted(*(np.concatenate(c) for c in zip(*held))))
         # All tokens of the task, under no key.
         yield pa.RecordBatch.from_pydict({"key": pa.array([None], pa.int64()), "n": pa.array([every], pa.int64())})
 
@@ -283,20 +339,20 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
     bounds = lower[1:]
     packs = dealt(rows, blocks, kind)
 
-    def block_grams(packed: pa.Table, lengths: int) -> tuple[pa.Table, np.ndarray, list[Grams], list[np.ndarray]]:
+    def block_grams(packed: pa.Table, lengths: range) -> tuple[pa.Table, np.ndarray, dict[int, Grams], np.ndarray]:
+        """The rows, where each begins, the n-grams of the given lengths (less one), and how often each place stands in training texts."""
         found = unpacked(packed)
         hashes, heads = tokens(found.column("text").combine_chunks())
-        grams = [grams_of(key) for key in ngrams(hashes, heads, lengths)]
+        keys = ngrams(hashes, heads, lengths[-1] + 1)
         times = np.where(found.column("held_out").to_numpy(), 0, found.column("times").to_numpy())
-        train = np.repeat(times, np.diff(heads))
-        return found, heads, grams, [g.counts(train) for g in grams]
+        return found, heads, {n: grams_of(keys[n]) for n in lengths}, np.repeat(times, np.diff(heads))
 
     def sender(length: int):
         def send(packed: pa.Table, sums: pa.Table | None = None) -> pa.Table:
             found = {"block": [], "bucket": [], "n": [], "keys": [], "numbers": [], "counts": []}
             types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             if packed.num_rows:
-                _, _, grams, counts = block_grams(packed, length + 1)
+                _, _, grams, train = block_grams(packed, range(max(0, length - 1), length + 1))
                 here = grams[length]
                 asked = np.arange(len(here.kinds))
                 if sums is not None:
@@ -305,7 +361,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
                     for numbers, n in zip(sums.column("numbers"), sums.column("n").to_pylist()):
                         met[np.cumsum(_unpacked(numbers.as_py(), n)).astype(np.int64)] = True
                     asked = np.flatnonzero(met[shorter.at[here.first]] & met[shorter.at[here.first - 1]])
-                kinds, own = here.kinds[asked], counts[length][asked]
+                kinds, own = here.kinds[asked], here.counts(train)[asked]
                 at = np.concatenate([[0], np.searchsorted(kinds, bounds), [len(kinds)]])
                 for i in np.flatnonzero(np.diff(at)).tolist():
                     part = slice(at[i], at[i + 1])
@@ -323,7 +379,7 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
         low = lower[found.column("bucket")[0].as_py()]
         keys = [low + np.cumsum(_unpacked(v.as_py(), n)) for v, n in zip(found.column("keys"), each)]
         own = np.concatenate([_unpacked(v.as_py(), n) for v, n in zip(found.column("counts"), each)]).astype(np.int64)
-        kinds, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        kinds, _, inverse = numbered(np.concatenate(keys))
         # Whole numbers of float64 are exact up to 2^53.
         more = np.bincount(inverse, own, len(kinds)).astype(np.int64)[inverse] - own
         met = (np.bincount(inverse, minlength=len(kinds)) > 1)[inverse]
@@ -341,7 +397,9 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
     def score(packed: pa.Table, sums: pa.Table) -> pa.Table:
         if not packed.num_rows:
             return empty
-        found, heads, grams, counts = block_grams(packed, order)
+        found, heads, by_length, train = block_grams(packed, range(order))
+        grams = [by_length[n] for n in range(order)]
+        counts = [g.counts(train) for g in grams]
         for length, n, numbers, more in zip(sums.column("length").to_pylist(), sums.column("n").to_pylist(), sums.column("numbers"), sums.column("more")):
             at = np.cumsum(_unpacked(numbers.as_py(), n)).astype(np.int64)
             counts[length][at] += _unpacked(more.as_py(), n).astype(np.int64)

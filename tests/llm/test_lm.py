@@ -3,6 +3,8 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from runlens.llm import lm
@@ -111,3 +113,23 @@ def test_packed_numbers_come_back():
     for numbers in ([], [0], [2**64 - 1, 0, 5], make.integers(0, 2**49, 5000), lm.np.ones(3000), make.integers(0, 3, 777)):
         numbers = lm.np.array(numbers, lm.np.uint64)
         assert (lm._unpacked(lm._packed(numbers), len(numbers)) == numbers).all()
+
+
+def test_order_of_numbers_that_differ_in_low_bits_only():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 2, 3, 1000):
+        wide = rng.integers(0, 4, n).astype(np.uint64) | (rng.integers(0, 3, n).astype(np.uint64) << np.uint64(62))
+        for key in (wide, rng.integers(0, 50, n).astype(np.uint64), rng.integers(0, 2**64, n, np.uint64)):
+            assert lm.ascending(key).tolist() == np.argsort(key, kind="stable").tolist()
+            found = lm.grams_of(key)
+            kinds, first, at = np.unique(key[key > 0], return_index=True, return_inverse=True)
+            assert found.kinds.tolist() == kinds.tolist() and found.at[key > 0].tolist() == at.tolist()
+            assert found.first.tolist() == np.flatnonzero(key > 0)[first].tolist()
+
+
+def test_tokens_do_not_depend_on_the_pieces(monkeypatch):
+    texts = pa.array(["Ab cd " * 400, None, "", "x", "  y z\tAB", "w" * 3000, "cd"])
+    whole, heads = lm.tokens(texts)
+    monkeypatch.setattr(lm, "PIECE", 7)
+    pieces, same = lm.tokens(texts)
+    assert pieces.tolist() == whole.tolist() and same.tolist() == heads.tolist()
