@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.blocks import LOWER, bounded_batches, id_hash, mix, slices, table, text_bytes, word_hashes, word_places
+from runlens.llm.blocks import IS_WHITE, LOWER, bounded_batches, chunk_hashes, id_hash, mix, slices, table, text_bytes, warm_worker, word_places
 
 FOLDS = 7
 HELD_OUT = 2
@@ -22,9 +22,9 @@ WEIGHT = 200.0
 BLOCK_WORDS = 800_000
 BUCKET_KEYS = 500_000
 # Tokens that one walker reads; a longer text is read by several, each of which first reads the tokens before its own.
-STRETCH = 256
-# Words with counts that a task of the vocabulary holds; if more than half of them are distinct, it sends them.
-HELD_WORDS = 1 << 20
+STRETCH = 64
+# Rows of what blocks get that hold, in place of a length of n-grams, the training tokens and how many of them are distinct.
+TOKENS, DISTINCT = -1, -2
 # Bytes of text that are cut into words at a time.
 PIECE = 1 << 17
 START = np.uint64(0x5354415254)
@@ -42,7 +42,7 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
         small = LOWER[data[offsets[at] : offsets[to]]]
         starts, ends, first = word_places(small, offsets[at : to + 1] - offsets[at])
-        found.append(word_hashes(small, starts, ends))
+        found.append(chunk_hashes(small, starts, ends))
         counts.append(np.diff(first))
         at = to
     heads = np.append(0, np.cumsum(np.concatenate(counts) + 2))
@@ -57,11 +57,11 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def ngrams(found: np.ndarray, heads: np.ndarray, order: int) -> list[np.ndarray]:
     """For n = 1 ... order, the key of the n-gram that ends at each place; 0 where the text has too few tokens before it."""
     keys = [found]
-    within = np.arange(len(found)) - np.repeat(heads[:-1], np.diff(heads))
     for n in range(2, order + 1):
         grown = np.zeros_like(found)
         grown[1:] = mix(keys[-1][:-1] * ODD + found[1:])
-        grown[within < n - 1] = 0
+        for i in range(n - 1):
+            grown[np.minimum(heads[:-1] + i, heads[1:] - 1)] = 0
         keys.append(grown)
     return keys
 
@@ -79,11 +79,16 @@ class Grams:
 
     def counts(self, train: np.ndarray) -> np.ndarray:
         """How often each stands in training texts; ``train`` tells per place how many training rows it stands for."""
-        return np.bincount(self.at[self.at >= 0], train[self.at >= 0], len(self.kinds)).astype(np.int64)
+        return np.bincount(self.at + 1, train, len(self.kinds) + 1)[1:].astype(np.int64)
 
 
 def ascending(key: np.ndarray) -> np.ndarray:
-    """The stable order of ``key``.
+    """The stable order of ``key``."""
+    return ranked(key)[0]
+
+
+def ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of ``key``, and its numbers in that order.
 
     Numbers with their places in the low bits are sorted, which takes a fifth of the time of sorting places by number. Large
     numbers lose their low bits to the places; where two differ in these only, that may mix them, and places are sorted.
@@ -91,20 +96,29 @@ def ascending(key: np.ndarray) -> np.ndarray:
     bits = np.uint64(len(key).bit_length())
     places = (np.uint64(1) << bits) - np.uint64(1)
     fits = int(key.max(initial=0)).bit_length() + int(bits) <= 64
-    tagged = (key << bits if fits else key & ~places) | np.arange(len(key), dtype=np.uint64)
-    order = (np.sort(tagged) & places).astype(np.int64)
-    ranked = key[order]
-    return order if fits or (ranked[1:] >= ranked[:-1]).all() else np.argsort(key, kind="stable")
+    tagged = key << bits if fits else key & ~places
+    tagged |= np.arange(len(key), dtype=np.uint64)
+    tagged.sort()
+    out = tagged >> bits if fits else None
+    tagged &= places
+    order = tagged.view(np.int64)
+    if out is None:
+        out = key[order]
+        if (out[1:] < out[:-1]).any():
+            order = np.argsort(key, kind="stable")
+            out = key[order]
+    return order, out
 
 
 def numbered(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct numbers of ``key``, ascending, the first place of each, and the number of the one at each place."""
-    order = ascending(key)
-    ranked = key[order]
-    new = np.append(np.ones(min(1, len(key)), bool), ranked[1:] != ranked[:-1])
+    order, numbers = ranked(key)
+    new = np.ones(len(key), bool)
+    np.not_equal(numbers[1:], numbers[:-1], out=new[1:])
+    starts = np.flatnonzero(new)
     at = np.empty(len(key), np.int64)
-    at[order] = np.cumsum(new) - 1
-    return ranked[new], order[new], at
+    at[order] = np.repeat(np.arange(len(starts)), np.diff(starts, append=len(key)))
+    return numbers[starts], order[starts], at
 
 
 def grams_of(key: np.ndarray) -> Grams:
@@ -151,17 +165,19 @@ def automaton(grams: list[Grams], counts: list[np.ndarray], total: int, distinct
         lower, here = grams[n - 1], grams[n]
         fail_log.append(np.log10(weight / (counts[n - 1] + weight)))
         fail_to.append(grams[n - 2].at[lower.first] if n > 1 else np.zeros(words, np.int64))
-        state, token = lower.at[here.first - 1], grams[0].at[here.first]
-        shorter = lower.at[here.first]
-        p = (counts[n] + weight * p[shorter]) / (counts[n - 1][state] + weight)
+        # What training has seen has a seen context and ends in a shorter one that it has seen.
         seen = np.flatnonzero(counts[n] > 0)
-        arc = state[seen] * words + token[seen]
-        by = ascending(arc.astype(np.uint64))
-        arcs.append(arc[by])
-        starts.append(np.append(0, np.cumsum(np.bincount(state[seen], minlength=len(lower.kinds)))))
-        logs.append(np.log10(p[seen[by]]))
+        ends = here.first[seen]
+        state, shorter = lower.at[ends - 1], lower.at[ends]
+        by, arc = ranked((state * words + grams[0].at[ends]).astype(np.uint64))
+        arcs.append(arc.view(np.int64))
+        starts.append(np.append(0, np.cumsum(np.bincount(state, minlength=len(lower.kinds)))))
+        own = (counts[n][seen] + weight * p[shorter]) / (counts[n - 1][state] + weight)
+        logs.append(np.log10(own[by]))
+        p = np.zeros(len(here.kinds))
+        p[seen] = own
         # The longest states have order - 1 tokens.
-        to.append(seen[by] if n + 1 < order else shorter[seen[by]])
+        to.append((seen if n + 1 < order else shorter)[by])
     return Automaton(words, arcs, starts, logs, to, fail_to, fail_log, counts[0] > 0)
 
 
@@ -236,40 +252,23 @@ def walk(tokens: np.ndarray, heads: np.ndarray, auto: Automaton) -> np.ndarray:
     return np.bincount(text, sums, len(heads) - 1)
 
 
-def vocabulary(docs: DataFrame) -> dict[str, int]:
-    """Training tokens, distinct training tokens and all tokens of ``docs`` (text, held_out)."""
-
-    def counted(kinds: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        kinds, _, at = numbered(kinds)
-        return kinds, np.bincount(at, train, len(kinds)).astype(np.int64)
+def token_count(docs: DataFrame) -> int:
+    """Words and ends of the texts of ``docs``; nothing is hashed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def row(kinds: np.ndarray, train: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"key": pa.array(kinds.view(np.int64)), "n": pa.array(train)})
-
-        held, every = [(np.zeros(0, np.uint64), np.zeros(0, np.int64))], 0
+        every = 0
         for batch in batches:
-            for part in slices(batch, most=2 << 20):
-                found, heads = tokens(part.column("text"))
-                ones = np.repeat(~part.column("held_out").to_numpy(zero_copy_only=False), np.diff(heads))
-                scored = found != START
-                every += int(scored.sum())
-                taken = scored & ones
-                held.append(counted(found[taken], np.ones(taken.sum(), np.int64)))
-                if sum(len(kinds) for kinds, _ in held) > HELD_WORDS:
-                    held = [counted(*(np.concatenate(c) for c in zip(*held)))]
-                    if len(held[0][0]) > HELD_WORDS // 2:
-                        yield row(*held[0])
-                        held = [(held[0][0][:0], held[0][1][:0])]
-        yield row(*counted(*(np.concatenate(c) for c in zip(*held))))
-        # All tokens of the task, under no key.
-        yield pa.RecordBatch.from_pydict({"key": pa.array([None], pa.int64()), "n": pa.array([every], pa.int64())})
-
-    rows = docs.select("text", "held_out").mapInArrow(run, "key long, n long")
-    words = rows.groupBy("key").agg(F.sum("n").alias("n"))
-    word = F.col("key").isNotNull()
-    total, distinct, every = words.agg(F.sum(F.when(word, F.col("n"))), F.count("key"), F.sum(F.when(~word, F.col("n")))).first()
-    return {"total": total or 0, "distinct": distinct, "all": every or 0}
+            for part in slices(batch, most=PIECE):
+                data, offsets = text_bytes(part.column("text"))
+                inside = ~IS_WHITE[data]
+                borders = np.unique(offsets)
+                borders = borders[(borders > 0) & (borders < len(data))]
+                every += part.num_rows + int(np.count_nonzero(inside[:1])) + int(np.count_nonzero(inside[1:] & ~inside[:-1]))
+                # A word that begins where the text before ends in one.
+                every += int(np.count_nonzero(inside[borders] & inside[borders - 1]))
+        yield pa.RecordBatch.from_pydict({"n": pa.array([every], pa.int64())})
+
+    return docs.select("text").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
 def dealt(rows: DataFrame, blocks: int, kind: str) -> DataFrame:
@@ -323,7 +322,8 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
     Documents are dealt into blocks by a hash of id and text. Length by length, each block sends its distinct n-grams with
     their training counts to counting tasks, by ranges of a 64-bit hash, and gets back which of them other blocks have and
     what these add. An n-gram goes out only if others have both (n-1)-grams inside it: else no other block can have it, and
-    the block's own count is the whole count. So a block knows the part of the automaton that its texts can reach, builds
+    the block's own count is the whole count. The counting tasks of the words also tell the numbers of all training tokens and
+    of distinct ones, whose sums go to every block. So a block knows the part of the automaton that its texts can reach, builds
     and walks it. Nothing that grows with the corpus is on the driver or in one task, but for the list of bucket borders
     (8 bytes per 500 000 tokens).
     Nulls: a null text is empty (one token, the end); a null id is hashed as the empty text. Repeated rows count and score
@@ -332,15 +332,16 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = bounded_batches(docs).select("doc_id", "text", (id_hash(F.col("doc_id")) % FOLDS == HELD_OUT).alias("held_out"))
-    sizes = vocabulary(rows)
-    blocks = max(1, -(-sizes["all"] // BLOCK_WORDS))
-    buckets = max(1, -(-sizes["all"] // BUCKET_KEYS))
+    size = token_count(rows)
+    blocks = max(1, -(-size // BLOCK_WORDS))
+    buckets = max(1, -(-size // BUCKET_KEYS))
     lower = np.array([(2**64 * i) // buckets for i in range(buckets)], np.uint64)
     bounds = lower[1:]
     packs = dealt(rows, blocks, kind)
 
     def block_grams(packed: pa.Table, lengths: range) -> tuple[pa.Table, np.ndarray, dict[int, Grams], np.ndarray]:
         """The rows, where each begins, the n-grams of the given lengths (less one), and how often each place stands in training texts."""
+        warm_worker()
         found = unpacked(packed)
         hashes, heads = tokens(found.column("text").combine_chunks())
         keys = ngrams(hashes, heads, lengths[-1] + 1)
@@ -374,54 +375,66 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
         return (lambda packed: send(packed)) if not length else send
 
     def add(found: pa.Table) -> pa.Table:
-        """The n-grams of each block that others have too, by their numbers there, and what those add to their counts."""
+        """The n-grams of each block that others have too, by their numbers there, and what those add to their counts.
+
+        One more row, without block, tells how many training tokens the bucket has, and how many of its n-grams training has.
+        """
+        warm_worker()
         each = found.column("n").to_pylist()
         low = lower[found.column("bucket")[0].as_py()]
         keys = [low + np.cumsum(_unpacked(v.as_py(), n)) for v, n in zip(found.column("keys"), each)]
         own = np.concatenate([_unpacked(v.as_py(), n) for v, n in zip(found.column("counts"), each)]).astype(np.int64)
         kinds, _, inverse = numbered(np.concatenate(keys))
         # Whole numbers of float64 are exact up to 2^53.
-        more = np.bincount(inverse, own, len(kinds)).astype(np.int64)[inverse] - own
+        whole = np.bincount(inverse, own, len(kinds)).astype(np.int64)
+        more = whole[inverse] - own
         met = (np.bincount(inverse, minlength=len(kinds)) > 1)[inverse]
         at = np.cumsum([0] + each)
-        out = {"block": [], "n": [], "numbers": [], "more": []}
+        whole[kinds == START] = 0
+        out = {"block": [None], "n": [0], "numbers": [None], "more": [None], "tokens": [int(whole.sum())], "distinct": [int(np.count_nonzero(whole))]}
         for a, b, block, packed in zip(at[:-1], at[1:], found.column("block").to_pylist(), found.column("numbers")):
             some = met[a:b]
             if some.any():
                 numbers = np.cumsum(_unpacked(packed.as_py(), b - a))[some]
-                for name, value in zip(out, (block, len(numbers), _packed(np.diff(numbers, prepend=np.uint64(0))), _packed(more[a:b][some]))):
+                for name, value in zip(out, (block, len(numbers), _packed(np.diff(numbers, prepend=np.uint64(0))), _packed(more[a:b][some]), None, None)):
                     out[name].append(value)
-        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table({name: pa.array(values, t) for (name, values), t in zip(out.items(), types)})
 
     def score(packed: pa.Table, sums: pa.Table) -> pa.Table:
         if not packed.num_rows:
-            return empty
+            # A block that no text fell to.
+            types = [packed.schema.field("ids").type.value_type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+            return pa.table({name: pa.array([], t) for name, t in zip(scored_as, types)})
         found, heads, by_length, train = block_grams(packed, range(order))
         grams = [by_length[n] for n in range(order)]
         counts = [g.counts(train) for g in grams]
+        total = distinct = 0
         for length, n, numbers, more in zip(sums.column("length").to_pylist(), sums.column("n").to_pylist(), sums.column("numbers"), sums.column("more")):
+            if length < 0:
+                total, distinct = (n, distinct) if length == TOKENS else (total, n)
+                continue
             at = np.cumsum(_unpacked(numbers.as_py(), n)).astype(np.int64)
             counts[length][at] += _unpacked(more.as_py(), n).astype(np.int64)
         words, at = grams[0].at, heads[:-1]
         scored = np.ones(heads[-1], bool)
         scored[at] = False
         # The start is a context that training has seen once a text, but no token: total and distinct leave it out.
-        bases = np.where(scored, np.log10((counts[0] + 1.0) / (sizes["total"] + sizes["distinct"] + 1))[words], 0.0)
-        logs = walk(words, heads, automaton(grams, counts, sizes["total"], sizes["distinct"], weight))
+        bases = np.where(scored, np.log10((counts[0] + 1.0) / (total + distinct + 1))[words], 0.0)
+        logs = walk(words, heads, automaton(grams, counts, total, distinct, weight))
         out = {
             "doc_id": found.column("doc_id"),
             "held_out": found.column("held_out"),
             "n_tokens": pa.array(np.diff(heads) - 1),
             "n_known": pa.array(np.add.reduceat((scored & (counts[0] > 0)[words]).astype(np.int64), at)),
-            "train_tokens": pa.array(np.full(len(at), sizes["total"], np.int64)),
+            "train_tokens": pa.array(np.full(len(at), total, np.int64)),
             "base_score": pa.array(np.add.reduceat(bases, at)),
             "score": pa.array(logs),
         }
         return pa.table(out).take(pa.array(np.repeat(np.arange(len(at)), found.column("times").to_numpy())))
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    empty = pa.table({n: pa.array([]) for n in ("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")})
+    scored_as = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     sent_as = "block long, bucket long, n long, keys binary, numbers binary, counts binary"
     blocked = packs.groupBy("block")
     sums = []
@@ -430,8 +443,15 @@ def lm_scores(docs: DataFrame, order: int = ORDER, weight: float = WEIGHT) -> Da
             sent = blocked.cogroup(sums[-1].groupBy("block")).applyInArrow(sender(length), sent_as)
         else:
             sent = blocked.applyInArrow(sender(0), sent_as)
-        sums.append(sent.groupBy("bucket").applyInArrow(add, "block long, n long, numbers binary, more binary"))
-    every = reduce(DataFrame.unionByName, [part.withColumn("length", F.lit(i)) for i, part in enumerate(sums)])
+        found = sent.groupBy("bucket").applyInArrow(add, "block long, n long, numbers binary, more binary, tokens long, distinct long")
+        if not length:
+            totals = found.where("block is null").agg(F.sum("tokens").alias("tokens"), F.sum("distinct").alias("distinct"))
+        sums.append(found.where("block is not null").drop("tokens", "distinct"))
+    # Every block gets the two numbers, as rows of their own.
+    whole = docs.sparkSession.range(blocks).crossJoin(totals).selectExpr(
+        "id as block", f"stack(2, {TOKENS}, coalesce(tokens, 0), {DISTINCT}, coalesce(distinct, 0)) as (length, n)", "cast(null as binary) as numbers", "cast(null as binary) as more"
+    )
+    every = reduce(DataFrame.unionByName, [*(part.withColumn("length", F.lit(i)) for i, part in enumerate(sums)), whole])
     return blocked.cogroup(every.groupBy("block")).applyInArrow(score, schema)
 
 

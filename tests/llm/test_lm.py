@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 
 from runlens.llm import lm
-from runlens.llm.blocks import table
+from runlens.llm.blocks import chunk_hashes, table
 
 
 def brute(rows, order=3, weight=lm.WEIGHT):
@@ -133,3 +133,27 @@ def test_tokens_do_not_depend_on_the_pieces(monkeypatch):
     monkeypatch.setattr(lm, "PIECE", 7)
     pieces, same = lm.tokens(texts)
     assert pieces.tolist() == whole.tolist() and same.tolist() == heads.tolist()
+
+
+def test_tokens_are_counted_without_hashing_and_words_come_from_whole_ranges(spark, monkeypatch):
+    monkeypatch.setattr(lm, "PIECE", 7)
+    docs = spark.createDataFrame(SMALL, "doc_id long, text string").repartition(2)
+    assert lm.token_count(docs) == sum(len((t or "").split()) + 1 for _, t in SMALL)
+    assert lm.token_count(docs.where("false")) == 0
+    # Texts that end and begin inside a word, and empty ones between them.
+    glued = spark.createDataFrame([(1, "a b"), (2, ""), (3, "c"), (4, None), (5, "\td e ")], "doc_id long, text string").coalesce(1)
+    assert lm.token_count(glued) == 5 + 5
+
+
+def test_chunk_hashes_depend_on_the_bytes_alone():
+    rng = np.random.default_rng(3)
+    words = [bytes(rng.integers(0, 3, n, dtype=np.uint8)) for n in range(150) for _ in range(4)] + [b"a", b"a\0", b"a" * 8, b"a" * 8 + b"\0"]
+    by: dict[bytes, set[int]] = {}
+    for pad in range(9):
+        data = np.frombuffer(b"x" * pad + b"y".join(words), np.uint8)
+        ends = np.cumsum([len(w) + 1 for w in words]) - 1 + pad
+        starts = ends - np.array([len(w) for w in words])
+        for w, h in zip(words, chunk_hashes(data, starts, ends).tolist()):
+            by.setdefault(w, set()).add(h)
+    assert all(len(h) == 1 for h in by.values())
+    assert len({h for hashes in by.values() for h in hashes}) == len(by)
