@@ -17,10 +17,21 @@ from runlens.llm.blocks import bounded_batches, slices, table
 
 # Distinct chunks in each of the two generations that a task remembers; a chunk that is not met in one goes.
 REMEMBERED = 150_000
+# Words that it remembers for each of these, where chunks are parted into words first.
+WORDS = 2
+# Bytes of text whose new words are merged together.
+AT_ONCE = 4 << 20
 END = "</w>"
 PRINTABLE = re.compile(rb"[!-~]+\Z")
 # The split pattern of the tokenizer file, for lower-case ASCII.
 ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
+# Letters that are their own normal form, and whose small form is one letter too.
+LETTERS = re.compile(r"[a-zÀ-ÖØ-öø-įı-ſА-Яа-я]+\Z")
+# Punctuation (no apostrophe) between a letter or digit and the end of a chunk, which the tokenizer makes a word of its own.
+# Letters whose small form ends in a mark (as of U+0130) and rarer scripts stay with their punctuation.
+TAIL = re.compile(r"[!-&(-/:-@\[-`{-~](?<=[a-z0-9À-ÖØ-öø-įı-ſА-Яа-я].)[!-&(-/:-@\[-`{-~]*(?=\s|\Z)")
+# Bytes of UTF-8 that begin the combining marks U+0300 to U+036F.
+MARKS = re.compile(rb"[\xcc\xcd]")
 
 
 def default_path() -> str:
@@ -29,6 +40,24 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def byte_letters() -> list[str]:
+    """The letter by which byte-level files write each byte."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """Parts of a text that the tokenizer encodes on their own, whatever their case and the punctuation after them.
+
+    It lower-cases too, but not before it looks for special tokens and puts letters and marks together: H and U+0331
+    stay two, h and U+0331 become one.
+    """
+    if b"<|" in text or MARKS.search(text):
+        return [w for c in text.split() for w in ([c] if b"<|" in c or MARKS.search(c) else words_of(c))]
+    return TAIL.sub(r" \g<0>", text.lower().decode()).encode().split()
+
+
 class PairMerger:
     """Merges of a BPE file, for many words at once.
 
@@ -39,10 +68,9 @@ class PairMerger:
     """
 
     def __init__(self, vocab: dict[str, int], merges: list[list[str]]):
-        self.names = [""] * (max(vocab.values()) + 1)
-        for name, i in vocab.items():
-            self.names[i] = name
-        self.vocab = vocab
+        letters = byte_letters()
+        self.inner = np.array([vocab.get(c, -1) for c in letters], np.int64)
+        self.final = np.array([vocab.get(c + END, -1) for c in letters], np.int64)
         made = {a + b: rank for rank, (a, b) in enumerate(merges)}
         if len(made) != len(merges) or any(made.get(x, -1) >= rank for rank, pair in enumerate(merges) for x in pair):
             raise ValueError("a symbol has two merges, or a merge uses a later one")
@@ -59,19 +87,16 @@ class PairMerger:
         place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where(self.keys[place] == key, self.order[place], -1)
 
-    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all words, one word after the other, and where each begins, with the total last."""
         sizes = np.array([len(w) for w in words], np.int64)
         if not len(words) or not sizes.sum():
             return np.zeros(0, np.int64), np.zeros(len(words) + 1, np.int64)
         heads = np.append(0, np.cumsum(sizes))
-        codes = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32)
+        codes = np.frombuffer(b"".join(words), np.uint8)
         last = np.zeros(len(codes), bool)
         last[heads[1:][sizes > 0] - 1] = True
-        kinds, inverse = np.unique(codes, return_inverse=True)
-        inner = np.array([self.vocab.get(chr(c), -1) for c in kinds], np.int64)
-        final = np.array([self.vocab.get(chr(c) + END, -1) for c in kinds], np.int64)
-        symbol = np.where(last, final[inverse], inner[inverse])
+        symbol = np.where(last, self.final[codes], self.inner[codes])
         if (symbol < 0).any():
             raise ValueError("the vocabulary lacks a byte")
         n = len(symbol)
@@ -137,17 +162,22 @@ class PairMerger:
         return np.array(out, np.int64)
 
 
+def joined(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    ids, names = zip(*parts) if parts else ((), ())
+    return b"".join(ids), b"".join(names)
+
+
 class Chunks:
     """Ids and decoded text of runs without ASCII white space, remembered; ``encode`` does the new ones.
 
     The tokenizer splits at white space and has no merge or normal form across it, so a text's ids are its chunks' ids.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[tuple[bytes, str]]], remembered: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list[bytes]], list[tuple[bytes, bytes]]], remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
         # Those of late, and the generation before them.
-        self.known: dict[bytes, tuple[bytes, str]] = {}
-        self.older: dict[bytes, tuple[bytes, str]] = {}
+        self.known: dict[bytes, tuple[bytes, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, bytes]] = {}
 
     def learn(self, texts: list[list[bytes]]) -> None:
         here: set[bytes] = set()
@@ -163,7 +193,7 @@ class Chunks:
 
 
 class PairEncoder:
-    """Chunks to ids and decoded text by the pair occurrence index, for a tokenizer file."""
+    """Chunks to ids and decoded text (UTF-8, a space before each token) by the pair occurrence index, for a tokenizer file."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -174,45 +204,40 @@ class PairEncoder:
         self.merger = PairMerger(content["model"]["vocab"], content["model"]["merges"])
         self.special = {t["content"]: t["id"] for t in content["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
+        names = self.special | content["model"]["vocab"]
+        self.names = [b""] * (max(names.values()) + 1)
+        for name, i in names.items():
+            self.names[i] = b" " + name.encode()
+        self.bytes = str.maketrans({c: chr(b) for b, c in enumerate(byte_letters())})
         # Only its normal form and its split into words are used.
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, tuple[bytes, str]] = {}
 
-    def split(self, chunk: bytes) -> list[str]:
-        """Words of a chunk in the byte alphabet of the vocabulary; special tokens as they are."""
+    def split(self, chunk: bytes) -> list[bytes | str]:
+        """Words of a chunk in bytes; special tokens as text."""
+        if chunk.isalpha():
+            return [chunk.lower()]
         if PRINTABLE.match(chunk) and b"<|" not in chunk:
-            return [w.decode() for w in ASCII_WORDS.findall(chunk.lower())]
+            return ASCII_WORDS.findall(chunk.lower())
+        if LETTERS.match(text := chunk.decode()):
+            return [text.lower().encode()]
         words = []
-        for part in self.cut.split(chunk.decode()):
+        for part in self.cut.split(text):
             if part in self.special:
                 words.append(part)
             elif part:
                 normal = self.tokenizer.normalizer.normalize_str(part)
-                words += [w for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
+                words += [w.translate(self.bytes).encode("latin-1") for w, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal)]
         return words
 
-    def __call__(self, chunks: list[bytes]) -> list[tuple[bytes, str]]:
+    def __call__(self, chunks: list[bytes]) -> list[tuple[bytes, bytes]]:
         split = [self.split(c) for c in chunks]
-        if len(self.words) > REMEMBERED // 2:
-            self.words.clear()
-        new = sorted({w for words in split for w in words if w not in self.words})
-        plain = [w for w in new if w not in self.special]
+        plain = list({w for words in split for w in words if type(w) is bytes})
         ids, heads = self.merger.encode(plain)
         flat, places = ids.astype("<u4").tobytes(), heads.tolist()
-        names = [self.merger.names[i] for i in ids.tolist()]
-        for w, a, b in zip(plain, places[:-1], places[1:]):
-            self.words[w] = (flat[4 * a : 4 * b], " ".join(names[a:b]))
-        for w in new:
-            if w in self.special:
-                self.words[w] = (np.array([self.special[w]], "<u4").tobytes(), w)
-        out = []
-        for words in split:
-            if len(words) == 1:
-                out.append(self.words[words[0]])
-            else:
-                own = [self.words[w] for w in words]
-                out.append((b"".join([o[0] for o in own]), " ".join([o[1] for o in own])))
-        return out
+        names = list(map(self.names.__getitem__, ids.tolist()))
+        own = {s: (np.array([i], "<u4").tobytes(), self.names[i]) for s, i in self.special.items()}
+        own.update((w, (flat[4 * a : 4 * b], b"".join(names[a:b]))) for w, a, b in zip(plain, places[:-1], places[1:]))
+        return [own[words[0]] if len(words) == 1 else joined([own[w] for w in words]) for words in split]
 
 
 def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
@@ -225,18 +250,17 @@ def bpe_round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = Chunks(PairEncoder(path))
+        chunks = Chunks(PairEncoder(path), WORDS * REMEMBERED)
         for batch in batches:
-            for part in slices(batch, most=2 << 20):
-                texts = [(t.as_buffer().to_pybytes() if t.is_valid else b"").split() for t in part.column("text").cast(pa.large_string())]
+            for part in slices(batch, most=AT_ONCE):
+                texts = [words_of(t.as_buffer().to_pybytes() if t.is_valid else b"") for t in part.column("text").cast(pa.large_string())]
                 chunks.learn(texts)
                 counts, ids, decoded = [], [], []
                 for words in texts:
-                    own = list(map(chunks.known.__getitem__, words))
-                    flat = b"".join([o[0] for o in own])
+                    flat, names = joined(list(map(chunks.known.__getitem__, words)))
                     counts.append(len(flat) // 4)
                     ids.append(hashlib.sha256(flat).hexdigest())
-                    decoded.append(hashlib.sha256(" ".join([o[1] for o in own if o[0]]).encode()).hexdigest())
+                    decoded.append(hashlib.sha256(names[1:]).hexdigest())
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": part.column("doc_id"),

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -16,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from runlens.llm.blocks import bounded_batches, slices, table
-from runlens.llm.bpe import REMEMBERED, Chunks, default_path
+from runlens.llm.bpe import REMEMBERED, TAIL, WORDS, Chunks, default_path
 from runlens.session import keep
 
 CAPACITY = 4096
@@ -28,11 +27,6 @@ MOST_PARTS = 4
 
 # Words that go to the library together.
 ROW = 2048
-# Punctuation (no apostrophe) between a letter or digit and the end of a chunk, which the tokenizer makes a word of its own.
-# Letters whose small form ends in a mark (as of U+0130) and rarer scripts stay with their punctuation.
-TAIL = re.compile(r"(?<=[a-z0-9À-ÖØ-öø-įı-ſА-Яа-я])[!-&(-/:-@\[-`{-~]+(?=\s|\Z)")
-# Words in each of the two generations that a task remembers, for each remembered chunk of other operators.
-WORDS = 2
 
 
 def words_of(text: bytes) -> list[bytes]:

@@ -52,3 +52,29 @@ def test_forgetting_changes_nothing(tokenizer):
         chunks = text.encode().split()
         small.learn([chunks])
         assert b"".join(small.known[c][0] for c in chunks) == np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_case_and_punctuation_share_a_word(tokenizer):
+    asked = []
+
+    def encode(words):
+        asked.extend(words)
+        return encoder(words)
+
+    encoder = bpe.PairEncoder(bpe.default_path())
+    chunks = bpe.Chunks(encode)
+    text = "Élan élan, ÉLan Word word. WORD!! (word) don't DON'T. 'tis H̱ ẖ x<|endoftext|>Y. foo.\x1cbar a. b"
+    words = bpe.words_of(text.encode())
+    chunks.learn([words])
+    assert asked.count(b"word") == 1 and b"WORD" not in asked and b"word." not in asked
+    ids, names = bpe.joined([chunks.known[w] for w in words])
+    found = tokenizer.encode(text, add_special_tokens=False).ids
+    assert ids == np.array(found, "<u4").tobytes()
+    assert names[1:].decode() == tokenizer.decode(found, skip_special_tokens=False)
+
+
+def test_letters_and_marks(spark, tokenizer):
+    letters = [chr(c) for c in range(0x41, 0x530)] + list("ẞẖΣ日١²")
+    marks = ["", "̇", "̱", "̌", "̈", "̊", ".", ",", "'s", "'", "<", "̸", "\x1c", "\x85", " "]
+    rows = [(i, f"a{x}{m} {x}{m}B {x}{m}. {x}!{m}") for i, (x, m) in enumerate((x, m) for x in letters for m in marks)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer)
