@@ -19,6 +19,8 @@ from runlens.llm.blocks import bounded_batches, slices, table
 REMEMBERED = 150_000
 # Words that it remembers for each of these, where chunks are parted into words first.
 WORDS = 2
+# Their bytes (or characters) in a generation, which long ones reach first.
+HELD = 8 << 20
 # Bytes of text whose new words are merged together.
 AT_ONCE = 4 << 20
 END = "</w>"
@@ -168,24 +170,27 @@ def joined(parts: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
 
 
 class Chunks:
-    """Ids and decoded text of runs without ASCII white space, remembered; ``encode`` does the new ones.
+    """What ``encode`` gives for parts of texts that are encoded on their own, remembered; it gets the new ones.
 
-    The tokenizer splits at white space and has no merge or normal form across it, so a text's ids are its chunks' ids.
+    The word tokenizer splits at white space and has no merge or normal form across it, so there a text's ids are those of
+    its runs without ASCII white space.
     """
 
-    def __init__(self, encode: Callable[[list[bytes]], list[tuple[bytes, bytes]]], remembered: int = REMEMBERED):
+    def __init__(self, encode: Callable[[list], list], remembered: int = REMEMBERED):
         self.encode, self.remembered = encode, remembered
         # Those of late, and the generation before them.
-        self.known: dict[bytes, tuple[bytes, bytes]] = {}
-        self.older: dict[bytes, tuple[bytes, bytes]] = {}
+        self.known: dict = {}
+        self.older: dict = {}
+        self.held = 0
 
-    def learn(self, texts: list[list[bytes]]) -> None:
-        here: set[bytes] = set()
+    def learn(self, texts: list[list]) -> None:
+        here = set()
         for chunks in texts:
             here.update(chunks)
         new = here.difference(self.known)
-        if len(self.known) + len(new) > self.remembered:
-            self.older, self.known, new = self.known, {}, here
+        if len(self.known) + len(new) > self.remembered or self.held > HELD:
+            self.older, self.known, self.held, new = self.known, {}, 0, here
+        self.held += sum(map(len, new))
         older = self.older
         self.known.update({c: older[c] for c in new if c in older})
         rows = [c for c in new if c not in older]

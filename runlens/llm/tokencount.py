@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.blocks import bounded_batches, slices, table
+from runlens.llm.bpe import REMEMBERED, WORDS, Chunks
 from runlens.session import keep
 
 LIMIT = 1024
@@ -22,6 +25,20 @@ OVERLAP = 256
 LOOK_AHEAD = 4
 # Bytes of text that the library gets at once.
 AT_ONCE = 1 << 18
+# Parts that the library gets in one text, and characters of a part on average above which texts are not parted.
+ROW = 2048
+LONG_PARTS = 64
+# The split that byte-level files name by use_regex.
+BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
+# Its white space.
+WHITE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# A text's parts, each of one or more whole pieces: letters before an ASCII character that is none, punctuation before one
+# that is a letter or digit, what else stands between white space, each of these with the space before it; white space.
+PARTS = re.compile(
+    r" ?[A-Za-zÀ-ÖØ-öø-ſ]+(?=[\x00-@\[-`{-\x7f]|\Z)| ?[!-&(-/:-@\[-`{-~]+(?=[A-Za-z0-9])"
+    rf"| ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+"
+)
+ENDS_WHITE = re.compile(rf"[{WHITE}]\Z")
 
 
 def default_path() -> str:
@@ -36,6 +53,9 @@ class Counter:
     The pattern runs from left to right and never looks behind a place where a piece ends, merges stay inside a piece,
     and special strings are found from left to right too. So a text from a piece's end on is split as it would be
     alone, and a boundary found in a text holds for every longer text, if at least ``margin`` characters follow it.
+
+    Where the file splits as ``BYTE_LEVEL`` does, texts without special strings are parted by ``PARTS``, and the library
+    gets each part once as long as it is remembered: a text's tokens are those of its parts.
     """
 
     def __init__(self, path: str):
@@ -47,12 +67,75 @@ class Counter:
         self.tokenizer.no_padding()
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.margin = LOOK_AHEAD + max(map(len, added), default=0)
+        content = json.loads(self.tokenizer.to_str())
+        parted = content["normalizer"] is None and content["pre_tokenizer"] == BYTE_LEVEL and not any(re.search(rf"[{WHITE}]", a) for a in added)
+        self.parts = Chunks(self.part_sizes, WORDS * REMEMBERED) if parted and not content["model"].get("dropout") else None
+        self.special = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        vocab = self.tokenizer.get_vocab()
+        self.spaced = np.zeros(max(vocab.values()) + 1, bool)
+        self.spaced[[i for token, i in vocab.items() if token.startswith("Ġ")]] = True
 
     def sizes(self, texts: list[str]) -> list[int]:
+        split = list(map(self.split, texts))
+        own = [words for words in split if words is not None]
+        if own:
+            self.parts.learn(own)
+        whole = iter(self.whole_sizes([t for t, words in zip(texts, split) if words is None]))
+        return [next(whole) if words is None else sum(map(self.parts.known.__getitem__, words)) for words in split]
+
+    def whole_sizes(self, texts: list[str]) -> list[int]:
         return [len(e) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def split(self, text: str) -> list[str] | None:
+        """Parts of a text, or None if the library must take the whole text or parts would save little."""
+        if self.parts is None or self.special.search(text):
+            return None
+        parts = PARTS.findall(text)
+        return parts if len(parts) * LONG_PARTS >= len(text) else None
+
+    def part_sizes(self, parts: list[str]) -> list[int]:
+        """Tokens of each part. Those that begin with a space, and have no other, are one text: there a token begins with a
+        space if and only if a part does."""
+        out = [0] * len(parts)
+        spaced = [i for i, p in enumerate(parts) if p[0] == " " and not ENDS_WHITE.search(p)]
+        alone = [i for i, p in enumerate(parts) if p[0] != " " or ENDS_WHITE.search(p)]
+        rows = [spaced[at : at + ROW] for at in range(0, len(spaced), ROW)]
+        joined = ["".join([parts[i] for i in row]) for row in rows]
+        for row, found in zip(rows, self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)):
+            heads = np.flatnonzero(self.spaced[found.ids])
+            if len(heads) != len(row):
+                alone += row
+                continue
+            for i, n in zip(row, np.diff(heads, append=len(found)).tolist()):
+                out[i] = n
+        for at in range(0, len(alone), ROW):
+            some = alone[at : at + ROW]
+            for i, n in zip(some, self.whole_sizes([parts[i] for i in some])):
+                out[i] = n
+        return out
+
     def pieces(self, text: str, *ranges: tuple[int, int]) -> tuple[int, list[dict[int, int]]]:
         """Number of tokens, and for each range of places the boundaries inside with the tokens before them."""
+        parts = self.split(text)
+        if not parts:
+            return self.whole_pieces(text, *ranges)
+        self.parts.learn([parts])
+        places = np.cumsum([0, *map(len, parts)])
+        before = np.cumsum([0, *map(self.parts.known.__getitem__, parts)])
+        out = []
+        for low, high in ranges:
+            # All parts that the range touches; white space at their end would join what the next part parts.
+            first, last = np.searchsorted(places, [low, high], side="right").tolist()
+            first, last = min(max(first - 1, 0), len(parts)), max(min(last, len(parts)), 0)
+            while last < len(parts) and last and ENDS_WHITE.search(parts[last - 1]):
+                last += 1
+            start, gone = int(places[first]), int(before[first])
+            _, (inside,) = self.whole_pieces(text[start : places[last]], (low - start, high - start))
+            out.append({start + p: gone + k for p, k in inside.items()})
+        return int(before[-1]), out
+
+    def whole_pieces(self, text: str, *ranges: tuple[int, int]) -> tuple[int, list[dict[int, int]]]:
+        """The same with the library's own offsets of the whole text."""
         found = self.tokenizer.encode(text, add_special_tokens=False)
         words = np.array([-1 if w is None else w for w in found.word_ids], np.int64)
         begins = np.array([a for a, _ in found.offsets], np.int64)

@@ -78,3 +78,11 @@ def test_letters_and_marks(spark, tokenizer):
     marks = ["", "̇", "̱", "̌", "̈", "̊", ".", ",", "'s", "'", "<", "̸", "\x1c", "\x85", " "]
     rows = [(i, f"a{x}{m} {x}{m}B {x}{m}. {x}!{m}") for i, (x, m) in enumerate((x, m) for x in letters for m in marks)]
     check(spark.createDataFrame(rows, "doc_id long, text string"), tokenizer)
+
+
+def test_long_chunks_end_a_generation(monkeypatch):
+    monkeypatch.setattr(bpe, "HELD", 100)
+    chunks = bpe.Chunks(lambda words: list(map(len, words)))
+    for i in range(20):
+        chunks.learn([[b"%d" % i * 60]])
+    assert len(chunks.known) + len(chunks.older) <= 4

@@ -1,9 +1,10 @@
 import random
+import re
 
 import pytest
 from tokenizers import Tokenizer
 
-from runlens.llm import tokencount
+from runlens.llm import bpe, tokencount
 from runlens.llm.blocks import table
 from runlens.llm.registry import QUERIES
 
@@ -67,3 +68,40 @@ def test_odd_rows(spark, library):
     assert tokencount.token_counts(docs.limit(0)).collect() == []
     with pytest.raises(ValueError):
         tokencount.token_counts(docs, chunk=100, overlap=10)
+
+
+def test_each_part_is_encoded_once(library):
+    counter = tokencount.Counter(tokencount.default_path())
+    asked = []
+    encode = counter.parts.encode
+    counter.parts.encode = lambda parts: asked.extend(parts) or encode(parts)
+    texts = ["some words, and some words", "(words) and, some words.\nsome don't", ""]
+    assert counter.sizes(texts) == counter.sizes(texts) == [brute(library, t) for t in texts]
+    assert sorted(asked) == sorted({p for t in texts for p in tokencount.PARTS.findall(t)})
+    assert counter.sizes(["a <|endoftext|> b"]) == [brute(library, "a <|endoftext|> b")]
+
+
+def test_parts_equal_the_library(library, monkeypatch):
+    monkeypatch.setattr(tokencount, "LONG_PARTS", 1000)
+    counter = tokencount.Counter(tokencount.default_path())
+    pick = random.Random(5)
+    letters = [*"abzAZ019'.,(!$ \n\t ", "é", "ß", "ſ", "α", "日", "١", "²", "́", "\x1c", "\x85", "\xa0", " ", "　", "\x00", "×", "'s", "'ll", "“", "🤗", "᠎", "<|", "|>"]
+    for _ in range(3000):
+        text = "".join(pick.choice(letters) for _ in range(pick.randrange(40)))
+        low = pick.randrange(len(text) + 5)
+        ranges = (0, low), (low, low + pick.randrange(-4, 20)), (low, len(text) + 3)
+        assert counter.sizes([text]) == [brute(library, text)], text
+        assert counter.pieces(text, *ranges) == counter.whole_pieces(text, *ranges), (text, ranges)
+
+
+def test_white_space_of_the_split(library):
+    white = set(re.findall(f"[{tokencount.WHITE}]", "".join(map(chr, range(0x3100)))))
+    for c in map(chr, range(0x3100)):
+        pieces = [span for _, span in library.pre_tokenizer.pre_tokenize_str(f"!{c}{c}!")]
+        assert (c in white) == (c == " " or pieces == [(0, 1), (1, 2), (2, 3), (3, 4)]), hex(ord(c))
+
+
+def test_other_files_are_counted_whole():
+    path = bpe.default_path()
+    counter = tokencount.Counter(path)
+    assert counter.parts is None and counter.sizes(["Some words, words"]) == [brute(Tokenizer.from_file(path), "Some words, words")]
