@@ -1,5 +1,8 @@
 """Rules to a fixpoint, catalogue operators, salted joins and samples."""
 
+import random
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -177,3 +180,46 @@ def test_samples(spark, monkeypatch, limit):
     drawn = sampling.sample_with_replacement(df, "k", 300, seed=1)
     assert drawn.count() == 300 and drawn.select("k").distinct().count() < 101
     assert sampling.sample_with_replacement(df.limit(0), "k", 3).count() == 0
+
+
+@pytest.mark.parametrize("matrix, step", [(fixpoint.MATRIX, fixpoint.STEP), (1, 64), (1, fixpoint.STEP), (10**9, 64)])
+def test_ways_through_middles_are_no_rows(monkeypatch, matrix, step):
+    """Relations of several shapes with nulls, put together by matrices, by blocks of them and by lists, against sets."""
+    monkeypatch.setattr(fixpoint, "MATRIX", matrix)
+    monkeypatch.setattr(fixpoint, "STEP", step)
+    rng = random.Random(2)
+    relations = [
+        {(i, j) for i in range(30) for j in range(i + 1, 30)},
+        {(i, 99) for i in range(40)} | {(99, -i) for i in range(1, 30)},
+        {(rng.randrange(60), rng.randrange(60)) for _ in range(90)},
+        {(None, 1), (1, None), (1, 2), (2, 1)},
+    ]
+    rows, want = [], set()
+    for r, edges in enumerate(relations):
+        mids = {b for _, b in edges} & {a for a, _ in edges} - {None}
+        rows.append({"key": f"k{r}", "_mids": [{"_ins": [{"src": a} for a, b in edges if b == m], "_outs": [{"dst": b} for a, b in edges if a == m]} for m in mids]})
+        want |= {(f"k{r}", a, d) for a, b in edges for c, d in edges if b == c and b is not None}
+    node = pa.int64()
+    kind = pa.list_(pa.struct([("_ins", pa.list_(pa.struct([("src", node)]))), ("_outs", pa.list_(pa.struct([("dst", node)])))]))
+    batch = pa.RecordBatch.from_pylist(rows, schema=pa.schema([("key", pa.string()), ("_mids", kind)]))
+    got = [tuple(r.values()) for out in fixpoint._through(batch, ["key"]) for r in out.to_pylist()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_naive_closure_has_no_row_per_way(spark, monkeypatch):
+    """No operator of the composing plan may give a chain's n^3/6 ways as rows: both sides meet once per middle."""
+    met = []
+    kept = fixpoint.keep
+
+    def noted(df, tag, **options):
+        if tag == "composed":
+            plan = df._jdf.queryExecution().optimizedPlan().toString()
+            met.append(plan.split("Join LeftOuter")[1].count("Aggregate ["))
+        return kept(df, tag, **options)
+
+    monkeypatch.setattr(fixpoint, "keep", noted)
+    specs = spark.createDataFrame([(k, 40, 0) for k in range(3)], "chain long, n long, start long")
+    closed = fixpoint.closure_naive(fixpoint.chain_facts(specs, ["chain"]), ["chain"], limit=1000)
+    assert closed.count() == closed.distinct().count() == 3 * 820
+    # The sides are lists by middle on both sides of the join.
+    assert met and all(n == 2 for n in met)
